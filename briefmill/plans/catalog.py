@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from briefmill.plans import text_queries  # noqa: F401
+from briefmill.plans import search_queries, text_queries  # noqa: F401
 from briefmill.plans.registry import ORACLE, QUERIES  # noqa: F401

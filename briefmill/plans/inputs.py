@@ -6,13 +6,16 @@ so that every per-deal operator meets a hot key."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefmill import domains
 from briefmill.functions import text as T
-from briefmill.operators import chunking, classify
-from briefmill.plans.registry import cte
+from briefmill.operators import chunking, classify, search
+from briefmill.plans.registry import CTES, cte
+from briefmill.session import scratch_path
 
 PAGE_LINES = 40
 SECTION_LINES = 5
@@ -229,6 +232,215 @@ def raw_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.build_chunks(sectioned_lines(spark, sf_dir))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified chunks of the whole corpus."""
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once to the shared folder and read by every consumer."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def classified_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify(raw_chunks(spark, sf_dir), FIXTURE_TERMS)
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified chunks of the whole corpus, stored."""
+    return stored(spark, sf_dir, "chunks", lambda: classified_chunks(spark, sf_dir))
+
+
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    rows = chunks(spark, sf_dir)
+    entries = stored(spark, sf_dir, "postings", lambda: search.postings(rows))
+    return search.Index(rows, entries, search.term_stats(rows), search.corpus_stats(rows))
+
+
+# ---- retrieval requests -----------------------------------------------------------------------
+
+
+def agent_registry(spark: SparkSession) -> DataFrame:
+    rows = [(r["agent"], r["synonym_groups"], r["clause_types"], r["top_k"]) for r in fixture_registry()]
+    return domains.frame(
+        spark, rows, "agent string, groups array<array<string>>, clause_types array<string>, top_k int")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per specialist plus one per document (its first two words)."""
+    rows = [("A-" + r["agent"], " ".join(r["routing_terms"]), None, 0) for r in fixture_registry()]
+    by_agent = domains.frame(spark, rows, "query_id string, text string, document_name string, n bigint")
+    by_document = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("Q-"), "doc_id").alias("query_id"),
+        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(T.TERM), 0), 1, 2), " ").alias("text"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("doc-"), "doc_id")).alias("document_name"),
+        F.col("doc_id").alias("n"),
+    ).filter(F.col("text") != "")
+    kinds = F.array(*[F.lit(k) for k in FIXTURE_TERMS])
+    return by_agent.unionByName(by_document).select(
+        "query_id", "text", F.array().cast("array<string>").alias("expanded_terms"), "document_name",
+        F.when(F.col("n") % 3 == 1, F.slice(kinds, (F.col("n") % 16 + 1).cast("int"), 8))
+        .otherwise(F.array().cast("array<string>")).alias("clause_types"),
+        F.lit(domains.DEFAULT_TOP_K).alias("size"),
+    )
+
+
+def unfiltered(queries: DataFrame) -> DataFrame:
+    return queries.withColumn("document_name", F.lit(None).cast("string")).withColumn(
+        "clause_types", F.array().cast("array<string>"))
+
+
+_KINDS = "[" + ", ".join(f"'{k}'" for k in FIXTURE_TERMS) + "]"
+_AGENT_Q = ", ".join(f"('A-{r['agent']}', '{' '.join(r['routing_terms'])}', 0)" for r in fixture_registry())
+cte("requests", f"""
+  select query_id, text, document_name, case when n % 3 = 1 then list_slice({_KINDS}, n % 16 + 1, n % 16 + 8) else [] end as kinds,
+         10 as size
+  from (select column0 as query_id, column1 as text, cast(null as varchar) as document_name, column2 as n
+        from (values {_AGENT_Q}) as v(column0, column1, column2)
+        union all
+        select 'Q-' || doc_id, array_to_string(list_slice(regexp_extract_all(text, '{SQL_TERM}'), 1, 2), ' '),
+               case when doc_id % 3 = 0 then 'doc-' || doc_id end, doc_id from documents)
+  where text <> ''""")
+cte("tok", f"""
+  select chunk_id, unnest(words) as term, unnest(range(len(words))) as position, len(words) as length
+  from (select chunk_id, regexp_extract_all(lower(text), '{SQL_TERM}') as words from chunks)""", "chunks")
+cte("tf", """
+  select term, chunk_id, count(*) as tf, list(position order by position) as positions, any_value(length) as length
+  from tok group by 1, 2""", "tok")
+cte("df", "select term, count(*) as df from tf group by 1", "tf")
+cte("corpus", """
+  select (select count(*) from chunks) as n_chunks, (select avg(length) from (
+    select chunk_id, max(length) as length from tok group by 1)) as mean_length""", "tok", "chunks")
+cte("scored_terms", """
+  select tf.chunk_id, tf.term, tf.length, tf.positions, n_chunks, mean_length,
+         ln(1 + (n_chunks - df + 0.5) / (df + 0.5)) as idf,
+         tf / (tf + 1.2 * (1 - 0.75 + 0.75 * tf.length / mean_length)) as saturation
+  from tf join df using (term), corpus""", "tf", "df", "corpus")
+cte("q_terms", f"""
+  select query_id, term, count(*) as weight, count(*) over (partition by query_id) as n_terms
+  from (select query_id, unnest(regexp_extract_all(lower(text), '{SQL_TERM}')) as term from requests)
+  group by 1, 2""", "requests")
+cte("and_scores", """
+  select query_id, chunk_id, round(sum(weight * idf * saturation), 6) as score
+  from q_terms join scored_terms using (term)
+  group by query_id, chunk_id, n_terms having count(*) = n_terms""", "q_terms", "scored_terms")
+cte("bm25_all", """
+  select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from and_scores)
+  where rank <= 10""", "and_scores")
+cte("bm25_filtered", """
+  select * from (
+    select a.*, row_number() over (partition by query_id order by score desc, chunk_id) as rank
+    from and_scores a join requests r using (query_id) join classified c using (chunk_id)
+    where (r.document_name is null or r.document_name = c.document_name)
+      and (len(r.kinds) = 0 or list_contains(r.kinds, c.clause_type)))
+  where rank <= 10""", "and_scores", "requests", "classified")
+
+
+# ---- findings -----------------------------------------------------------------------------------
+# A third of all orders belong to deal D0.
+cte("fx_findings_raw", """
+  select concat('F-', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-',
+                cast(round(l_extendedprice * 100) as bigint), '-', cast(l_quantity as bigint)) as finding_id,
+         l_orderkey * 10 + l_linenumber as seq,
+         case when l_orderkey % 3 = 0 then 'D0' else concat('D', 1 + cast(floor(l_orderkey / 8) as bigint)) end as deal_id,
+         1 + l_suppkey % 16 as agent_idx,
+         1 + l_partkey % 17 as clause_idx,
+         round(l_discount * 10, 1) as confidence_num,
+         concat('Section ', 1 + l_partkey % 12) as section_id,
+         concat('clause ', l_suppkey % 10) as citation,
+         concat('doc-', l_partkey) as document_name,
+         cast(l_linenumber as bigint) as absolute_page,
+         case l_linenumber when 1 then 'possible injunction' when 2 then 'material breach alleged'
+              when 3 then 'fraud and default' else 'standard term' end as claim
+  from lineitem""")
+cte("fx_findings", """
+  select f.*, agent, default_dimension, domain, clause_type, critical_min, high_min, medium_min,
+         case when confidence_num >= 0.8 then 'high' when confidence_num >= 0.5 then 'medium' else 'speculative' end as confidence
+  from fx_findings_raw f join d_agent using (agent_idx) join d_clause using (clause_idx)""",
+    "fx_findings_raw", "d_agent", "d_clause")
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finding per order line, with agent and clause type."""
+    raw = spark.sql(CTES["fx_findings_raw"][0].replace("from lineitem", "from {lineitem}"),
+                    lineitem=table(spark, sf_dir, "lineitem"))
+    return (
+        raw.join(domains.agents(spark).select("agent_idx", "agent"), "agent_idx")
+        .join(domains.clause_types(spark).select("clause_idx", "clause_type"), "clause_idx")
+        .withColumn("confidence", T.coerce_confidence(F.col("confidence_num")))
+        .drop("agent_idx", "clause_idx")
+    )
+
+
+# ---- recorded debates: six personas, three rounds, one finding per 18 events --------------------
+cte("fx_arguments_raw", """
+  select event_id as argument_id,
+         concat('F', cast(floor(event_id / 18) as bigint)) as finding_id,
+         case when cast(floor(event_id / 18) as bigint) % 3 = 0 then 'D0'
+              else concat('D', 1 + cast(floor(event_id / 144) as bigint)) end as deal_id,
+         event_id % 6 as persona_idx,
+         1 + cast(floor((event_id % 18) / 6) as bigint) as round,
+         cast(floor(event_id / 18) as bigint) % 8 as dimension_idx,
+         case when event_type in ('purchase', 'signup', 'view') then 'support'
+              when event_type = 'error' then 'oppose' else 'neutral' end as stance,
+         value >= 25 as bm25_verified,
+         event_id % 11 = 0 as dropout_flag,
+         case event_id % 3 when 0 then 'high' when 1 then 'medium' else 'speculative' end as confidence,
+         concat('Section ', 1 + event_id % 40) as citation_1,
+         concat('Section ', 1 + user_id % 60) as citation_2,
+         concat('the ', event_type, ' of by from section ', event_id % 97, '. and the rest of an argument') as argument,
+         case when event_id % 4 = 0 then 'revised after new evidence' else '' end as notes,
+         ts
+  from events""")
+cte("fx_arguments", """
+  select a.*, persona, opposing, in_limited, dimension
+  from fx_arguments_raw a join d_persona using (persona_idx) join d_dim using (dimension_idx)""",
+    "fx_arguments_raw", "d_persona", "d_dim")
+
+
+def arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.sql(CTES["fx_arguments_raw"][0].replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    return (
+        raw.join(domains.personas(spark).select("persona_idx", "persona"), "persona_idx")
+        .join(domains.dimensions(spark).select("dimension_idx", "dimension"), "dimension_idx")
+        .withColumn("citations", F.array("citation_1", "citation_2"))
+        .drop("persona_idx", "dimension_idx", "citation_1", "citation_2")
+    )
+
+
+cte("fx_debated", """
+  select finding_id, any_value(deal_id) as deal_id, any_value(dimension) as dimension,
+         case cast(substr(finding_id, 2) as bigint) % 4 when 0 then 'critical' when 1 then 'high' when 2 then 'medium' else 'low' end as severity,
+         concat('claim of ', finding_id) as claim, min(citation_1) as citation, min(citation_2) as section_id,
+         1 + cast(substr(finding_id, 2) as bigint) % 17 as clause_idx
+  from fx_arguments group by finding_id""", "fx_arguments")
+cte("fx_debated_full", "select d.*, clause_type from fx_debated d join d_clause using (clause_idx)", "fx_debated", "d_clause")
+
+
+def debated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings the recorded arguments are about."""
+    number = F.substring("finding_id", 2, 20).cast("bigint")
+    return (
+        arguments(spark, sf_dir).groupBy("finding_id")
+        .agg(F.first("deal_id").alias("deal_id"), F.first("dimension").alias("dimension"),
+             F.min(F.col("citations")[0]).alias("citation"), F.min(F.col("citations")[1]).alias("section_id"))
+        .withColumn("severity", F.element_at(F.array(*[F.lit(s) for s in domains.SEVERITIES]), (number % 4 + 1).cast("int")))
+        .withColumn("claim", F.concat(F.lit("claim of "), "finding_id"))
+        .withColumn("clause_idx", number % 17 + 1)
+        .join(domains.clause_types(spark).select("clause_idx", "clause_type"), "clause_idx").drop("clause_idx")
+    )
+
+
+cte("fx_decisions", """
+  select concat('F', cast(floor(event_id / 18) as bigint)) as finding_id,
+         case user_id % 4 when 0 then 'confirmed' when 1 then 'evidence_not_found' else 'overridden' end as status,
+         user_id % 4 = 2 as judge_override_flag, concat('rationale ', user_id) as synthesis_rationale
+  from events where event_id % 18 = 0 and user_id % 4 <> 3""")
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge decisions: the event that opens a finding decides it; some findings get none."""
+    return spark.sql(CTES["fx_decisions"][0].replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))

@@ -119,12 +119,12 @@ def _build(spark, sf):
   select chunk_id, clause_type, round(classification_confidence, 6) as classification_confidence, matched_terms
   from classified""", "classified")
 def _classify(spark, sf):
-    return I.chunks(spark, sf).select("chunk_id", "clause_type", "classification_confidence", "matched_terms")
+    return I.classified_chunks(spark, sf).select("chunk_id", "clause_type", "classification_confidence", "matched_terms")
 
 
 @query("txt_clause_distribution", "select clause_type, count(*) as chunks from classified group by 1", "classified")
 def _distribution(spark, sf):
-    return classify.distribution(I.chunks(spark, sf))
+    return classify.distribution(I.classified_chunks(spark, sf))
 
 
 _M = "\"''“”‘’"

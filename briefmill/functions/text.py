@@ -66,11 +66,11 @@ def section_header(line: Column) -> Column:
     return F.when((name != "") & ~is_prose, name)
 
 
-def has_phrase(text: Column, phrase: str) -> Column:
-    """Case-insensitive phrase test on word boundaries.  The cheap substring test guards
+def has_phrase(lowered: Column, phrase: str) -> Column:
+    """Phrase test on word boundaries in lower-cased text.  The cheap substring test guards
     the regular expression, so most rows never run it."""
-    pattern = rf"(?i)(?<!{WORD})\Q{phrase}\E(?!{WORD})"
-    return F.lower(text).contains(phrase.lower()) & text.rlike(pattern)
+    pattern = rf"(?<!{WORD})\Q{phrase.lower()}\E(?!{WORD})"
+    return lowered.contains(phrase.lower()) & lowered.rlike(pattern)
 
 
 def routing_text(text: Column) -> Column:

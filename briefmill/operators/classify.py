@@ -29,14 +29,15 @@ def classify(
         if not words:
             continue
         found = F.array_compact(
-            F.array(*[F.when(T.has_phrase(F.col(text), word), F.lit(word)) for word in words])
+            F.array(*[F.when(T.has_phrase(F.col("_body"), word), F.lit(word)) for word in words])
         )
         scored.append(F.struct(F.lit(clause_type).alias("clause_type"), found.alias("terms")))
     width = lambda x: F.size(x["terms"])
     n_best = F.size(F.col("_leaders")[0]["terms"])
     is_alone = F.size("_leaders") == 1
     return (
-        chunks.withColumn("_matches", F.filter(F.array(*scored), lambda x: width(x) > 0))
+        chunks.withColumn("_body", F.lower(text))
+        .withColumn("_matches", F.filter(F.array(*scored), lambda x: width(x) > 0))
         .withColumn("_top", F.array_max(F.transform("_matches", width)))
         .withColumn("_leaders", F.filter("_matches", lambda x: width(x) == F.col("_top")))
         .withColumn("clause_type", F.when(is_alone, F.col("_leaders")[0]["clause_type"]).otherwise(GENERAL))
@@ -51,7 +52,7 @@ def classify(
                 F.array_sort(F.array_distinct(F.flatten(F.transform("_matches", lambda x: x["terms"]))))
             ),
         )
-        .drop("_matches", "_top", "_leaders")
+        .drop("_body", "_matches", "_top", "_leaders")
     )
 
 

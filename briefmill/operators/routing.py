@@ -11,18 +11,19 @@ from briefmill import domains
 from briefmill.functions import text as T
 
 
-def contains_term(text: Column, term: str) -> Column:
-    """Word-bounded test after runs of ``_`` and ``-`` became spaces, on both sides."""
-    return T.has_phrase(T.routing_text(text), T.routing_term(term))
+def contains_term(body: Column, term: str) -> Column:
+    """Word-bounded test after runs of ``_`` and ``-`` became spaces, on both sides;
+    ``body`` is ``routing_text`` of the text, computed once per row."""
+    return T.has_phrase(body, T.routing_term(term))
 
 
-def _matches(text: Column, clause_type: Column | None, registry: Sequence[dict]) -> Column:
+def _matches(body: Column, clause_type: Column | None, registry: Sequence[dict]) -> Column:
     """Array of (agent_no, place, match) found in one text; a projection, no shuffle."""
     found = []
     for number, entry in enumerate(registry):
         for place, term in enumerate(entry["routing_terms"]):
             hit = F.struct(F.lit(number).alias("agent_no"), F.lit(place).alias("place"), F.lit(term).alias("match"))
-            found.append(F.when(contains_term(text, term), hit))
+            found.append(F.when(contains_term(body, term), hit))
         if clause_type is None:
             continue
         for place, kind in enumerate(entry["clause_types"], len(entry["routing_terms"])):
@@ -40,17 +41,17 @@ def specialists(deal_documents: DataFrame, chunks: DataFrame, registry: Sequence
     registry-many rows per partition."""
     registry = domains.REGISTRY if registry is None else registry
     spark = chunks.sparkSession
-    in_text = chunks.select("document_name", F.inline(_matches(F.col("text"), F.col("clause_type"), registry)))
-    in_name = deal_documents.select("document_name").distinct().select(
-        "document_name", F.inline(_matches(F.col("document_name"), None, registry))
-    )
+    bodies = chunks.select("document_name", "clause_type", T.routing_text(F.col("text")).alias("body"))
+    in_text = bodies.select("document_name", F.inline(_matches(F.col("body"), F.col("clause_type"), registry)))
+    names = deal_documents.select("document_name").distinct().withColumn("body", T.routing_text(F.col("document_name")))
+    in_name = names.select("document_name", F.inline(_matches(F.col("body"), None, registry)))
     per_document = in_text.unionByName(in_name).distinct()
     per_deal = deal_documents.join(per_document, "document_name").select("deal_id", "agent_no", "place", "match").distinct()
-    names = domains.frame(spark, [(i, r["agent"]) for i, r in enumerate(registry)], "agent_no int, agent string")
+    agents = domains.frame(spark, [(i, r["agent"]) for i, r in enumerate(registry)], "agent_no int, agent string")
     chosen = (
         per_deal.groupBy("deal_id", "agent_no")
         .agg(F.array_sort(F.collect_set(F.struct("place", "match"))).alias("ordered"))
-        .join(names, "agent_no")
+        .join(agents, "agent_no")
         .select(
             "deal_id", "agent", F.array_distinct(F.transform("ordered", lambda x: x["match"])).alias("matched_terms"),
             F.lit(False).alias("used_fallback"),

@@ -46,10 +46,10 @@ def postings(chunks: DataFrame) -> DataFrame:
 
     All rows of a group come from one input row, so partial aggregation finishes the work
     before the shuffle; a group is bounded by the chunk size."""
-    words = T.terms(F.col("text"))
     payload = [c for c in PAYLOAD if c in chunks.columns]
-    exploded = chunks.select(
-        "chunk_id", *payload, F.size(words).alias("length"), F.posexplode(words).alias("position", "term")
+    words = chunks.select("chunk_id", *payload, T.terms(F.col("text")).alias("words"))
+    exploded = words.withColumn("length", F.size("words")).select(
+        "chunk_id", *payload, "length", F.posexplode("words").alias("position", "term")
     )
     return exploded.groupBy("term", "chunk_id").agg(
         F.count("*").cast("int").alias("tf"),

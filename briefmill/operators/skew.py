@@ -1,0 +1,27 @@
+"""Helpers that keep groups bounded when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+PAGE_SIZE = 10_000
+
+
+def hash_number(value: Column) -> Column:
+    """A number from a content hash, the same in every engine."""
+    return F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("bigint")
+
+
+def paged(df: DataFrame, keys: list[str], id_column: str, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Add a ``page`` number so that (keys, page) groups stay near ``page_size`` rows.
+
+    Nothing is dropped: ordinary groups are page 0, a hot group spreads over as many pages
+    as it needs.  The table of hot groups has at most rows/page_size entries and joins at
+    run time by broadcast only if Spark measures it as small."""
+    hot = (
+        df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > page_size)
+        .select(*keys, F.ceil(F.col("_n") / page_size).cast("bigint").alias("_pages"))
+    )
+    spread = F.pmod(hash_number(F.col(id_column).cast("string")), F.col("_pages"))
+    return df.join(hot, keys, "left").withColumn("page", F.coalesce(spread, F.lit(0).cast("bigint"))).drop("_pages")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from briefmill import domains
+from briefmill.functions import text as T
 from briefmill.operators import routing, search
 from briefmill.plans import inputs as I
 from briefmill.plans.inputs import SQL_SECTION, SQL_TERM
@@ -314,9 +315,9 @@ cte("registry_rn", "select *, row_number() over () as rn from d_registry", "d_re
 
 @query("route_contains_term", "select doc_id, term from doc_routes join registry_rn using (rn)", "doc_routes", "registry_rn")
 def _contains(spark, sf):
-    body = F.col("text")
-    hits = F.array_compact(F.array(*[F.when(routing.contains_term(body, w), F.lit(w)) for w in _WORDS]))
-    return I.table(spark, sf, "documents").select("doc_id", F.explode(hits).alias("term"))
+    docs = I.table(spark, sf, "documents").select("doc_id", T.routing_text(F.col("text")).alias("body"))
+    hits = F.array_compact(F.array(*[F.when(routing.contains_term(F.col("body"), w), F.lit(w)) for w in _WORDS]))
+    return docs.select("doc_id", F.explode(hits).alias("term"))
 
 
 cte("deal_documents", """

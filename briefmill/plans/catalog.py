@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from briefmill.plans import debate_queries, finding_queries, hitl_queries, search_queries, text_queries, verdict_queries  # noqa: F401
+from briefmill.plans import (  # noqa: F401
+    debate_queries, finding_queries, graph_queries, hitl_queries, search_queries, table_queries, text_queries, verdict_queries,
+)
 from briefmill.plans.registry import ORACLE, QUERIES  # noqa: F401

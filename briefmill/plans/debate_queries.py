@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from briefmill import domains
 from briefmill.operators import debate as ops
 from briefmill.operators import findings as fnd
+from briefmill.operators import prompts
 from briefmill.plans import inputs as I
 from briefmill.plans.debate_replay import replay
 from briefmill.plans.registry import cte, query
@@ -78,6 +79,17 @@ def _exit(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query("txt_debate_prompts", """
+  select f.finding_id, p.persona, cast(1 as bigint) as round, 'DEBATE DIMENSION: ' || f.dimension || chr(10) || 'CORE QUESTION: ' || d.core_question || chr(10) || 'ROUND: 1'
+         || chr(10) || chr(10) || 'FINDING UNDER DEBATE:' || chr(10) || '  Claim: ' || f.claim || chr(10) || '  Citation: ' || f.citation || chr(10) || '  Current Confidence: medium' as prompt
+  from fx_debated f join d_gate g using (deal_id, dimension) join d_persona p on (g.mode = 'full' or p.in_limited) join d_dim d on d.dimension = f.dimension""",
+       "fx_debated", "d_gate", "d_persona", "d_dim")
+def _debate_prompts(spark, sf):
+    modes, found = gate(spark, sf), I.debated_findings(spark, sf)
+    plan = ops.task_plan(ops.initial_states(modes), modes, found, 1)
+    return prompts.debate_prompts(plan, found.withColumn("confidence", F.lit("medium")), domains.dimensions(spark).select("dimension", "core_question"))
+
+
 cte("cited", """
   select argument_id, 0 as pos, citation_1 as citation from fx_arguments union all
   select argument_id, 1, citation_2 from fx_arguments""", "fx_arguments")

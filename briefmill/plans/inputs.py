@@ -89,8 +89,11 @@ _B = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def sectioned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_lines(table(spark, sf_dir, "documents"))
+
+
+def section_lines(docs: DataFrame) -> DataFrame:
     """Legal-looking structure over the prose: headers, references, definition sections."""
-    docs = table(spark, sf_dir, "documents")
     name = F.concat(F.lit("doc-"), F.col("doc_id"))
     lines = docs.select(
         name.alias("document_name"), F.posexplode(F.split("text", "\n")).alias("pos", "raw")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from briefmill import domains
 from briefmill.functions import text as T
-from briefmill.operators import routing, search
+from briefmill.operators import prompts, routing, search
 from briefmill.plans import inputs as I
 from briefmill.plans.inputs import SQL_SECTION, SQL_TERM
 from briefmill.plans.registry import cte, query
@@ -386,3 +386,16 @@ def _suggested(spark, sf):
        "fx_findings", "d_agent")
 def _enrich(spark, sf):
     return routing.enrich_findings(I.findings(spark, sf).select("finding_id", "agent"))
+
+
+@query("txt_prompt_table", """
+  select agent, chunk_id, 'Analyze the following passage for ' || domain || ' issues.' || chr(10) || chr(10) || '<untrusted_source doc_id="'
+         || document_name || '" section="' || section_id || '" page="' || absolute_page || '">' || chr(10) || text || chr(10) || '</untrusted_source>' as prompt
+  from classified join (select distinct agent, clause_type from d_registry) using (clause_type) join d_agent using (agent)""",
+       "classified", "d_registry", "d_agent")
+def _prompts(spark, sf):
+    """Every chunk goes to the specialists of its clause type."""
+    rows = I.chunks(spark, sf)
+    registry = I.agent_registry(spark).select("agent", F.explode("clause_types").alias("clause_type"))
+    hits = rows.join(registry, "clause_type").select("agent", "chunk_id")
+    return prompts.analysis_prompts(hits, rows, domains.agents(spark))

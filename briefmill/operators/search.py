@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefmill.functions import text as T
+from briefmill.session import cut_lineage
 
 K1 = 1.2
 B = 0.75
@@ -87,17 +88,23 @@ def _saturation(tf: Column, length: Column, mean_length: Column) -> Column:
     return tf / (tf + K1 * (1 - B + B * length / mean_length))
 
 
-def allowed() -> Column:
-    """Exact filters of the query against the posting's own columns."""
-    by_document = F.col("q_document").isNull() | (F.col("document_name") == F.col("q_document"))
-    by_type = F.coalesce(F.size("q_types"), F.lit(0)) < 1
-    return by_document & (by_type | F.array_contains("q_types", F.col("clause_type")))
+def _type_allowed() -> Column:
+    return (F.coalesce(F.size("q_types"), F.lit(0)) < 1) | F.array_contains("q_types", F.col("clause_type"))
 
 
-def top_k(scored: DataFrame, limit: Column, order: Sequence[Column] | None = None) -> DataFrame:
+def filtered_join(wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Join on ``key`` under the exact filters.  A document filter becomes part of the join
+    key, so a query on one document never meets another document's rows."""
+    loose = wanted.filter(F.col("q_document").isNull()).drop("q_document").join(rows, key)
+    strict = wanted.filter(F.col("q_document").isNotNull()).withColumnRenamed("q_document", "document_name").join(
+        rows, [key, "document_name"])
+    return loose.unionByName(strict).filter(_type_allowed()).drop("q_types")
+
+
+def top_k(scored: DataFrame, limit: Column, order: Sequence[Column] | None = None, key: str = "query_id") -> DataFrame:
     """Best rows per query, at most ``limit`` (itself at most MAX_SIZE)."""
     order = order or [F.desc("score"), F.asc("chunk_id")]
-    best = Window.partitionBy("query_id").orderBy(*order)
+    best = Window.partitionBy(key).orderBy(*order)
     return (
         scored.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= MAX_SIZE)
@@ -111,91 +118,105 @@ def _filters_of(queries: DataFrame) -> DataFrame:
     )
 
 
-def candidates(entries: DataFrame, lookups: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
-    """(lookup, chunk) holding the lookup's rarest term and passing the query's filters.
+def split_rarest(lookups: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rarest term of each lookup, and its other terms.
 
-    ``lookups`` has (lookup_id, query_id, term) rows; a lookup with a term the index lacks
-    has no candidates because all of its terms are required."""
+    ``lookups``: (lookup_id, place, term, weight).  A lookup with a term the index lacks is
+    dropped, because all of its terms are required."""
     known = lookups.join(stats, "term", "left")
+    row = F.struct("place", "term", "weight", "df")
     rarest = (
-        known.groupBy("lookup_id", "query_id")
-        .agg(
-            F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"),
-            F.max(F.col("df").isNull()).alias("missing"),
-        )
-        .filter(~F.col("missing"))
-        .drop("missing")
+        known.groupBy("lookup_id")
+        .agg(F.min_by(row, F.struct("df", "place")).alias("r"), F.max(F.col("df").isNull()).alias("missing"),
+             F.count("*").alias("n_terms"))
+        .filter(~F.col("missing")).select("lookup_id", "r.*", "n_terms")
     )
-    payload = [c for c in PAYLOAD if c in entries.columns]
-    found = rarest.join(entries.select("term", "chunk_id", *payload), "term").join(_filters_of(queries), "query_id")
-    return found.filter(allowed()).select("lookup_id", "query_id", "chunk_id")
+    others = known.join(rarest.select("lookup_id", F.col("place").alias("first")), "lookup_id").filter(
+        F.col("place") != F.col("first")).select("lookup_id", "place", "term", "weight", "df")
+    return rarest, others
 
 
 def bm25_and(index: Index, queries: DataFrame) -> DataFrame:
-    """All terms of the query text required; BM25 score; best ``size`` chunks per query."""
-    stats, corpus = index.terms, index.corpus
+    """All terms of the query text required; BM25 score; best ``size`` chunks per query.
+
+    Queries with the same terms and filters are scored once and share the ranking."""
+    n_chunks = index.corpus.select("n_chunks").scalar()
+    mean_length = index.corpus.select("mean_length").scalar()
+    words = F.array_sort(T.terms(F.col("text")))
+    prepared = _filters_of(queries).join(queries.select("query_id", words.alias("words")), "query_id").withColumn(
+        "q_types", F.array_sort(F.coalesce("q_types", F.array().cast("array<string>")))
+    ).withColumn("signature", F.to_json(F.struct("words", "q_document", "q_types")))
+    shared = prepared.groupBy("signature").agg(
+        F.min("query_id").alias("lookup_id"), F.first("words").alias("words"), F.first("q_document").alias("q_document"),
+        F.first("q_types").alias("q_types"), F.max("size").alias("size"))
+    shared = cut_lineage(shared)
     lookups = (
-        queries.select(F.col("query_id").alias("lookup_id"), "query_id", F.explode(T.terms(F.col("text"))).alias("term"))
-        .groupBy("lookup_id", "query_id", "term").agg(F.count("*").alias("weight"))
+        shared.select("lookup_id", F.explode("words").alias("term"))
+        .groupBy("lookup_id", "term").agg(F.count("*").alias("weight")).withColumn("place", F.col("term"))
     )
-    needed = lookups.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    weighted = lookups.join(stats, "term").select("lookup_id", "term", "weight", "df")
-    scored = (
-        candidates(index.postings, lookups, stats, queries)
-        .join(weighted, "lookup_id")
-        .join(index.postings.select("chunk_id", "term", "tf", "length"), ["chunk_id", "term"])
-        .groupBy("query_id", "chunk_id")
-        .agg(
-            F.count("*").alias("hits"),
-            F.sum(
-                F.col("weight")
-                * _idf(F.col("df"), corpus.select("n_chunks").scalar())
-                * _saturation(F.col("tf"), F.col("length"), corpus.select("mean_length").scalar())
-            ).alias("score"),
-        )
-        .join(needed, "query_id")
-        .filter(F.col("hits") == F.col("n_terms"))
-        .join(queries.select("query_id", "size"), "query_id")
-        .select("query_id", "chunk_id", F.round("score", 6).alias("score"), "size")
+    rarest, others = split_rarest(cut_lineage(lookups), index.terms)
+    part = lambda: F.col("weight") * _idf(F.col("df"), n_chunks) * _saturation(F.col("tf"), F.col("length"), mean_length)
+    wanted = rarest.join(shared.select("lookup_id", "q_document", "q_types"), "lookup_id")
+    found = filtered_join(wanted, index.postings.select("term", "chunk_id", "tf", "length", *PAYLOAD), "term").select(
+        "lookup_id", "chunk_id", "length", "n_terms", part().alias("score"))
+    probed = (
+        found.filter(F.col("n_terms") > 1)
+        .join(others.drop("place"), "lookup_id")
+        .join(index.postings.select("chunk_id", "term", "tf"), ["chunk_id", "term"])
+        .groupBy("lookup_id", "chunk_id", "n_terms", F.col("score").alias("first_score"))
+        .agg(F.count("*").alias("hits"), F.sum(part()).alias("rest"))
+        .filter(F.col("hits") == F.col("n_terms") - 1)
+        .select("lookup_id", "chunk_id", (F.col("first_score") + F.col("rest")).alias("score"))
     )
-    return top_k(scored, F.col("size")).drop("size")
+    scored = found.filter(F.col("n_terms") == 1).select("lookup_id", "chunk_id", "score").unionByName(probed)
+    ranked = top_k(scored.withColumn("score", F.round("score", 6)), F.lit(MAX_SIZE), key="lookup_id")
+    members = prepared.join(shared.select("signature", "lookup_id"), "signature").select("query_id", "lookup_id", "size")
+    return members.join(ranked, "lookup_id").filter(F.col("rank") <= F.col("size")).select("query_id", "chunk_id", "score", "rank")
+
+
+def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
+    """(phrase, chunk) with frequency and summed idf, for distinct (lookup_id, words) phrases.
+
+    A phrase is driven by its rarest term; its frequency is the number of start positions
+    shared by all of its terms."""
+    n_chunks = index.corpus.select("n_chunks").scalar()
+    lookups = phrases.select("lookup_id", F.posexplode("words").alias("place", "term"), F.lit(1).alias("weight"))
+    rarest, others = split_rarest(lookups, index.terms)
+    starts = F.transform("positions", lambda p: p - F.col("place"))
+    found = rarest.join(index.postings.select("term", "chunk_id", "positions", "length", *PAYLOAD), "term").select(
+        "lookup_id", "chunk_id", "length", *PAYLOAD, "n_terms", starts.alias("starts"), _idf(F.col("df"), n_chunks).alias("idf"))
+    single = found.filter(F.col("n_terms") == 1).withColumn("tf", F.size("starts"))
+    many = (
+        found.filter(F.col("n_terms") > 1).join(others, "lookup_id")
+        .join(index.postings.select("chunk_id", "term", "positions"), ["chunk_id", "term"])
+        .groupBy("lookup_id", "chunk_id")
+        .agg(F.first("length").alias("length"), *[F.first(c).alias(c) for c in PAYLOAD], F.first("n_terms").alias("n_terms"),
+             F.first("starts").alias("starts"), F.collect_list(starts).alias("rest"),
+             (F.first("idf") + F.sum(_idf(F.col("df"), n_chunks))).alias("idf"))
+        .filter(F.size("rest") == F.col("n_terms") - 1)
+        .withColumn("tf", F.size(F.aggregate("rest", F.col("starts"), lambda a, b: F.array_intersect(a, b))))
+        .filter(F.col("tf") > 0)
+    )
+    columns = ["lookup_id", "chunk_id", *PAYLOAD, "length", "idf", "tf"]
+    return single.select(*columns).unionByName(many.select(*columns))
 
 
 def phrases_or(index: Index, queries: DataFrame) -> DataFrame:
     """Query text or any expanded term as an exact phrase; scores of matching phrases add up.
 
-    A phrase is looked up through its rarest term; its frequency is the number of start
-    positions shared by all of its terms."""
-    stats, corpus = index.terms, index.corpus
-    all_phrases = F.concat(F.array("text"), F.coalesce("expanded_terms", F.array().cast("array<string>")))
-    phrases = queries.select("query_id", F.posexplode(all_phrases).alias("phrase_no", "phrase"))
-    lookups = phrases.select(
-        F.concat_ws("#", "query_id", F.col("phrase_no").cast("string")).alias("lookup_id"),
-        "query_id", F.posexplode(T.terms(F.col("phrase"))).alias("offset", "term"),
-    )
-    sizes = lookups.groupBy("lookup_id").agg(F.count("*").alias("n_terms"))
-    frequency = (
-        candidates(index.postings, lookups, stats, queries)
-        .join(lookups.join(stats, "term").select("lookup_id", "term", "offset", "df"), "lookup_id")
-        .join(index.postings.select("chunk_id", "term", "positions", "length"), ["chunk_id", "term"])
-        .groupBy("query_id", "lookup_id", "chunk_id")
-        .agg(
-            F.collect_list(F.expr("transform(positions, p -> p - offset)")).alias("starts"),
-            F.sum(_idf(F.col("df"), corpus.select("n_chunks").scalar())).alias("idf"),
-            F.first("length").alias("length"),
-        )
-        .join(sizes, "lookup_id")
-        .filter(F.size("starts") == F.col("n_terms"))
-        .withColumn("tf", F.size(F.aggregate("starts", F.col("starts")[0], lambda a, b: F.array_intersect(a, b))))
-        .filter(F.col("tf") > 0)
-    )
+    Each distinct phrase is matched once, however many queries contain it."""
+    texts = F.concat(F.array("text"), F.coalesce("expanded_terms", F.array().cast("array<string>")))
+    asked = queries.select("query_id", F.explode(texts).alias("phrase")).withColumn("words", T.terms(F.col("phrase"))).filter(
+        F.size("words") > 0).select("query_id", F.array_join("words", " ").alias("lookup_id"), "words")
+    asked = cut_lineage(asked)
+    hits = phrase_hits(index, asked.select("lookup_id", "words").distinct())
+    mean_length = index.corpus.select("mean_length").scalar()
+    part = F.col("idf") * _saturation(F.col("tf"), F.col("length"), mean_length)
+    wanted = asked.select("query_id", "lookup_id").join(_filters_of(queries), "query_id")
     scored = (
-        frequency.groupBy("query_id", "chunk_id")
-        .agg(F.sum(
-            F.col("idf") * _saturation(F.col("tf"), F.col("length"), corpus.select("mean_length").scalar())
-        ).alias("score"), F.count("*").alias("phrases"))
-        .join(queries.select("query_id", "size"), "query_id")
-        .select("query_id", "chunk_id", F.round("score", 6).alias("score"), "phrases", "size")
+        filtered_join(wanted, hits.select("lookup_id", "chunk_id", *PAYLOAD, part.alias("score")), "lookup_id")
+        .groupBy("query_id", "chunk_id", "size")
+        .agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("phrases"))
     )
     return top_k(scored, F.col("size")).drop("size")
 
@@ -230,7 +251,7 @@ def named_section(text: Column) -> Column:
 def section_or_bm25(index: Index, queries: DataFrame) -> DataFrame:
     """A query naming an existing section returns that section's chunks; the rest are scored."""
     named = queries.withColumn("section_id", named_section(F.col("text")))
-    resolved = resolve_sections(index.chunks, named.filter(F.col("section_id").isNotNull()))
+    resolved = cut_lineage(resolve_sections(index.chunks, named.filter(F.col("section_id").isNotNull())))
     filtered = resolved.join(_filters_of(queries), "query_id").filter(
         (F.coalesce(F.size("q_types"), F.lit(0)) < 1) | F.array_contains("q_types", F.col("clause_type"))
     )
@@ -238,7 +259,9 @@ def section_or_bm25(index: Index, queries: DataFrame) -> DataFrame:
         filtered.select("query_id", "chunk_id", "score", F.col("rank").alias("place"), "size"),
         F.col("size"), [F.asc("place")],
     ).select("query_id", "chunk_id", "score", "rank", F.lit("section").alias("route"))
-    rest = queries.join(resolved.select("query_id").distinct(), "query_id", "left_anti")
+    rest = cut_lineage(queries.join(resolved.select("query_id").distinct(), "query_id", "left_anti"))
+    if rest.isEmpty():
+        return direct
     scored = bm25_and(index, rest).select("query_id", "chunk_id", "score", "rank", F.lit("bm25").alias("route"))
     return direct.unionByName(scored)
 
@@ -272,6 +295,7 @@ def section_pointers(chunks: DataFrame, hits: DataFrame, limit: int = POINTER_LI
     """Hits plus up to ``limit`` chunks of sections they refer to and do not already include.
 
     ``hits`` has (query_id, chunk_id, score); at most MAX_SIZE rows per query."""
+    hits = cut_lineage(hits.select("query_id", "chunk_id", "score"))
     placed = hits.join(chunks.select("chunk_id", "section_id", "references_sections"), "chunk_id")
     present = placed.select("query_id", "section_id").distinct()
     order = Window.partitionBy("query_id").orderBy("section_id")

@@ -9,6 +9,7 @@ from briefmill import domains
 from briefmill.functions import text as T
 from briefmill.operators import search
 from briefmill.operators.skew import PAGE_SIZE, paged
+from briefmill.session import cut_lineage
 
 OPEN_STATES = ["contested", "unresolved"]
 KEY = ["deal_id", "dimension"]
@@ -44,7 +45,7 @@ def evidence_queries(candidates: DataFrame, size: int = 5) -> DataFrame:
 
 def evidence_missing(candidates: DataFrame, index: search.Index) -> DataFrame:
     """Unresolved findings whose section and citation are found nowhere under their clause type."""
-    queries = evidence_queries(candidates)
+    queries = cut_lineage(evidence_queries(candidates))
     found = search.section_or_bm25(index, queries).select("query_id").distinct()
     return queries.join(found, "query_id", "left_anti").select(F.col("query_id").alias("finding_id"))
 

@@ -200,12 +200,17 @@ cte("final_states", """
 
 
 def final_states(spark, sf):
+    """Final dimension states, stored as the debate leaves them."""
+    return I.stored(spark, sf, "states", lambda: rolled_states(spark, sf))
+
+
+def rolled_states(spark, sf):
     return ops.dimension_rollup(ops.finding_consensus(I.arguments(spark, sf)), ops.initial_states(gate(spark, sf)))
 
 
 @query("deb_dimension_rollup", "select deal_id, dimension, state from final_states", "final_states")
 def _rollup(spark, sf):
-    return final_states(spark, sf).select("deal_id", "dimension", "state")
+    return rolled_states(spark, sf).select("deal_id", "dimension", "state")
 
 
 def compressed(spark, sf):

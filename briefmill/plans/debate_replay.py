@@ -24,6 +24,7 @@ def replay(responses: DataFrame, gate: DataFrame, findings: DataFrame, chunks: D
 
     A round's results are checkpointed to the shared folder, so later rounds neither
     recompute earlier ones nor depend on one executor's memory."""
+    gate, findings = cut_lineage(gate), cut_lineage(findings)
     log = debate.initial_states(gate)
     done: list[DataFrame] = []
     for number in range(1, domains.MAX_ROUNDS + 1):

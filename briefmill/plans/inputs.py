@@ -260,7 +260,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index(spark: SparkSession, sf_dir: str) -> search.Index:
     rows = chunks(spark, sf_dir)
     entries = stored(spark, sf_dir, "postings", lambda: search.postings(rows))
-    return search.Index(rows, entries, search.term_stats(rows), search.corpus_stats(rows))
+    terms = stored(spark, sf_dir, "terms", lambda: search.term_stats(rows))
+    corpus = stored(spark, sf_dir, "corpus", lambda: search.corpus_stats(rows))
+    return search.Index(rows, entries, terms, corpus)
 
 
 # ---- retrieval requests -----------------------------------------------------------------------
@@ -424,7 +426,11 @@ cte("fx_debated_full", "select d.*, clause_type from fx_debated d join d_clause
 
 
 def debated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings the recorded arguments are about."""
+    """The findings the recorded arguments are about, stored."""
+    return stored(spark, sf_dir, "debated", lambda: _debated_findings(spark, sf_dir))
+
+
+def _debated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.substring("finding_id", 2, 20).cast("bigint")
     return (
         arguments(spark, sf_dir).groupBy("finding_id")

@@ -27,7 +27,8 @@ def _postings(spark, sf):
 @query("ir_corpus_stats", """
   select term, df, n_chunks, round(mean_length, 6) as mean_length from df, corpus""", "df", "corpus")
 def _corpus(spark, sf):
-    index = I.index(spark, sf)
+    rows = I.chunks(spark, sf)
+    index = search.Index(rows, rows, search.term_stats(rows), search.corpus_stats(rows))
     return index.terms.select(
         "term", "df", index.corpus.select("n_chunks").scalar().alias("n_chunks"),
         index.corpus.select("mean_length").scalar().alias("mean_length"))

@@ -85,13 +85,18 @@ def gate_corroboration(arguments: DataFrame) -> DataFrame:
 
 
 def gate_contradiction(arguments: DataFrame) -> DataFrame:
-    """Flag a stance that differs from the persona's latest earlier round without explanation."""
-    earlier = Window.partitionBy("finding_id", "persona").orderBy("round").rangeBetween(Window.unboundedPreceding, -1)
-    before = F.max_by("stance", F.struct(F.col("round"), (-F.col("argument_id")).alias("first"))).over(earlier)
+    """Flag a stance that differs from the persona's latest earlier round without explanation.
+
+    Arguments shrink to one stance per persona and round before the window, which then sees
+    as many rows per persona as there are rounds."""
+    key = ["finding_id", "persona", "round"]
+    stances = arguments.groupBy(*key).agg(F.min_by("stance", "argument_id").alias("stance"))
+    rounds = Window.partitionBy("finding_id", "persona").orderBy("round")
+    before = stances.select(*key, F.lag("stance").over(rounds).alias("_before"))
     explained = F.length(T.strip(F.coalesce("notes", F.lit("")))) > EXPLANATION_LENGTH
-    reversed_ = F.coalesce(before != F.col("stance"), F.lit(False)) & ~explained
+    reversed_ = F.coalesce(F.col("_before") != F.col("stance"), F.lit(False)) & ~explained
     flag = F.col("contradiction_flag") if "contradiction_flag" in arguments.columns else F.lit(False)
-    return arguments.withColumn("contradiction_flag", flag | reversed_)
+    return arguments.join(before, key).withColumn("contradiction_flag", flag | reversed_).drop("_before")
 
 
 def fill_dropouts(plan: DataFrame, responses: DataFrame) -> DataFrame:

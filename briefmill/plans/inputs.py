@@ -115,7 +115,7 @@ def section_lines(docs: DataFrame) -> DataFrame:
         F.inline(F.when(F.col("pos") % SECTION_LINES == 0, F.array(header, body)).otherwise(F.array(body))),
     )
     first_word = F.element_at(F.regexp_extract_all("text", F.lit(T.TERM), 0), 1)
-    front = docs.filter(F.col("doc_id") % 10 == 0).select(
+    front = docs.select(
         name.alias("document_name"), F.lit(0).alias("page_index"),
         F.inline(F.array(
             F.struct(F.lit(-2).alias("seq"), F.lit("Section 0. Definitions").alias("line")),
@@ -138,11 +138,11 @@ cte("fx_lines", f"""
          raw || case when pos % 7 = 3 then ' see Section ' || (1 + pos % 4) || '.' else '' end
   from raw_lines where trim(raw, {_B}) <> ''
   union all
-  select 'doc-' || doc_id, 0, -2, 'Section 0. Definitions' from documents where doc_id % 10 = 0
+  select 'doc-' || doc_id, 0, -2, 'Section 0. Definitions' from documents
   union all
   select 'doc-' || doc_id, 0, -1, line from (
     select doc_id, '"' || nullif(regexp_extract(text, '[\\p{{L}}\\p{{N}}_]+'), '') || '" means the ' || source || ' term.' as line
-    from documents where doc_id % 10 = 0) where line is not null""", "raw_lines")
+    from documents) where line is not null""", "raw_lines")
 
 SQL_TOKEN = r"[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}_]+)*"
 SQL_TERM = r"[\p{L}\p{N}_]+"
@@ -444,10 +444,11 @@ def _debated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 cte("fx_decisions", """
-  select concat('F', cast(floor(event_id / 18) as bigint)) as finding_id,
-         case user_id % 4 when 0 then 'confirmed' when 1 then 'evidence_not_found' else 'overridden' end as status,
+  select finding_id, case user_id % 4 when 0 then 'confirmed' when 1 then 'evidence_not_found' else 'overridden' end as status,
          user_id % 4 = 2 as judge_override_flag, concat('rationale ', user_id) as synthesis_rationale
-  from events where event_id % 18 = 0 and user_id % 4 <> 3""")
+  from (select concat('F', cast(floor(event_id / 18) as bigint)) as finding_id, min_by(user_id, event_id) as user_id
+        from events group by 1)
+  where user_id % 4 <> 3""")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

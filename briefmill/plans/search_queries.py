@@ -287,12 +287,12 @@ def _relevance(spark, sf):
   from d_agent left join (select agent, count(*) as n, count(*) filter (where {_MD5} <> 1) as r from agent_hits group by 1) h using (agent)
   left join (select agent, count(*) as n from fx_findings group by 1) f using (agent)
   left join (select agent, max('timeout') as error from (
-       select 1 + event_id % 16 as agent_idx from events where event_type = 'error' and event_id % 5 = 0) join d_agent using (agent_idx)
+       select 1 + event_id % 16 as agent_idx from events where event_type = 'error') join d_agent using (agent_idx)
        group by 1) e using (agent)""", "d_agent", "agent_hits", "fx_findings")
 def _stats(spark, sf):
     hits = agent_hits(spark, sf)
     agents = domains.agents(spark)
-    runs = I.table(spark, sf, "events").filter((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0)).select(
+    runs = I.table(spark, sf, "events").filter(F.col("event_type") == "error").select(
         (F.col("event_id") % 16 + 1).alias("agent_idx"), F.lit("timeout").alias("error")).join(agents, "agent_idx")
     findings = I.findings(spark, sf)
     return search.agent_stats(hits, relevance(hits), findings, runs.select("agent", "error"), agents)

@@ -6,6 +6,7 @@ a bucketed table.  A retried batch writes the same rows again."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -173,7 +174,9 @@ def sla_timeouts(events: DataFrame, hours: int = 24, delay: str = "0 seconds", s
             closed += batch.loc[~is_open, "ms"].tolist()
         now = state.getCurrentWatermarkMs()
         due = [(ms, ident) for ms, ident in opened if ms + limit < now]
-        late = [(ms, ident) for ms, ident in due if not any(ms < c <= ms + limit for c in closed)]
+        closed.sort()
+        after = lambda ms: closed[at] if (at := bisect_right(closed, ms)) < len(closed) else None
+        late = [(ms, ident) for ms, ident in due if (c := after(ms)) is None or c > ms + limit]
         opened = [(ms, ident) for ms, ident in opened if ms + limit >= now]
         horizon = min((ms for ms, _ in opened), default=now)
         closed = [c for c in closed if c > horizon]

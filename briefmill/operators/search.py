@@ -143,8 +143,9 @@ def bm25_and(index: Index, queries: DataFrame) -> DataFrame:
     n_chunks = index.corpus.select("n_chunks").scalar()
     mean_length = index.corpus.select("mean_length").scalar()
     words = F.array_sort(T.terms(F.col("text")))
-    prepared = _filters_of(queries).join(queries.select("query_id", words.alias("words")), "query_id").withColumn(
-        "q_types", F.array_sort(F.coalesce("q_types", F.array().cast("array<string>")))
+    prepared = queries.select(
+        "query_id", "size", words.alias("words"), F.col("document_name").alias("q_document"),
+        F.array_sort(F.coalesce("clause_types", F.array().cast("array<string>"))).alias("q_types"),
     ).withColumn("signature", F.to_json(F.struct("words", "q_document", "q_types")))
     shared = prepared.groupBy("signature").agg(
         F.min("query_id").alias("lookup_id"), F.first("words").alias("words"), F.first("q_document").alias("q_document"),

@@ -283,12 +283,17 @@ def decode(docs: DataFrame, path: str = TOKENIZER, ids: str = "ids", out: str =
     return docs.withColumn(out, decoded(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def tokenized(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """Per row: doc_id, ids, n_tokens, ids_sha256, decoded_sha256."""
     encoded = encode(docs.select("doc_id", "text"), path).drop("text")
     return decode(encoded, path).select(
-        "doc_id",
+        "doc_id", "ids",
         F.size("ids").cast("bigint").alias("n_tokens"),
         digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         digest(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+def digests(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return tokenized(docs, path).drop("ids")

@@ -34,16 +34,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return to_least.filter(F.col("high") != F.col("low")).distinct()
 
 
+def _oriented(edges: DataFrame) -> DataFrame:
+    return edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()
+
+
+def _trace(edges: DataFrame):
+    """Equal sets of edges have equal counts and sums of hashes."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) after one round: the same components in fewer steps, stars already where one was drawn."""
+    return written(_small_star(_large_star(_oriented(edges))), "edges").select(F.col("high").alias("a"), F.col("low").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the ``edges`` (a, b); root is the least node of its component."""
-    edges = written(
-        edges.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "edges")
-    seen = None
+    edges = written(_oriented(edges), "edges")
+    seen = _trace(edges)
     while True:
         edges = written(_small_star(_large_star(edges)), "edges")
-        # equal sets of edges have equal counts and sums of hashes; in stars no node is both high and low
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
+        now = _trace(edges)
         if now == seen:
             break
         seen = now

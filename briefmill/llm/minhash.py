@@ -6,8 +6,8 @@
 2. Many universal hash minima of a set, cut into bands; a bucket is a band with its minima.  At the linking
    similarity a pair misses all bands with a probability below one in 100,000.
 3. Buckets are searched in blocks.  A round takes some members of each bucket as pivots and pairs them with
-   the members not yet in the pivot's component; the share of pivots doubles from round to round until
-   every member has been one.  So each pair of a bucket is compared or already connected, a group
+   the members not yet in the pivot's component; the share of pivots grows eightfold from round to round
+   until every member has been one.  So each pair of a bucket is compared or already connected, a group
    of copies joins its first pivots, and no round holds more than pivots times members.
 4. A pair is verified by its signatures (agreement far below the similarity ends it), then on the full sets.
 5. Linked classes are connected by large-star and small-star rounds.
@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefmill.llm.common import byte_texts, map_arrow, written
-from briefmill.llm.components import components
+from briefmill.llm.components import components, contracted
 
 WIDTH = 3
 PERCENT = 85
 BANDS = 30
 MISSED = 1e-6  # most probability that a pair at the similarity shares no bucket
-SMALL = 4  # members of a bucket of which all are pivots at once
+SMALL = 8  # members of a bucket of which all are pivots at once
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -195,18 +195,20 @@ def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands:
         return None
     chosen = classes.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "text_key")
     sets = written(_sets(docs, chosen, width, count), "sets")
-    roots = tried = None
+    stars = tried = None
     share = 0
     while True:
         held = buckets.withColumn("label", F.col("node"))
-        if roots is not None:
-            held = buckets.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        if stars is not None:
+            # one label for most of a component is enough to see which pairs are connected already
+            labels = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+            held = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
         # only buckets that still hold more than one component
         split = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
         left = written(held.join(split, "bucket").select("bucket", "node", "size", "first", "place", "label"), "left")
         largest = left.agg(F.max("size")).first()[0]
         if largest is None:
-            return roots
+            break
         is_pivot = (F.col("place") == F.col("first")) | (F.col("place") * F.col("size") < share) | (F.col("size") <= SMALL)
         pivots = left.filter(is_pivot).select("bucket", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
         pairs = (
@@ -217,16 +219,17 @@ def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands:
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = written(_verified(pairs, sets, percent, count), "links")
         if not found.isEmpty():
-            stars = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = components(stars)
+            stars = contracted(found if stars is None else found.unionByName(stars))
         if share >= largest:
-            return roots
+            break
         buckets = left.drop("label")
-        share = 4 * share or 2
+        share = 8 * share or 8
+    return None if stars is None else components(stars)
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
+def _placed(docs: DataFrame, width: int, percent: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows, and (node, component, component_id, doc_id, text_key) of the classes; component_id
+    is the least id of the component, doc_id and text_key are of the class's least document."""
     rows = written(sketches(docs, width, percent, bands), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "text_key"))
     classes = written(
@@ -234,13 +237,33 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         .agg(least.alias("least"), F.first("buckets").alias("buckets"))
         .select("node", "least.doc_id", "least.text_key", "buckets"), "classes")
     roots = _roots(docs, classes, width, percent, bands)
-    placed = classes.select("node", F.col("doc_id").alias("component_id"))
-    if roots is not None:
-        rooted = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        placed = rooted.join(ids, "root").select("node", "component_id")
+    own = classes.select("node", "doc_id", "text_key")
+    if roots is None:
+        return rows, own.withColumns({"component": F.col("node"), "component_id": F.col("doc_id")})
+    rooted = own.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+    ids = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows, written(rooted.join(ids, "component"), "placed")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept."""
+    rows, placed = _placed(docs, width, percent, bands)
+    placed = placed.select("node", "component_id")
     return (
         rows.join(placed, rows["class"] == placed["node"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
+    """The rows of ``docs`` with one row of each component, the one of the least id, and all rows without words."""
+    _, placed = _placed(docs, width, percent, bands)
+    order = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "text_key")
+    chosen = placed.groupBy("component").agg(F.min(order).alias("least")).select(
+        F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_text"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.filter(worded).withColumns({"_own_id": F.col("doc_id").cast("bigint"), "_own_text": F.xxhash64("text")})
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_text") == F.col("_text"))
+    kept = keyed.join(chosen, same, "left_semi").dropDuplicates(["_own_id", "_own_text"])
+    return kept.drop("_own_id", "_own_text").unionByName(docs.filter(~worded))

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from briefmill.llm import bpe, decontaminate, minhash, url_filter
+from briefmill.llm import (
+    bpe, decontaminate, html_extract, language_id, licenses, line_templates, minhash, quality, secrets, url_filter,
+)
 from briefmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": lambda spark, sf_dir: decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op2_language_id": lambda spark, sf_dir: language_id.identify(table(spark, sf_dir, "documents")),
+    "op3_html_extract": lambda spark, sf_dir: html_extract.articles(table(spark, sf_dir, "pages")),
+    "op4_line_templates": lambda spark, sf_dir: line_templates.cleaned(table(spark, sf_dir, "documents")),
+    "op5_secrets": lambda spark, sf_dir: secrets.digests(table(spark, sf_dir, "documents")),
     "op6_minhash": lambda spark, sf_dir: minhash.near_duplicates(table(spark, sf_dir, "documents")),
+    "op7_quality": lambda spark, sf_dir: quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_url_filter": lambda spark, sf_dir: url_filter.judged(table(spark, sf_dir, "pages")),
+    "op9_licenses": lambda spark, sf_dir: licenses.summary(table(spark, sf_dir, "documents")),
     "op10_bpe": lambda spark, sf_dir: bpe.digests(table(spark, sf_dir, "documents")),
 }
 

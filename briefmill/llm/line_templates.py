@@ -1,8 +1,8 @@
 """Line dedup (operator 4) by a log-template tree.
 
 The tree has a fixed depth: a line goes to a leaf by its number of tokens and its leading tokens (those with a
-digit count as variable).  Inside a leaf the lines of all documents vote, position by position: a token that
-stands there in at least ``least_documents`` documents stays, any other is a variable field.  A line's template is
+digit count as variable).  Inside a leaf every distinct line of every document votes, position by position: a
+token with at least ``least_documents`` votes stays, any other is a variable field.  A line's template is
 what stays of it; it needs a share of ``least_constant`` constant tokens.  Templates found in at least
 ``least_documents`` documents recur, and their lines are dropped.
 
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from briefmill.llm.common import byte_texts, map_arrow, written
 
-DEPTH = 3
+DEPTH = 2
 LEAST_DOCUMENTS = 10
-LEAST_CONSTANT = 0.8
+LEAST_CONSTANT = 0.7
 LEAST_TOKENS = 3
 COPY_SHARE = 0.5
 FILTER_BYTES = 4 << 20

@@ -43,10 +43,12 @@ def test_whole_licences_with_edits(spark):
         rows.append((k, "é head\n\n" + " ".join(w) + "\n\ntail"))
     got = {r.doc_id: r.matches for r in x.licences(docs_of(spark, rows)).collect()}
     for k, name in enumerate(x.TEMPLATES):
-        best = max(got[k], key=lambda m: m.dice)
+        rivals = [m for m in got[k] if name.startswith("notice") or not m.license.startswith("notice")]  # a header holds its notice
+        best = max(rivals, key=lambda m: m.dice)
         assert best.license == name, (name, got[k])
         body = rows[k][1][best.start : best.end]
-        assert x.dice(set(zip(b := x.normal_words(body.encode()), b[1:])), set(zip(t := x.normal_words(x.TEMPLATES[name].encode()), t[1:]))) == best.dice
+        sets = [set(zip(w, w[1:])) for w in (x.normal_words(body.encode()), x.normal_words(x.TEMPLATES[name].encode()))]
+        assert x.dice(*sets) == best.dice
 
 
 def test_awkward_documents(spark):

@@ -52,7 +52,7 @@ def rows():
 
 
 def check(spark, rows, **options):
-    defaults = {"depth": 3, "least_documents": 10, "least_constant": 0.8, "least_tokens": 3, "copy_share": 0.5} | options
+    defaults = {"depth": 2, "least_documents": 10, "least_constant": 0.7, "least_tokens": 3, "copy_share": 0.5} | options
     drop = brute([t for _, t in rows], *defaults.values())
     want = sorted((i, None if t is None else "\n".join(line for k, line in enumerate(t.split("\n")) if k not in drop.get(t, ())), len(drop.get(t, ()))) for i, t in rows)
     out = x.drop_recurring_lines(docs_of(spark, rows), filter_bytes=1 << 10, **options)
@@ -77,8 +77,8 @@ def test_variable_fields_are_generalised_and_copies_left(spark):
 
 def test_patterns_of_templates(spark):
     docs = docs_of(spark, rows())
-    leaves = x._leaves(docs, 3, 10, 3)
-    found, _ = x.recurring(x._candidates(docs, leaves, 3, 3, 1 << 12), 10, 0.7)
+    leaves = x._leaves(docs, 2, 10, 3)
+    found, _ = x.recurring(x._candidates(docs, leaves, 2, 3, 1 << 12), 10, 0.7)
     patterns = {r.pattern: r.n_documents for r in found.collect()}
     assert patterns["All rights reserved by the company forever"] == 20
     assert patterns["Posted by <*> in the section for all readers today"] == 12

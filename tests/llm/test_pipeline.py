@@ -37,7 +37,7 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
     before, after = kept[0]
     assert {r.doc_id for r in before.collect()} - {r.doc_id for r in after.collect()} == {60, 61, 62}
     before, after = kept[1]
-    drop = test_line_templates.brute([t for _, t in rows(before)], 3, 10, 0.8, 3, 0.5)
+    drop = test_line_templates.brute([t for _, t in rows(before)], 2, 10, 0.7, 3, 0.5)
     assert drop and rows(after) == sorted(((i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in drop.get(t, ()))) for i, t in rows(before)), key=repr)
     before, after = kept[2]
     want = {i for i, _, _, keep in test_minhash.brute(rows(before), 5, 80) if keep}

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from briefmill import domains
 from briefmill.functions import text as T
-from briefmill.operators.skew import paged
 
 OVERLAP_MINIMUM = 0.3
 MAJORITY = 4
@@ -100,10 +100,15 @@ def gate_contradiction(arguments: DataFrame) -> DataFrame:
 
 
 def fill_dropouts(plan: DataFrame, responses: DataFrame) -> DataFrame:
-    """Planned personas without a response become neutral, speculative dropout arguments."""
+    """Planned personas without a response become neutral, speculative dropout arguments.
+
+    Their ids are made from finding, persona and round: below zero where ids are numbers."""
     key = ["finding_id", "persona", "round"]
+    ident = F.concat_ws(":", F.lit("dropout"), *key)
+    if "argument_id" in responses.columns and not isinstance(responses.schema["argument_id"].dataType, t.StringType):
+        ident = -1 - F.pmod(F.xxhash64(*key), F.lit(1 << 62))
     missing = plan.join(responses, key, "left_anti").select(
-        *key, "deal_id", "dimension", F.lit("neutral").alias("stance"), F.lit(domains.DROPOUT_STEELMAN).alias("steelman"),
+        *key, ident.alias("argument_id"), "deal_id", "dimension", F.lit("neutral").alias("stance"), F.lit(domains.DROPOUT_STEELMAN).alias("steelman"),
         F.lit(domains.DROPOUT_ARGUMENT).alias("argument"), F.array().cast("array<string>").alias("citations"),
         F.lit("speculative").alias("confidence"), F.lit(False).alias("bm25_verified"),
         F.lit(True).alias("dropout_flag"), F.lit(domains.DROPOUT_NOTES).alias("notes"),
@@ -143,7 +148,7 @@ def latest_per_persona(arguments: DataFrame) -> DataFrame:
     """Each persona's argument of its latest round; the first one on a tie.  An aggregate, so
     repeated arguments shrink before the shuffle."""
     keep = [c for c in arguments.columns if c not in ("finding_id", "persona")]
-    newest = F.max_by(F.struct(*keep), F.struct(F.col("round"), (-F.col("argument_id")).alias("first")))
+    newest = F.min_by(F.struct(*keep), F.struct((-F.col("round")).alias("back"), F.col("argument_id")))
     return arguments.groupBy("finding_id", "persona").agg(newest.alias("row")).select("finding_id", "persona", "row.*")
 
 
@@ -245,28 +250,35 @@ def apply_gates(arguments: DataFrame, chunks: DataFrame, history: DataFrame | No
 # ---- compression ---------------------------------------------------------------------------------
 
 
-def compress_rounds(arguments: DataFrame, states: DataFrame) -> DataFrame:
-    """Per (deal, dimension, round): the essential fields of every argument as JSON.
+ROUND_KEYS = ["deal_id", "dimension", "round"]
+FULL_FIELDS = ["argument_id", "persona", "stance", "steelman", "argument", "confidence", "notes"]
+SHORT_FIELDS = ["argument_id", "persona", "stance", "key_claim", "confidence", "notes"]
 
-    A hot dimension gets several pages of bounded size; every argument is on one of them."""
-    keys = ["deal_id", "dimension", "round"]
-    summary = F.struct(
-        "argument_id", "persona", "stance", T.key_claim(F.col("argument")).alias("key_claim"),
-        F.col("citations").alias("citation_ids"), "confidence", "contradiction_flag", "dropout_flag", "notes",
-    )
-    full = F.to_json(F.struct(*arguments.columns))
-    grouped = (
-        paged(arguments, keys, "argument_id").groupBy(*keys, "page")
-        .agg(F.array_sort(F.collect_list(summary)).alias("persona_summaries"),
-             F.sum(T.token_estimate(full)).alias("original_tokens"), F.count("*").alias("argument_count"))
-        .join(states, keys, "left")
-    )
-    doc = F.struct(F.col("round").alias("round_number"), "dimension", "persona_summaries", F.col("state").alias("dimension_state"))
-    return grouped.select(*keys, "page", "argument_count", "original_tokens", F.to_json(doc).alias("summary"))
+
+def _line(names: list[str]) -> Column:
+    """Fields as one text, nulls as nothing."""
+    return F.concat_ws(" | ", *(F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names))
+
+
+def compress_arguments(arguments: DataFrame) -> DataFrame:
+    """Essential fields of every argument, one row each, with the tokens of the full and the short form."""
+    short = arguments.withColumn("key_claim", T.key_claim(F.col("argument")))
+    return short.select(
+        *ROUND_KEYS, "argument_id", "persona", "stance", "key_claim", F.col("citations").alias("citation_ids"), "confidence",
+        "contradiction_flag", "dropout_flag", "notes",
+        T.token_estimate(_line([c for c in FULL_FIELDS if c in arguments.columns])).alias("original_tokens"), T.token_estimate(_line(SHORT_FIELDS)).alias("compressed_tokens"))
+
+
+def compress_rounds(compressed: DataFrame, states: DataFrame) -> DataFrame:
+    """Per (deal, dimension, round): the dimension's state, argument count and token sums."""
+    return compressed.groupBy(*ROUND_KEYS).agg(
+        F.count("*").alias("argument_count"), F.sum("original_tokens").alias("original_tokens"),
+        F.sum("compressed_tokens").alias("compressed_tokens"),
+    ).join(states.select(*ROUND_KEYS, F.col("state").alias("dimension_state")), ROUND_KEYS, "left")
 
 
-def token_reduction(compressed: DataFrame) -> DataFrame:
+def token_reduction(rounds: DataFrame) -> DataFrame:
     """Share of tokens saved per dimension and round."""
-    sums = compressed.groupBy("deal_id", "dimension", "round").agg(
-        F.sum("original_tokens").alias("original_tokens"), F.sum(T.token_estimate(F.col("summary"))).alias("compressed_tokens"))
-    return sums.withColumn("reduction", 1 - F.col("compressed_tokens") / F.col("original_tokens"))
+    return rounds.select(
+        *ROUND_KEYS, "original_tokens", "compressed_tokens",
+        (1 - F.col("compressed_tokens") / F.col("original_tokens")).alias("reduction"))

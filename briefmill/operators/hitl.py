@@ -70,16 +70,17 @@ def resolve_escalations(requests: DataFrame, escalations: DataFrame, findings: D
     """Decide each requested escalation: confirm the finding by an additive record, ask for
     documents, or accept the risk.  The original finding is never changed.
 
-    ``requests`` has (seq, escalation_id, decision, decision_text, resolved_by); only the
-    first request of an escalation can succeed."""
-    first = requests.groupBy("escalation_id").agg(F.min("seq").alias("first_seq"))
+    ``requests`` has (seq, escalation_id, decision, decision_text, resolved_by); the first one of an
+    escalation with a known decision succeeds, later ones find it resolved."""
+    known = F.coalesce(F.col("decision").isin(DECISIONS), F.lit(False))
+    first = requests.groupBy("escalation_id").agg(F.min(F.when(known, F.col("seq"))).alias("first_seq"))
     joined = requests.join(
         escalations.select("escalation_id", "deal_id", "finding_id", F.col("status").alias("old_status")), "escalation_id", "left"
     ).join(first, "escalation_id")
     error = (
         F.when(F.col("old_status").isNull(), "not found")
         .when((F.col("old_status") == "resolved") | (F.col("seq") > F.col("first_seq")), "already resolved")
-        .when(~F.col("decision").isin(DECISIONS), F.concat(F.lit("unknown decision path: "), "decision"))
+        .when(~known, F.concat(F.lit("unknown decision path: "), F.coalesce("decision", F.lit(""))))
     )
     judged = joined.withColumn("error", error)
     good = judged.filter(F.col("error").isNull())
@@ -160,9 +161,9 @@ def route_disputes(requests: DataFrame, findings: DataFrame, states: DataFrame)
 
 
 def reopen_dimensions(disputes: DataFrame, findings: DataFrame, states: DataFrame) -> DataFrame:
-    """States with the dimensions of disputed findings set back to active."""
+    """States with the dimensions of disputed findings set back to active, in the dispute's deal."""
     hit = (
-        disputes.select("finding_id").distinct().join(findings.select("finding_id", "deal_id", "dimension"), "finding_id")
+        disputes.select("deal_id", "finding_id").distinct().join(findings.select("finding_id", "dimension"), "finding_id")
         .select("deal_id", "dimension").distinct().withColumn("_hit", F.lit(True))
     )
     return states.join(hit, ["deal_id", "dimension"], "left").withColumn(

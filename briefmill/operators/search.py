@@ -101,8 +101,15 @@ def filtered_join(wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return loose.unionByName(strict).filter(_type_allowed()).drop("q_types")
 
 
+def accepted_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries asking for 1 to MAX_SIZE rows, and the others with the reason of their refusal."""
+    ok = F.coalesce(F.col("size").between(1, MAX_SIZE), F.lit(False))
+    return queries.filter(ok), queries.filter(~ok).select(
+        "query_id", F.concat(F.lit("size must be between 1 and "), F.lit(MAX_SIZE)).alias("error"))
+
+
 def top_k(scored: DataFrame, limit: Column, order: Sequence[Column] | None = None, key: str = "query_id") -> DataFrame:
-    """Best rows per query, at most ``limit`` (itself at most MAX_SIZE)."""
+    """Best rows per query, at most ``limit``, which ``accepted_queries`` holds at MAX_SIZE or below."""
     order = order or [F.desc("score"), F.asc("chunk_id")]
     best = Window.partitionBy(key).orderBy(*order)
     return (
@@ -315,7 +322,7 @@ def section_pointers(chunks: DataFrame, hits: DataFrame, limit: int = POINTER_LI
 def highlight(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Query terms in the hit's text wrapped in ``<em>``."""
     words = F.array_join(F.array_distinct(T.terms(F.col("q_text"))), "|")
-    pattern = F.concat(F.lit(rf"(?i)(?<!{T.WORD})("), words, F.lit(rf")(?!{T.WORD})"))
+    pattern = F.concat(F.lit(rf"(?iu)(?<!{T.WORD})("), words, F.lit(rf")(?!{T.WORD})"))
     return (
         hits.join(queries.select("query_id", F.col("text").alias("q_text")), "query_id")
         .join(chunks.select("chunk_id", "text"), "chunk_id")
@@ -335,22 +342,25 @@ def synonym_groups(synonyms: DataFrame) -> DataFrame:
     )
 
 
-def synonym_expand(chunks: DataFrame, groups: DataFrame, longest: int = 3) -> DataFrame:
+def synonym_expand(chunks: DataFrame, groups: DataFrame) -> DataFrame:
     """Tokens plus, where a group member occurs, the words of its other members.
 
-    Runs of up to ``longest`` words are looked up in the group table, an equi join."""
+    Runs of as many words as a member has are looked up in the group table, an equi join.  The
+    table is a registry; its member lengths are few numbers."""
     words = F.col("words")
+    lengths = sorted(r[0] for r in groups.select(F.explode("members").alias("m")).select(F.size(T.terms(F.col("m")))).distinct().collect() if r[0] > 0)
 
     def runs_of(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n))
         run = lambda i: F.struct(i.alias("position"), F.array_join(F.slice(words, i + 1, n), " ").alias("run"))
         return F.transform(F.coalesce(starts, F.array().cast("array<int>")), run)
 
-    runs = F.flatten(F.array(*[runs_of(n) for n in range(1, longest + 1)]))
+    runs = F.flatten(F.array(*[runs_of(n) for n in lengths or [1]]))
     base = chunks.select("chunk_id", T.terms(F.col("text")).alias("words"))
     others = (
-        groups.select(F.explode("members").alias("run"), "members")
-        .select("run", F.explode("members").alias("other")).filter(F.col("run") != F.col("other")).distinct()
+        groups.select(F.explode("members").alias("member"), "members")
+        .select(F.array_join(T.terms(F.col("member")), " ").alias("run"), F.col("member"), "members")
+        .select("run", "member", F.explode("members").alias("other")).filter(F.col("member") != F.col("other")).drop("member").distinct()
         .select("run", F.posexplode(T.terms(F.col("other"))).alias("shift", "term"))
     )
     added = (

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefmill import domains
 from briefmill.functions import text as T
 from briefmill.operators import search
-from briefmill.operators.skew import PAGE_SIZE, paged
 from briefmill.session import cut_lineage
 
+PART_LENGTH = 4  # leading characters of an id that make a range of the ranking
 OPEN_STATES = ["contested", "unresolved"]
 KEY = ["deal_id", "dimension"]
 
@@ -82,29 +82,45 @@ def severity_rank(column: str = "severity") -> Column:
 
 
 def brief(findings: DataFrame, states: DataFrame, judged: DataFrame) -> DataFrame:
-    """Findings settled or confirmed by the judge, worst first within the deal.
+    """Findings settled or confirmed by the judge with their rank in the deal, worst first.
 
-    The order is one global sort whose ranges split inside a deal, so a hot deal is not
-    ranked in a single task."""
+    Ranks come in two steps, so that no deal is ranked in one task: counts per (deal, severity, confidence,
+    part of the id's hash range) give each part its offset, and a row is numbered inside its part only."""
     result = judged.select("finding_id", F.col("status").alias("judge_status"), "calibrated_confidence")
     confirmed = F.coalesce(F.col("judge_status") == "confirmed", F.lit(False))
-    return (
+    rows = (
         _with_state(findings, states).join(result, "finding_id", "left")
         .filter((F.col("state") == "settled") | confirmed)
         .select(
             "deal_id", "finding_id", "claim", "severity", F.coalesce("calibrated_confidence", F.lit(1.0)).alias("confidence"),
             "dimension", F.col("citation").alias("section_citation"), "clause_type",
         )
-        .orderBy("deal_id", F.desc(severity_rank()), F.desc("confidence"), "finding_id")
     )
+    return ranked(rows)
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``rank`` in the deal by severity, confidence and finding id.
+
+    Ids are cut into ranges by their leading characters, which sort as the ids do."""
+    place = ["deal_id", "_severity", "_confidence", "_part"]
+    keyed = rows.withColumns({
+        "_severity": -severity_rank(), "_confidence": -F.col("confidence"),
+        "_part": F.substring(F.col("finding_id").cast("string"), 1, PART_LENGTH)})
+    counts = keyed.groupBy(*place).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("deal_id").orderBy(*place[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*place).orderBy(F.col("finding_id").cast("string")))
+    return keyed.withColumn("_inside", inside).join(offsets, place).select(
+        *rows.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias("rank"))
 
 
 def escalations(findings: DataFrame, states: DataFrame, arguments: DataFrame, judged: DataFrame) -> DataFrame:
     """Open findings with their arguments by round, contradiction and dropout flags and the
-    judge's notes.  Arguments come in pages of bounded size; the flags hold for the page."""
+    judge's notes.  A finding has one argument per persona and round, so its list is bounded."""
     item = F.struct("round", "argument_id", "persona", "stance", "argument", F.col("confidence").alias("calibrated_confidence"))
     told = (
-        paged(arguments, ["finding_id"], "argument_id").groupBy("finding_id", "page")
+        arguments.groupBy("finding_id")
         .agg(F.array_sort(F.collect_list(item)).alias("arguments"), F.bool_or("contradiction_flag").alias("has_contradictions"),
              F.bool_or("dropout_flag").alias("has_dropouts"))
     )
@@ -114,7 +130,7 @@ def escalations(findings: DataFrame, states: DataFrame, arguments: DataFrame, ju
         _with_state(findings, states).filter(F.col("state").isin(OPEN_STATES))
         .join(told, "finding_id", "left").join(notes, "finding_id", "left")
         .select(
-            "deal_id", "finding_id", "claim", "dimension", F.coalesce("page", F.lit(0)).alias("page"), "arguments",
+            "deal_id", "finding_id", "claim", "dimension", "arguments",
             F.coalesce("has_contradictions", no).alias("has_contradictions"), F.coalesce("has_dropouts", no).alias("has_dropouts"),
             F.coalesce("judge_override", no).alias("judge_override"), F.coalesce("judge_notes", F.lit("")).alias("judge_notes"),
         )
@@ -122,13 +138,15 @@ def escalations(findings: DataFrame, states: DataFrame, arguments: DataFrame, ju
 
 
 def gaps(findings: DataFrame, judged: DataFrame) -> DataFrame:
-    """Claims whose evidence was not found, by dimension, with the fixed remedies."""
+    """Claims whose evidence was not found, one row each."""
     lost = findings.join(judged.filter(F.col("status") == "evidence_not_found").select("finding_id"), "finding_id", "left_semi")
-    return (
-        paged(lost, KEY, "finding_id").groupBy(*KEY, "page")
-        .agg(F.array_sort(F.collect_list("claim")).alias("missing_claims"))
-        .withColumn("suggested_remedies", F.array(*[F.lit(r) for r in domains.GAP_REMEDIES]))
-    )
+    return lost.select(*KEY, "finding_id", F.col("claim").alias("missing_claim"))
+
+
+def gap_summary(gap_rows: DataFrame) -> DataFrame:
+    """Per dimension with gaps: how many claims lack evidence, and the fixed remedies."""
+    remedies = F.array(*[F.lit(r) for r in domains.GAP_REMEDIES])
+    return gap_rows.groupBy(*KEY).agg(F.count("*").alias("missing_claims")).withColumn("suggested_remedies", remedies)
 
 
 def skipped_dimensions(deals: DataFrame, states: DataFrame) -> DataFrame:
@@ -138,34 +156,41 @@ def skipped_dimensions(deals: DataFrame, states: DataFrame) -> DataFrame:
         states.select(*KEY), KEY, "left_anti")
 
 
-def documents(
-    deals: DataFrame, brief_rows: DataFrame, escalation_rows: DataFrame, gap_rows: DataFrame, skipped: DataFrame,
-    page_size: int = PAGE_SIZE,
-) -> DataFrame:
-    """The verdict as JSON, one document per deal; a deal with more than ``page_size`` items
-    gets further pages, so no single cell holds an unbounded group."""
-    rank = F.struct((-severity_rank()).alias("a"), (-F.col("confidence")).alias("b"), F.col("finding_id").alias("c"))
-    listed = paged(brief_rows, ["deal_id"], "finding_id", page_size).withColumn("item", F.struct(
-        "finding_id", "claim", "severity", "confidence", "dimension", "section_citation", "clause_type"))
-    items = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("order", "item"))), lambda x: x["item"]).alias(name)
-    page = ["deal_id", "page"]
-    a = listed.withColumn("order", rank).groupBy(*page).agg(items("brief"))
-    b = (
-        paged(escalation_rows.withColumnRenamed("page", "part"), ["deal_id"], "finding_id", page_size)
-        .withColumn("order", F.struct("finding_id", "part"))
-        .withColumn("item", F.struct("finding_id", "claim", "dimension", "arguments", "has_contradictions", "has_dropouts",
-                                     "judge_override", "judge_notes"))
-        .groupBy(*page).agg(items("escalations"))
+SECTIONS = ["brief", "escalations", "gaps", "skipped_dimensions"]
+
+
+def documents(brief_rows: DataFrame, escalation_rows: DataFrame, gap_rows: DataFrame, skipped: DataFrame) -> DataFrame:
+    """The verdicts of all deals as item rows: (deal_id, section, position, item_id, item).
+
+    Sections and positions order a deal's rows; ``item`` is JSON.  No cell holds a group."""
+    def part(number: int, rows: DataFrame, position: Column, ident: Column, fields: list[str]) -> DataFrame:
+        return rows.select(
+            "deal_id", F.lit(SECTIONS[number]).alias("section"), position.cast("bigint").alias("position"), ident.alias("item_id"),
+            F.to_json(F.struct(*fields)).alias("item"))
+
+    none = F.lit(None)
+    return (
+        part(0, brief_rows, F.col("rank"), F.col("finding_id"), ["rank", "finding_id", "claim", "severity", "confidence", "dimension", "section_citation", "clause_type"])
+        .unionByName(part(1, escalation_rows, none, F.col("finding_id"), [
+            "finding_id", "claim", "dimension", "arguments", "has_contradictions", "has_dropouts", "judge_override", "judge_notes"]))
+        .unionByName(part(2, gap_rows, none, F.col("finding_id"), ["dimension", "finding_id", "missing_claim"]))
+        .unionByName(part(3, skipped, none, F.col("dimension"), ["dimension"]))
     )
-    c = gap_rows.withColumn("order", F.col("dimension")).withColumn(
-        "item", F.struct("dimension", "missing_claims", "suggested_remedies")).groupBy(*page).agg(items("gaps"))
-    first = deals.select("deal_id").distinct().join(
-        skipped.groupBy("deal_id").agg(F.array_sort(F.collect_set("dimension")).alias("skipped_dimensions")), "deal_id", "left"
-    ).withColumn("page", F.lit(0).cast("bigint"))
-    joined = first.join(a, page, "full").join(b, page, "full").join(c, page, "full")
-    empty = lambda name: F.coalesce(name, F.from_json(F.lit("[]"), joined.schema[name].dataType)).alias(name)
-    doc = F.struct("deal_id", empty("brief"), empty("escalations"), empty("gaps"), empty("skipped_dimensions"))
-    return joined.select("deal_id", "page", F.to_json(doc).alias("verdict"))
+
+
+def document_counts(deals: DataFrame, document_rows: DataFrame) -> DataFrame:
+    """One row per deal: the number of items of each section, 0 included."""
+    counts = document_rows.groupBy("deal_id").agg(*(F.count_if(F.col("section") == s).alias(s) for s in SECTIONS))
+    return deals.select("deal_id").distinct().join(counts, "deal_id", "left").na.fill(0, SECTIONS)
+
+
+def document_of(document_rows: DataFrame, deals: DataFrame) -> DataFrame:
+    """Nested JSON verdicts of chosen ``deals``; a deal's items meet in one row, so choose few."""
+    chosen = document_rows.join(deals.select("deal_id").distinct(), "deal_id", "left_semi")
+    items = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("position", "item_id", "item")))), lambda x: x["item"])
+    grouped = chosen.groupBy("deal_id").agg(*(items(s).alias(s) for s in SECTIONS))
+    listed = lambda s: F.concat(F.lit(f'"{s}":['), F.array_join(s, ","), F.lit("]"))
+    return grouped.select("deal_id", F.concat(F.lit("{"), F.concat_ws(",", *map(listed, SECTIONS)), F.lit("}")).alias("verdict"))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

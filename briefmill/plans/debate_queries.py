@@ -60,14 +60,16 @@ def _log(spark, sf):
 
 @query("deb_task_plan", """
   select g.deal_id, g.dimension, f.finding_id, p.persona, r.round
-  from (select 1 as round union all select 2) r, s_log s join d_gate g using (deal_id, dimension)
+  from (select unnest([1, 2, 3]) as round) r, s_log s join d_gate g using (deal_id, dimension)
   join fx_debated f using (deal_id, dimension) join d_persona p on (g.mode = 'full' or p.in_limited)
   where s.round = r.round - 1 and s.state = 'active' and (g.mode = 'full' or r.round = 1)""",
        "s_log", "d_gate", "fx_debated", "d_persona")
 def _plan(spark, sf):
     log, modes, found = state_log(spark, sf), gate(spark, sf), I.debated_findings(spark, sf)
-    plans = [ops.task_plan(log.filter(F.col("round") == n - 1), modes, found, n) for n in (1, 2)]
-    return plans[0].unionByName(plans[1])
+    plans = [
+        ops.task_plan(ops.close_limited(log.filter(F.col("round") == n - 1), modes, n), modes, found, n)
+        for n in range(1, domains.MAX_ROUNDS + 1)]
+    return plans[0].unionByName(plans[1]).unionByName(plans[2])
 
 
 @query("deb_exit_check", """
@@ -213,20 +215,43 @@ def _rollup(spark, sf):
     return rolled_states(spark, sf).select("deal_id", "dimension", "state")
 
 
+cte("compressed", """
+  select deal_id, dimension, round, argument_id, persona, stance, substr(argument, 1, instr(argument, '. ')) as key_claim,
+         citation_1 || '|' || citation_2 as citation_ids, confidence, contradiction_flag, dropout_flag, notes,
+         greatest(1, length(concat_ws(' | ', argument_id, persona, stance, argument, confidence, notes)) // 4) as original_tokens,
+         greatest(1, length(concat_ws(' | ', argument_id, persona, stance, substr(argument, 1, instr(argument, '. ')), confidence, notes)) // 4)
+           as compressed_tokens
+  from contradictions""", "contradictions")
+cte("compressed_rounds", """
+  select c.deal_id, c.dimension, c.round, count(*) as argument_count, cast(sum(original_tokens) as bigint) as original_tokens,
+         cast(sum(compressed_tokens) as bigint) as compressed_tokens, any_value(s.state) as dimension_state
+  from compressed c join s_log s using (deal_id, dimension, round) group by 1, 2, 3""", "compressed", "s_log")
+
+
 def compressed(spark, sf):
-    rows = ops.gate_contradiction(I.arguments(spark, sf))
+    return ops.compress_arguments(ops.gate_contradiction(I.arguments(spark, sf)))
+
+
+def compressed_rounds(spark, sf):
     states = ops.round_rollup(ops.round_state(I.arguments(spark, sf)))
-    return ops.compress_rounds(rows, states)
+    return ops.compress_rounds(compressed(spark, sf), states)
 
 
-@query("deb_compress_round")
-def _compress(spark, sf):
+@query("deb_compress_arguments", "select * from compressed", "compressed")
+def _compress_arguments(spark, sf):
     return compressed(spark, sf)
 
 
-@query("deb_token_reduction")
+@query("deb_compress_round", "select * from compressed_rounds", "compressed_rounds")
+def _compress(spark, sf):
+    return compressed_rounds(spark, sf)
+
+
+@query("deb_token_reduction", """
+  select deal_id, dimension, round, original_tokens, compressed_tokens,
+         round(1 - compressed_tokens / cast(original_tokens as double), 6) as reduction from compressed_rounds""", "compressed_rounds")
 def _reduction(spark, sf):
-    return ops.token_reduction(compressed(spark, sf))
+    return ops.token_reduction(compressed_rounds(spark, sf))
 
 
 @query("deb_replay")

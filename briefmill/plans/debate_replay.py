@@ -25,6 +25,8 @@ def replay(responses: DataFrame, gate: DataFrame, findings: DataFrame, chunks: D
     A round's results are checkpointed to the shared folder, so later rounds neither
     recompute earlier ones nor depend on one executor's memory."""
     gate, findings = cut_lineage(gate), cut_lineage(findings)
+    # all that the gates ask of the chunks: the known sections and the first passage of each
+    chunks = cut_lineage(chunks.groupBy("section_id").agg(F.min_by("text", "chunk_id").alias("text"), F.min("chunk_id").alias("chunk_id")))
     log = debate.initial_states(gate)
     done: list[DataFrame] = []
     for number in range(1, domains.MAX_ROUNDS + 1):
@@ -35,6 +37,7 @@ def replay(responses: DataFrame, gate: DataFrame, findings: DataFrame, chunks: D
         ).select("deal_id", "dimension", "state", F.lit(number - 1).alias("round"))
         plan = debate.task_plan(states, gate, findings, number)
         recorded = responses.filter(F.col("round") == number).join(plan, ["finding_id", "persona", "round"], "left_semi")
+        recorded = debate.fill_dropouts(plan, recorded)
         history = reduce(DataFrame.unionByName, done) if done else None
         gated = cut_lineage(debate.apply_gates(recorded, chunks, history))
         after = debate.round_rollup(debate.round_state(gated)).select("deal_id", "dimension", "state", "round")

@@ -255,8 +255,7 @@ def placed(spark, sf):
 
 def graph_tables(spark, sf):
     rows = placed(spark, sf)
-    full = gr.nodes(rows).join(gr.aliases(rows), "node_id")
-    return gr.Graph(full, rows, gr.cooccurrence_rows(rows))
+    return gr.Graph(gr.nodes(rows), rows, gr.cooccurrence_rows(rows))
 
 
 @query("ent_mentions", "select chunk_id, document_name, section_id, absolute_page, position, name, entity_type from mentions", "mentions")
@@ -266,8 +265,7 @@ def _mentions(spark, sf):
 
 cte("nodes", """
   select node_id, any_value(entity_type) as entity_type, any_value(canonical) as canonical_name, any_value(status) as status,
-         count(distinct name) as alias_count, count(distinct chunk_id) as chunk_count, cast(0 as bigint) as page,
-         array_to_string(list_sort(list_distinct(list(name))), '|') as aliases
+         count(distinct name) as alias_count, count(distinct chunk_id) as chunk_count
   from placed group by 1""", "placed")
 
 
@@ -276,6 +274,11 @@ def _nodes(spark, sf):
     return graph_tables(spark, sf).nodes
 
 
+@query("gr_node_aliases", "select distinct node_id, name from placed", "placed")
+def _aliases(spark, sf):
+    return gr.aliases(placed(spark, sf))
+
+
 @query("gr_section_nodes", """
   select 'section:' || substr(sha256(lower(ref)), 1, 16) as node_id, min(ref) as canonical_name, count(*) as reference_count
   from (select unnest(references_sections) as ref from chunks) group by 1""", "chunks")
@@ -290,16 +293,20 @@ cte("edge_rows", """
 
 
 @query("gr_cooccurrence_edges", """
-  select src, dst, cast(0 as bigint) as page, string_agg(distinct chunk_id, '|' order by chunk_id) as chunk_ids,
-         string_agg(distinct section_id, '|' order by section_id) as section_ids, 'co_occurrence' as relationship
+  select src, dst, count(distinct chunk_id) as chunk_count, count(distinct section_id) as section_count, 'co_occurrence' as relationship
   from edge_rows group by 1, 2""", "edge_rows")
 def _edges(spark, sf):
     return gr.edges(graph_tables(spark, sf).edges, "co_occurrence")
 
 
+@query("gr_cooccurrence_places", "select src, dst, chunk_id, section_id from edge_rows", "edge_rows")
+def _edge_places(spark, sf):
+    return graph_tables(spark, sf).edges.select("src", "dst", "chunk_id", "section_id")
+
+
 @query("gr_reference_edges", """
-  select node_id as src, dst, cast(0 as bigint) as page, string_agg(distinct chunk_id, '|' order by chunk_id) as chunk_ids,
-         string_agg(distinct section_id, '|' order by section_id) as section_ids, 'section_reference' as relationship
+  select node_id as src, dst, count(distinct chunk_id) as chunk_count, count(distinct section_id) as section_count,
+         'section_reference' as relationship
   from placed join (select chunk_id, 'section:' || substr(sha256(lower(unnest(references_sections))), 1, 16) as dst from chunks) using (chunk_id)
   group by 1, 2""", "placed", "chunks")
 def _reference_edges(spark, sf):

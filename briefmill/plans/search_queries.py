@@ -250,7 +250,13 @@ def _pointers(spark, sf):
     return search.section_pointers(index.chunks, hits)
 
 
-@query("ir_highlight")
+@query("ir_highlight", f"""
+  select query_id, chunk_id, array_to_string(list_transform(
+           regexp_extract_all(c.text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'),
+           lambda x: case when list_contains(q.terms, lower(x)) then '<em>' || x || '</em>' else x end), '') as highlight
+  from bm25_all join chunks c using (chunk_id)
+  join (select query_id, regexp_extract_all(lower(text), '{I.SQL_TERM}') as terms from requests) q using (query_id)""",
+       "bm25_all", "chunks", "requests")
 def _highlight(spark, sf):
     index, queries = I.index(spark, sf), I.unfiltered(I.requests(spark, sf))
     return search.highlight(search.bm25_and(index, queries).select("query_id", "chunk_id"), index.chunks, queries)
@@ -260,9 +266,10 @@ cte("agent_hits", "select replace(query_id, 'A-', '') as agent, chunk_id from bm
 
 
 def agent_hits(spark, sf):
-    found = search.bm25_and(I.index(spark, sf), I.unfiltered(I.requests(spark, sf)))
-    return found.filter(F.col("query_id").startswith("A-")).select(
-        F.substring("query_id", 3, 100).alias("agent"), "chunk_id")
+    asked = I.unfiltered(I.requests(spark, sf)).filter(F.col("query_id").startswith("A-"))
+    found = lambda: search.bm25_and(I.index(spark, sf), asked).select(
+        F.regexp_replace("query_id", "^A-", "").alias("agent"), "chunk_id")
+    return I.stored(spark, sf, "agent-hits", found)
 
 
 def relevance(hits):

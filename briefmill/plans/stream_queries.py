@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from briefmill.plans import inputs as I
 from briefmill.plans.registry import cte, query
 from briefmill.session import scratch_path
-from briefmill.sources.tables import BucketedTable
+from briefmill.sources.tables import VersionedTable
 from briefmill.streaming import jobs
 
 
@@ -27,14 +27,14 @@ def status_events(spark, sf):
 def _ingest(spark, sf):
     target = scratch_path(spark, "unique")
     jobs.ingest_unique(stream(spark, sf, "documents"), target, scratch_path(spark, "cp"))
-    return spark.read.parquet(target).select("fingerprint", "doc_id", "copies")
+    return jobs.unique_documents(spark, target)
 
 
 @query("st_chunk_delta", "select chunk_id, document_name, clause_type from classified", "classified")
 def _chunks(spark, sf):
     table = scratch_path(spark, "chunk-stream")
     jobs.chunk_delta(stream(spark, sf, "documents"), I.section_lines, table, scratch_path(spark, "cp"), I.FIXTURE_TERMS)
-    return BucketedTable(spark, table, "chunk_id", 8).read("chunk_id string, document_name string, clause_type string")
+    return VersionedTable(spark, table, "chunk_id").read("chunk_id string, document_name string, clause_type string")
 
 
 @query("st_phase_latest", """
@@ -44,7 +44,7 @@ def _chunks(spark, sf):
 def _phase(spark, sf):
     table = scratch_path(spark, "phases")
     jobs.follow_phases(status_events(spark, sf), table, scratch_path(spark, "cp"))
-    return BucketedTable(spark, table, "deal_id", 8).read("deal_id long, status string, ts timestamp, events long, percent int")
+    return jobs.current_phases(spark, table)
 
 
 @query("st_recent_events", """
@@ -53,7 +53,7 @@ def _phase(spark, sf):
 def _recent(spark, sf):
     table = scratch_path(spark, "recent")
     jobs.follow_recent(status_events(spark, sf), table, scratch_path(spark, "cp"))
-    return BucketedTable(spark, table, "deal_id", 8).read("deal_id long, seq long, status string, recency int")
+    return jobs.recent_events(spark, table, "deal_id long, seq long, ts timestamp, status string").drop("ts")
 
 
 cte("sla_events", "select *, epoch_us(ts) // 1000 as ms from events where event_type in ('error', 'purchase')")
@@ -69,7 +69,7 @@ def _sla(spark, sf):
     events = stream(spark, sf, "events").filter(F.col("event_type").isin("error", "purchase")).select(
         F.col("user_id").alias("deal_id"), F.col("event_id").alias("escalation_id"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
     target = scratch_path(spark, "sla")
-    jobs.write_available(jobs.sla_timeouts(events), target, scratch_path(spark, "cp"))
+    jobs.write_available(jobs.sla_timeouts(events, "0 seconds"), target, scratch_path(spark, "cp"))
     return spark.read.parquet(target)
 
 
@@ -80,7 +80,7 @@ def _sla(spark, sf):
 def _guard(spark, sf):
     target = scratch_path(spark, "guard")
     jobs.guard_transitions(status_events(spark, sf), target, scratch_path(spark, "state"), scratch_path(spark, "cp"))
-    return spark.read.parquet(target).select("deal_id", "seq", "previous", "status")
+    return jobs.violations(spark, target)
 
 
 @query("st_audit_sink", """

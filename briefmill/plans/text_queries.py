@@ -24,6 +24,17 @@ def _src_documents(spark, sf):
     return docs.dispatch(files)
 
 
+@query("src_documents_loaded", """
+  select 'doc-' || doc_id || case doc_id % 4 when 0 then '.pdf' when 1 then '.DOCX' else '.docx' end as document_name,
+         case doc_id % 4 when 0 then 'pdf' else 'docx' end as document_type, strlen(text) as size, sha256(text) as fingerprint,
+         cast(null as varchar) as reason
+  from documents where doc_id % 4 <> 3""")
+def _src_loaded(spark, sf):
+    suffix = F.element_at(F.array(*[F.lit(s) for s in (".pdf", ".DOCX", ".docx", ".txt")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    named = I.table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id"), suffix).alias("document_name"), F.col("text").alias("content"))
+    return docs.load(docs.dispatch(named, "document_name"), named).drop("content")
+
+
 @query("src_dedup_fingerprint", """
   select sha256(text) as fingerprint, min(doc_id) as doc_id, count(*) as copies from documents group by 1""")
 def _src_dedup(spark, sf):

@@ -108,7 +108,13 @@ def brief(spark, sf):
     return ops.brief(I.debated_findings(spark, sf), final_states(spark, sf), open_results(spark, sf))
 
 
-@query("vrd_brief", "select * from briefed", "briefed")
+cte("ranked", """
+  select *, row_number() over (partition by deal_id order by case severity when 'critical' then 1 when 'high' then 2 when 'medium' then 3 else 4 end,
+                               confidence desc, finding_id) as rank
+  from briefed""", "briefed")
+
+
+@query("vrd_brief", "select * from ranked", "ranked")
 def _brief(spark, sf):
     return brief(spark, sf)
 
@@ -119,7 +125,7 @@ def escalations(spark, sf):
 
 
 @query("vrd_escalations", """
-  select c.deal_id, c.finding_id, c.claim, c.dimension, cast(0 as bigint) as page, a.arguments, a.has_contradictions, a.has_dropouts,
+  select c.deal_id, c.finding_id, c.claim, c.dimension, a.arguments, a.has_contradictions, a.has_dropouts,
          j.judge_override_flag as judge_override, j.synthesis_rationale as judge_notes
   from candidates c join (
     select finding_id, string_agg(persona || ':' || stance || ':' || confidence, '|' order by round, argument_id) as arguments,
@@ -135,15 +141,24 @@ def gaps(spark, sf):
     return ops.gaps(I.debated_findings(spark, sf), open_results(spark, sf))
 
 
-@query("vrd_gaps", f"""
-  select deal_id, dimension, cast(0 as bigint) as page, string_agg(claim, '|' order by claim) as missing_claims,
-         '{"|".join(domains.GAP_REMEDIES)}' as suggested_remedies
-  from fx_debated where finding_id in (select finding_id from open_judged where status = 'evidence_not_found') group by 1, 2""",
-       "fx_debated", "open_judged")
+cte("gap_rows", """
+  select deal_id, dimension, finding_id, claim as missing_claim
+  from fx_debated where finding_id in (select finding_id from open_judged where status = 'evidence_not_found')""", "fx_debated", "open_judged")
+
+
+@query("vrd_gaps", """
+  select deal_id, dimension, finding_id, missing_claim from gap_rows""", "gap_rows")
 def _gaps(spark, sf):
     return gaps(spark, sf)
 
 
+@query("vrd_gap_summary", f"""
+  select deal_id, dimension, count(*) as missing_claims, '{"|".join(domains.GAP_REMEDIES)}' as suggested_remedies
+  from gap_rows group by 1, 2""", "gap_rows")
+def _gap_summary(spark, sf):
+    return ops.gap_summary(gaps(spark, sf))
+
+
 def skipped(spark, sf):
     return ops.skipped_dimensions(I.debated_findings(spark, sf), final_states(spark, sf))
 
@@ -155,10 +170,41 @@ def _skipped(spark, sf):
     return skipped(spark, sf)
 
 
-@query("vrd_document")
+cte("skipped", """
+  select deal_id, dimension from (select distinct deal_id from fx_debated), d_dim
+  except select deal_id, dimension from final_states""", "fx_debated", "d_dim", "final_states")
+cte("document_rows", """
+  select deal_id, 'brief' as section, rank as position, finding_id as item_id,
+         dimension || ' ' || severity || ' ' || claim || ' ' || section_citation || ' ' || clause_type as item from ranked
+  union all select c.deal_id, 'escalations', null, c.finding_id, c.dimension || ' ' || c.claim || ' ' || j.synthesis_rationale
+    from candidates c join judged j on j.finding_id = c.finding_id
+  union all select deal_id, 'gaps', null, finding_id, dimension || ' ' || missing_claim from gap_rows
+  union all select deal_id, 'skipped_dimensions', null, dimension, dimension from skipped""",
+    "ranked", "candidates", "judged", "gap_rows", "skipped")
+
+
+def document_rows(spark, sf):
+    return ops.documents(brief(spark, sf), escalations(spark, sf), gaps(spark, sf), skipped(spark, sf))
+
+
+@query("vrd_document", "select * from document_rows", "document_rows")
 def _document(spark, sf):
-    return ops.documents(
-        I.debated_findings(spark, sf), brief(spark, sf), escalations(spark, sf), gaps(spark, sf), skipped(spark, sf))
+    """Item rows; for the check, the JSON is shown as its main fields."""
+    field = lambda *names: F.concat_ws(" ", *(F.get_json_object("item", f"$.{n}") for n in names))
+    shown = (
+        F.when(F.col("section") == "brief", field("dimension", "severity", "claim", "section_citation", "clause_type"))
+        .when(F.col("section") == "escalations", field("dimension", "claim", "judge_notes"))
+        .when(F.col("section") == "gaps", field("dimension", "missing_claim")).otherwise(field("dimension"))
+    )
+    return document_rows(spark, sf).withColumn("item", shown)
+
+
+@query("vrd_document_counts", """
+  select deal_id, count(*) filter (where section = 'brief') as brief, count(*) filter (where section = 'escalations') as escalations,
+         count(*) filter (where section = 'gaps') as gaps, count(*) filter (where section = 'skipped_dimensions') as skipped_dimensions
+  from (select distinct deal_id from fx_debated) left join document_rows using (deal_id) group by 1""", "fx_debated", "document_rows")
+def _document_counts(spark, sf):
+    return ops.document_counts(I.debated_findings(spark, sf), document_rows(spark, sf))
 
 
 cte("rated", """

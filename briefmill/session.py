@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +23,8 @@ DEFAULTS = {
 
 def build_session(app: str = "briefmill", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session.  On a cluster pass nothing: partition counts come from the
-    cluster's own defaults and AQE, and broadcasts stay under Spark's size threshold."""
+    cluster's own defaults and AQE, and broadcasts stay under Spark's size threshold.  The
+    cluster names its shared folder in ``spark.checkpoint.dir``."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -32,14 +36,18 @@ def build_session(app: str = "briefmill", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (local tests) is a temporary folder used."""
+    Only a local master without one (tests) gets a temporary folder, removed at exit; a cluster without one is
+    refused, since its executors would write to disks that others do not see."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="briefmill-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(local)
     return local
 

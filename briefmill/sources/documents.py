@@ -21,7 +21,7 @@ def dispatch(files: DataFrame, path: str = "path") -> DataFrame:
     """Name, type and acceptance of each file by its suffix."""
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     suffix = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    kind = F.lower(F.substring(suffix, 2, 100))
+    kind = F.lower(F.regexp_replace(suffix, r"^\.", ""))
     accepted = kind.isin(*ACCEPTED)
     shown = F.when(suffix == "", "<none>").otherwise(suffix)
     return files.select(
@@ -30,6 +30,17 @@ def dispatch(files: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
+def load(listed: DataFrame, contents: DataFrame) -> DataFrame:
+    """Accepted documents with their content, size and fingerprint; those without content carry a reason.
+
+    ``contents``: (document_name, content)."""
+    found = listed.filter("accepted").join(contents, "document_name", "left")
+    data = F.col("content").cast("binary")
+    return found.select(
+        "document_name", "document_type", "content", F.length(data).cast("bigint").alias("size"), F.sha2(data, 256).alias("fingerprint"),
+        F.when(F.col("content").isNull(), "no content").alias("reason"))
+
+
 def first_per_fingerprint(documents: DataFrame, order: str = "doc_id", content: str = "text") -> DataFrame:
     """Fingerprint with its first document.  Only hashes are shuffled, combined map-side, so
     a fingerprint shared by a third of the corpus costs one row per input partition."""

@@ -2,91 +2,103 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# ---- fixed values: distances in points ----
+# Distances in points.
 LINE_TOLERANCE = 3.0
 WORD_GAP = 96.0
 COLUMN_TOLERANCE = 48.0
 
-PAGE_SCHEMA = "document_name string, page_index int, text string"
-
-
-def _lines(words: pd.DataFrame) -> list[dict]:
-    """Words by height then position; a word joins the first line close in both."""
-    lines: list[dict] = []
-    for word in words.sort_values(["top", "x0"], kind="stable").itertuples(index=False):
-        for line in lines:
-            if abs(line["top"] - word.top) <= LINE_TOLERANCE and word.x0 - line["x1"] <= WORD_GAP:
-                line["words"].append(word)
-                line["x0"], line["x1"] = min(line["x0"], word.x0), max(line["x1"], word.x1)
-                break
+_PLACES = (
+    "document_name string, page_index int, text string, x0 double, x1 double, top double, "
+    "column_no int, line_no int, word_no int"
+)
+
+
+def line_numbers(top: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Line of each word, lines numbered as they open, words taken from the top."""
+    line = np.full(len(top), -1)
+    tops, ends = np.empty(len(top)), np.empty(len(top))
+    opened = 0
+    for word in np.lexsort((left, top)):
+        fits = (np.abs(tops[:opened] - top[word]) <= LINE_TOLERANCE) & (left[word] - ends[:opened] <= WORD_GAP)
+        if fits.any():
+            line[word] = fits.argmax()
+            ends[line[word]] = max(ends[line[word]], right[word])
         else:
-            lines.append({"top": word.top, "x0": word.x0, "x1": word.x1, "words": [word]})
-    return lines
-
-
-def _columns(lines: list[dict]) -> list[dict]:
-    """Lines from the left; a line joins the first column it overlaps or aligns with."""
-    columns: list[dict] = []
-    for line in sorted(lines, key=lambda x: (x["x0"], x["top"])):
-        for column in columns:
-            overlap = min(line["x1"], column["x1"]) - max(line["x0"], column["x0"])
-            if overlap > 0 or abs(line["x0"] - column["x0"]) <= COLUMN_TOLERANCE:
-                column["lines"].append(line)
-                column["x0"], column["x1"] = min(line["x0"], column["x0"]), max(line["x1"], column["x1"])
-                break
-        else:
-            columns.append({"x0": line["x0"], "x1": line["x1"], "lines": [line]})
-    return columns
-
-
-def _page_text(words: pd.DataFrame) -> str:
-    ordered = [
-        word
-        for column in sorted(_columns(_lines(words)), key=lambda c: c["x0"])
-        for line in sorted(column["lines"], key=lambda x: (x["top"], x["x0"]))
-        for word in sorted(line["words"], key=lambda w: w.x0)
-    ]
-    out: list[str] = []
-    before = None
-    for word in ordered:
-        new_line = before is not None and (
-            abs(before.top - word.top) > LINE_TOLERANCE or word.x0 - before.x1 > WORD_GAP or word.x0 < before.x1)
-        out.append(("\n" if new_line else " " if before is not None else "") + word.text)
-        before = word
-    return "".join(out)
+            line[word], tops[opened], ends[opened] = opened, top[word], right[word]
+            opened += 1
+    return line
+
+
+def column_numbers(top: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Column of each line, columns numbered from the left, lines taken from the left."""
+    column = np.full(len(top), -1)
+    starts, ends = np.empty(len(top)), np.empty(len(top))
+    opened = 0
+    for line in np.lexsort((top, left)):
+        shared = np.minimum(right[line], ends[:opened]) - np.maximum(left[line], starts[:opened])
+        fits = (shared > 0) | (np.abs(left[line] - starts[:opened]) <= COLUMN_TOLERANCE)
+        at = fits.argmax() if fits.any() else opened
+        if at == opened:
+            starts[at], ends[at] = left[line], right[line]
+            opened += 1
+        column[line] = at
+        starts[at], ends[at] = min(starts[at], left[line]), max(ends[at], right[line])
+    return np.argsort(np.argsort(starts[:opened], kind="stable"))[column]
+
+
+def placed_words(words: DataFrame) -> DataFrame:
+    """Words with the numbers of their column, of their line in it and of themselves in the line.
+
+    A page is the unit of placing; pages are independent."""
+
+    def page(rows: pd.DataFrame) -> pd.DataFrame:
+        rows["line"] = line_numbers(rows["top"].to_numpy(), rows["x0"].to_numpy(), rows["x1"].to_numpy())
+        first = rows.sort_values(["top", "x0"], kind="stable").groupby("line")["top"].first()
+        lines = rows.groupby("line").agg(left=("x0", "min"), right=("x1", "max")).assign(top=first)
+        lines["column_no"] = column_numbers(lines["top"].to_numpy(), lines["left"].to_numpy(), lines["right"].to_numpy())
+        in_order = lines.sort_values(["column_no", "top", "left"], kind="stable").index
+        lines["line_no"] = pd.Series(range(len(lines)), index=in_order)
+        rows = rows.join(lines[["column_no", "line_no"]], on="line").sort_values(["line_no", "x0"], kind="stable")
+        rows["word_no"] = range(len(rows))
+        return rows[["document_name", "page_index", "text", "x0", "x1", "top", "column_no", "line_no", "word_no"]]
+
+    return words.groupBy("document_name", "page_index").applyInPandas(page, _PLACES)
 
 
 def reading_order(words: DataFrame) -> DataFrame:
-    """Text per page in reading order.  The assignment of words to lines and columns is
-    sequential inside one page and independent between pages."""
-
-    def page(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"document_name": [key[0]], "page_index": [key[1]], "text": [_page_text(rows)]})
-
-    return words.groupBy("document_name", "page_index").applyInPandas(page, PAGE_SCHEMA)
-
-
-ROWS_PER_PAGE = 1_000
-
+    """Text per page in reading order: a break where the next word is on another height, far off or to the left."""
+    order = Window.partitionBy("document_name", "page_index").orderBy("word_no")
+    top, right = F.lag("top").over(order), F.lag("x1").over(order)
+    broken = (F.abs(top - F.col("top")) > LINE_TOLERANCE) | (F.col("x0") - right > WORD_GAP) | (F.col("x0") < right)
+    between = F.when(right.isNull(), "").when(broken, "\n").otherwise(" ")
+    pieces = placed_words(words).withColumn("piece", F.concat(between, "text"))
+    return (
+        pieces.groupBy("document_name", "page_index")
+        .agg(F.array_sort(F.collect_list(F.struct("word_no", "piece"))).alias("pieces"))
+        .select("document_name", "page_index", F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("text"))
+    )
 
-def table_text(cells: DataFrame, rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
-    """Cell tables as text: cells joined by `` | ``, rows by line breaks, blank rows dropped.
 
-    A long table comes as consecutive pages of rows; their texts in order are the table."""
+def table_lines(cells: DataFrame) -> DataFrame:
+    """Rows of cell tables as lines: cells joined by `` | ``, blank rows dropped."""
     tidy = F.btrim(F.regexp_replace("cell", r"\s+", " "))
-    rows = (
+    return (
         cells.select("document_name", "table_no", "row_no", F.struct("column_no", tidy.alias("cell")).alias("c"))
         .groupBy("document_name", "table_no", "row_no").agg(F.array_sort(F.collect_list("c")).alias("cs"))
         .select("document_name", "table_no", "row_no", F.array_join(F.transform("cs", lambda x: x["cell"]), " | ").alias("line"))
         .filter(F.btrim("line", F.lit(" |")) != "")
     )
-    page = F.floor(F.col("row_no") / rows_per_page).alias("page")
+
+
+def table_text(cells: DataFrame) -> DataFrame:
+    """One text per table: its lines in order.  Tables too long for one cell stay as ``table_lines``."""
     return (
-        rows.groupBy("document_name", "table_no", page)
+        table_lines(cells).groupBy("document_name", "table_no")
         .agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("rows"))
-        .select("document_name", "table_no", "page", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("text"))
+        .select("document_name", "table_no", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("text"))
     )

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as t
 
 from briefmill import domains
 
@@ -18,8 +17,14 @@ CHUNK_SCHEMA = (
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    """Whether the path can be listed, asked through Spark's own readers."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def read_chunk_cache(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA) -> DataFrame:
@@ -51,7 +56,7 @@ def upsert(existing: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_states(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Dimension states with new values where given."""
+    """Dimension states with new values where given; unknown keys are inserted."""
     keys = ["deal_id", "dimension"]
     values = [c for c in existing.columns if c not in keys]
     renamed = new.select(*keys, *[F.col(c).alias(f"_{c}") for c in values])
@@ -64,59 +69,47 @@ def indexing_outcome(delta: DataFrame) -> DataFrame:
     return delta.agg(F.count("*").alias("attempted"), F.count_if(good).alias("indexed"), F.count_if(~good).alias("errors"))
 
 
-class BucketedTable:
-    """Upserts that rewrite only the hash buckets a batch touches.
-
-    Rows live under ``data/version=V/bucket=B``; an appended manifest says which version of a
-    bucket is current.  Nothing that is being read is ever overwritten, and a failed write
-    leaves no manifest entry.  The driver sees one manifest row per bucket, a fixed number."""
-
-    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def _current(self) -> dict[int, str]:
-        try:
-            manifest = self.spark.read.schema("bucket int, seq bigint, version string").json(f"{self.path}/manifest")
-        except AnalysisException:
-            return {}
-        rows = manifest.groupBy("bucket").agg(F.max_by("version", "seq").alias("version")).collect()
-        return {row["bucket"]: row["version"] for row in rows}
-
-    def _read(self, current: dict[int, str], schema) -> DataFrame:
-        paths = [f"{self.path}/data/version={version}/bucket={bucket}" for bucket, version in current.items()]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def read(self, schema) -> DataFrame:
-        return self._read(self._current(), schema)
-
-    def upsert(self, delta: DataFrame) -> None:
-        """Merge a batch with unique keys into the buckets it touches."""
-        schema = delta.schema
-        touched = [r["bucket"] for r in delta.select(self._bucket().alias("bucket")).distinct().collect()]
-        current = self._current()
-        before = self._read({b: v for b, v in current.items() if b in set(touched)}, schema)
-        version = uuid.uuid4().hex
-        merged = upsert(before, delta, [self.key]).withColumn("bucket", self._bucket())
-        (
-            merged.repartition("bucket", F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(8)))
-            .write.partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
-        )
-        seq = self._next_seq()
-        entries = [(bucket, seq, version) for bucket in touched]
-        self.spark.createDataFrame(entries, "bucket int, seq bigint, version string").coalesce(1).write.mode("append").json(
-            f"{self.path}/manifest")
-
-    def _next_seq(self) -> int:
-        try:
-            manifest = self.spark.read.schema("bucket int, seq bigint, version string").json(f"{self.path}/manifest")
-        except AnalysisException:
-            return 1
-        return (manifest.agg(F.max("seq")).first()[0] or 0) + 1
+class VersionedTable:
+    """Upserts as appended versions; the newest version of a key counts when the table is read.
+
+    A batch is evaluated once and writes its own rows only, as many tasks as it has partitions.  Versions are
+    numbered; a retried batch writes its number again and replaces what its first try left.  Reading costs
+    as many rows as were ever written, so compact on a schedule, for instance whenever the versions
+    hold twice the rows of the last compaction."""
+
+    def __init__(self, spark: SparkSession, path: str, *keys: str) -> None:
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+
+    def rows(self, schema, before: int | None = None) -> DataFrame:
+        """All rows with their ``version``, of versions below ``before`` if given."""
+        names = f"{schema}, version bigint" if isinstance(schema, str) else t.StructType([*schema.fields, t.StructField("version", t.LongType())])
+        if not exists(self.spark, f"{self.path}/data"):
+            return self.spark.createDataFrame([], names)
+        stored = self.spark.read.schema(names).parquet(f"{self.path}/data")
+        return stored if before is None else stored.filter(F.col("version") < before)
+
+    def read(self, schema, before: int | None = None) -> DataFrame:
+        """The newest row of every key."""
+        rows = self.rows(schema, before)
+        keep = [c for c in rows.columns if c not in (*self.keys, "version")]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*keep), "version").alias("row"))
+        return newest.select(*self.keys, "row.*").select(*[c for c in rows.columns if c != "version"])
+
+    def upsert(self, delta: DataFrame, version: int | None = None) -> None:
+        """Write a batch with unique keys as one version, by default the next."""
+        if version is None:
+            version = 0
+            if exists(self.spark, f"{self.path}/data"):
+                version = (self.spark.read.schema("version bigint").parquet(f"{self.path}/data").agg(F.max("version")).first()[0] or 0) + 1
+        delta.write.mode("overwrite").parquet(f"{self.path}/data/version={version}")
+
+    def compact(self, schema, path: str) -> "VersionedTable":
+        """A table at a new path with the newest rows as its only version; readers move to it, and the
+        old path goes when none reads it any more."""
+        last = self.spark.read.schema("version bigint").parquet(f"{self.path}/data").agg(F.max("version")).first()[0]
+        out = VersionedTable(self.spark, path, *self.keys)
+        out.upsert(self.read(schema), last)
+        return out
 
 
 def append_audit(events: DataFrame, path: str, days: str = "event_time") -> None:
@@ -134,6 +127,12 @@ def append_only_violations(before: DataFrame, after: DataFrame, key: str) -> Dat
     ).filter(F.col("violation").isNotNull())
 
 
+def transcript_rows(arguments: DataFrame) -> DataFrame:
+    """The arguments of a round as they are recorded, one row each."""
+    return arguments.select(
+        "deal_id", "round", "argument_id", "finding_id", "persona", "stance", "argument", "confidence", "dropout_flag", "contradiction_flag")
+
+
 def round_transcript(arguments: DataFrame) -> DataFrame:
     """Summary per deal and round: argument count, personas, stances, dropouts, contradictions.
 

@@ -1,8 +1,8 @@
 """Structured Streaming jobs, each with a batch twin of the same result.
 
-Growing results live in tables, not in unbounded operator state: a micro-batch is reduced
-with map-side aggregates, met with the stored rows of the keys it touches, and merged into
-a bucketed table.  A retried batch writes the same rows again."""
+Growing results live in tables, not in unbounded operator state.  A micro-batch is reduced with
+map-side aggregates and written as a version of its own number, so a retried batch replaces what
+its first try left; it reads only versions below its number.  Readers merge the versions."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from briefmill import domains
 from briefmill.operators import chunking, classify, hitl
 from briefmill.sources.documents import first_per_fingerprint
-from briefmill.sources.tables import BucketedTable, exists
+from briefmill.sources.tables import VersionedTable
 
 RECENT_EVENTS = 200
 
@@ -45,23 +45,26 @@ def finish(query: StreamingQuery) -> None:
 # ---- documents -------------------------------------------------------------------------------
 
 
+FINGERPRINTS = "fingerprint string, doc_id bigint, copies bigint"
+
+
 def ingest_unique(documents: DataFrame, target: str, checkpoint: str) -> None:
-    """Append the first document of every new fingerprint.
+    """Record every batch's fingerprints with their first document and copies.
 
-    Copies inside a batch collapse map-side; copies of earlier batches are removed against
-    the stored fingerprints.  A batch owns one directory, so a retry replaces it."""
+    A batch costs its own size, whatever is stored already."""
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = first_per_fingerprint(batch)
-        if exists(spark, target):
-            seen = spark.read.parquet(target).filter(F.col("batch") != number)
-            fresh = fresh.join(seen.select("fingerprint"), "fingerprint", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        VersionedTable(batch.sparkSession, target, "fingerprint").upsert(first_per_fingerprint(batch), number)
 
     run_available(documents, checkpoint, each)
 
 
+def unique_documents(spark: SparkSession, target: str, schema: str = FINGERPRINTS) -> DataFrame:
+    """First document and copies of every fingerprint over all batches."""
+    return VersionedTable(spark, target, "fingerprint").rows(schema).groupBy("fingerprint").agg(
+        F.min("doc_id").alias("doc_id"), F.sum("copies").alias("copies"))
+
+
 def unique_within(documents: DataFrame, time_column: str, delay: str) -> DataFrame:
     """Variant with bounded state: copies are recognised within the watermark only."""
     fingerprint = F.sha2(F.col("text").cast("binary"), 256)
@@ -70,13 +73,13 @@ def unique_within(documents: DataFrame, time_column: str, delay: str) -> DataFra
 
 def chunk_delta(
     documents: DataFrame, to_lines: Callable[[DataFrame], DataFrame], table: str, checkpoint: str,
-    taxonomy: dict[str, Sequence[str]] | None = None, buckets: int = 8,
+    taxonomy: dict[str, Sequence[str]] | None = None,
 ) -> None:
     """Chunk, classify and upsert arriving documents without rebuilding the rest."""
 
     def each(batch: DataFrame, number: int) -> None:
         fresh = classify.classify(chunking.build_chunks(to_lines(batch)), taxonomy)
-        BucketedTable(batch.sparkSession, table, "chunk_id", buckets).upsert(fresh)
+        VersionedTable(batch.sparkSession, table, "chunk_id").upsert(fresh, number)
 
     run_available(documents, checkpoint, each)
 
@@ -88,17 +91,33 @@ def latest_phase(events: DataFrame) -> DataFrame:
     """Newest phase per deal and its progress; the same expression on streams and tables."""
     newest = events.groupBy("deal_id").agg(
         F.max_by("status", F.struct("ts", "seq")).alias("status"), F.max("ts").alias("ts"), F.count("*").alias("events"))
+    return _with_percent(newest)
+
+
+def _with_percent(phases: DataFrame) -> DataFrame:
     percent = F.create_map(*[F.lit(x) for pair in domains.PHASE_PERCENT.items() for x in pair])
-    return newest.withColumn("percent", F.coalesce(percent[F.col("status")], F.lit(0)))
+    return phases.withColumn("percent", F.coalesce(percent[F.col("status")], F.lit(0)))
+
+
+PHASES = "deal_id bigint, status string, seq bigint, ts timestamp, events bigint"
 
 
-def follow_phases(events: DataFrame, table: str, checkpoint: str, buckets: int = 8) -> None:
-    """Keep the newest phase of every deal in a table; a batch touches only changed deals."""
+def follow_phases(events: DataFrame, table: str, checkpoint: str) -> None:
+    """Keep each batch's newest phase of the deals it names."""
 
     def each(batch: DataFrame, number: int) -> None:
-        BucketedTable(batch.sparkSession, table, "deal_id", buckets).upsert(batch)
+        newest = batch.groupBy("deal_id").agg(
+            F.max_by(F.struct("status", "seq", "ts"), F.struct("ts", "seq")).alias("row"), F.count("*").alias("events"))
+        VersionedTable(batch.sparkSession, table, "deal_id").upsert(newest.select("deal_id", "row.*", "events"), number)
+
+    run_available(events, checkpoint, each)
 
-    run_available(latest_phase(events), checkpoint, each, mode="update")
+
+def current_phases(spark: SparkSession, table: str, schema: str = PHASES) -> DataFrame:
+    """What ``latest_phase`` gives for all events, from the batches' rows."""
+    merged = VersionedTable(spark, table, "deal_id").rows(schema).groupBy("deal_id").agg(
+        F.max_by("status", F.struct("ts", "seq")).alias("status"), F.max("ts").alias("ts"), F.sum("events").alias("events"))
+    return _with_percent(merged)
 
 
 def most_recent(events: DataFrame, limit: int = RECENT_EVENTS) -> DataFrame:
@@ -107,50 +126,65 @@ def most_recent(events: DataFrame, limit: int = RECENT_EVENTS) -> DataFrame:
     return events.withColumn("recency", F.row_number().over(newest)).filter(F.col("recency") <= limit)
 
 
-def follow_recent(events: DataFrame, table: str, checkpoint: str, limit: int = RECENT_EVENTS, buckets: int = 8) -> None:
-    """Keep each deal's newest events in a table."""
+def follow_recent(events: DataFrame, table: str, checkpoint: str, limit: int = RECENT_EVENTS) -> None:
+    """Keep each batch's newest events per deal; no later reader can need others."""
 
     def each(batch: DataFrame, number: int) -> None:
-        store = BucketedTable(batch.sparkSession, table, "deal_id", buckets)
-        top = most_recent(batch, limit)
-        touched = top.select("deal_id").distinct()
-        kept = store.read(top.schema).join(touched, "deal_id", "left_semi")
-        both = kept.unionByName(top).drop("recency").dropDuplicates(["deal_id", "seq"])
-        store.upsert(most_recent(both, limit))
+        top = most_recent(batch, limit).drop("recency")
+        VersionedTable(batch.sparkSession, table, "deal_id", "seq").upsert(top, number)
 
     run_available(events, checkpoint, each)
 
 
-def guard_transitions(history: DataFrame, target: str, state: str, checkpoint: str, buckets: int = 8) -> None:
-    """Append invalid status changes; the last status of every deal is kept in a table.
+def recent_events(spark: SparkSession, table: str, schema, limit: int = RECENT_EVENTS) -> DataFrame:
+    return most_recent(VersionedTable(spark, table, "deal_id", "seq").read(schema), limit)
+
+
+HISTORY = "deal_id bigint, seq bigint, status string"
+VIOLATIONS = "deal_id bigint, seq bigint, previous string, status string, valid boolean"
+
+
+def guard_transitions(history: DataFrame, target: str, state: str, checkpoint: str, schema: str = HISTORY) -> None:
+    """Find invalid status changes as rows arrive, in any order.
 
-    Inside a batch the previous status comes from a bounded lag, and a deal's first row is
-    met with the stored one, so no task replays a whole deal."""
+    Rows are kept by batch.  A batch's deals are judged again with their earlier rows, by a bounded lag, so
+    a late row is set between its neighbours; a violation that it ends is recorded as no longer valid."""
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("deal_id", "seq", "status")
-        schema = rows.schema
-        store = BucketedTable(spark, state, "deal_id", buckets)
-        before = store.read(schema).join(rows.select("deal_id").distinct(), "deal_id", "left_semi")
-        known = before.join(rows.groupBy("deal_id").agg(F.min("seq").alias("first")), "deal_id").filter(
-            F.col("seq") < F.col("first")).select(*schema.names)
-        bad = hitl.invalid_transitions(known.unionByName(rows))
-        bad.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        store.upsert(rows.groupBy("deal_id").agg(F.max("seq").alias("seq"), F.max_by("status", "seq").alias("status")))
+        store, found = VersionedTable(spark, state, "deal_id", "seq"), VersionedTable(spark, target, "deal_id", "seq")
+        store.upsert(batch.select("deal_id", "seq", "status"), number)
+        touched = batch.select("deal_id").distinct()
+        rows = store.read(schema, number + 1).join(touched, "deal_id", "left_semi")
+        bad = hitl.invalid_transitions(rows).select("deal_id", "seq", "previous", "status", F.lit(True).alias("valid"))
+        known = found.read(violations_schema(schema), number).filter("valid").join(touched, "deal_id", "left_semi")
+        ended = known.join(bad.select("deal_id", "seq"), ["deal_id", "seq"], "left_anti").withColumn("valid", F.lit(False))
+        found.upsert(bad.unionByName(ended), number)
 
     run_available(history, checkpoint, each)
 
 
+def violations_schema(schema: str = HISTORY) -> str:
+    kind = schema.split(",")[0].split()[1]
+    return VIOLATIONS.replace("deal_id bigint", f"deal_id {kind}")
+
+
+def violations(spark: SparkSession, target: str, schema: str = HISTORY) -> DataFrame:
+    """The invalid status changes of all rows so far."""
+    return VersionedTable(spark, target, "deal_id", "seq").read(violations_schema(schema)).filter("valid").drop("valid")
+
+
 # ---- deadline with an event-time timer -------------------------------------------------------------
 
 SLA_OUTPUT = "deal_id long, escalation_id long, opened_ms long"
 SLA_STATE = "opened array<struct<ms:long,id:long>>, closed array<long>"
 
 
-def sla_timeouts(events: DataFrame, hours: int = 24, delay: str = "0 seconds", shards: int = 8) -> DataFrame:
+def sla_timeouts(events: DataFrame, delay: str, hours: int = 24, shards: int = 8) -> DataFrame:
     """Escalations without a resolution within the limit, emitted when the watermark passes it.
 
+    ``delay`` is how late rows may come; a resolution later than that cannot be seen any more.
+
     ``events``: (deal_id, escalation_id, kind open|close, ts).  Openings of a deal are spread
     over ``shards`` keys and its few closings copied to each, so a hot deal's state is split.
     State holds openings and closings not older than the limit; the decision waits for the

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from briefmill import domains
-from briefmill.operators import debate, findings, skew, validation, verdict
+from briefmill.operators import debate, findings, validation, verdict
+from briefmill.plans.debate_replay import replay
 from briefmill.sources import tables
 
 
@@ -158,20 +159,33 @@ def test_dropouts_are_filled(spark):
     assert filled.count() == 6 and (row["persona"], row["stance"], row["confidence"]) == ("critic", N, "speculative")
 
 
-def test_pages_keep_every_row(spark):
-    df = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.col("id"))
-    paged = skew.paged(df, ["k"], "id", 50)
-    sizes = {(r["k"], r["page"]): r["n"] for r in paged.groupBy("k", "page").agg(F.count("*").alias("n")).collect()}
-    assert sum(sizes.values()) == 1000 and max(sizes.values()) < 120 and sum(k == "hot" for k, _ in sizes) == 7
-
-
 def test_compression_keeps_notes_and_every_argument(spark):
     df = debate.gate_contradiction(args(spark, [S] * 6).withColumn("argument", F.lit("First. " + "word " * 300)).withColumn("notes", F.lit("kept verbatim")))
     states = debate.round_rollup(debate.round_state(df))
-    out = debate.compress_rounds(df, states)
-    row = out.first()
-    assert row["argument_count"] == 6 and row["summary"].count("kept verbatim") == 6
-    assert debate.token_reduction(out).first()["reduction"] > 0.5
+    short = debate.compress_arguments(df)
+    rows = debate.compress_rounds(short, states)
+    assert short.filter("notes = 'kept verbatim' and key_claim = 'First.'").count() == 6 and rows.first()["argument_count"] == 6
+    assert debate.token_reduction(rows).first()["reduction"] > 0.5
+
+
+def test_string_ids_serve_as_well(spark):
+    df = args(spark, [S, S, S, S]).withColumn("argument_id", F.concat(F.lit("arg-"), "argument_id"))
+    later = df.limit(1).withColumn("round", F.col("round") + 1).withColumn("argument_id", F.lit("arg-z"))
+    latest = debate.latest_per_persona(df.unionByName(later))
+    assert latest.count() == 4 and latest.filter("argument_id = 'arg-z'").count() == 1
+    assert debate.finding_consensus(df).count() == 1
+
+
+def test_a_silent_critic_makes_a_settled_finding_contested(spark):
+    rows = args(spark, [S] * 6).withColumn("round", F.lit(1))
+    gate = spark.createDataFrame([("d", "x", "full", domains.PERSONAS)], "deal_id string, dimension string, mode string, personas array<string>")
+    one = rows.select("finding_id").first()["finding_id"]
+    found = spark.createDataFrame([("d", "x", one)], "deal_id string, dimension string, finding_id string")
+    chunks = spark.createDataFrame([("c1", "Section 1", "text")], "chunk_id string, section_id string, text string")
+    said = rows.withColumn("deal_id", F.lit("d")).withColumn("dimension", F.lit("x")).filter("persona <> 'critic'")
+    done = replay(said, gate, found, chunks)
+    first = done.log.filter("round = 1").first()
+    assert first["state"] == "contested" and done.arguments.filter("dropout_flag and persona = 'critic'").count() == 1
 
 
 def verdict_parts(spark):
@@ -185,24 +199,38 @@ def verdict_parts(spark):
 
 def test_brief_is_ranked_and_gaps_named(spark):
     found, states, judged = verdict_parts(spark)
-    assert [(r["finding_id"], r["confidence"]) for r in verdict.brief(found, states, judged).collect()] == [("f1", 1.0), ("f2", 0.7), ("f0", 1.0)]
-    gap = verdict.gaps(found, judged).first()
-    assert (gap["dimension"], gap["missing_claims"]) == ("c", ["claim"])
+    assert [(r["finding_id"], r["confidence"]) for r in verdict.brief(found, states, judged).orderBy("rank").collect()] == [("f1", 1.0), ("f2", 0.7), ("f0", 1.0)]
+    assert [r["rank"] for r in verdict.brief(found, states, judged).orderBy("rank").collect()] == [1, 2, 3]
+    gap = verdict.gaps(found, judged)
+    assert (gap.first()["dimension"], gap.first()["missing_claim"]) == ("c", "claim")
+    assert verdict.gap_summary(gap).first()["missing_claims"] == 1
 
 
-def test_verdict_document_pages_hold_everything(spark):
+def test_verdict_document_holds_everything(spark):
     import json
     found, states, judged = verdict_parts(spark)
     told = args(spark, [S, O]).withColumn("finding_id", F.lit("f2")).withColumn("contradiction_flag", F.col("persona") == "critic")
-    parts = (verdict.brief(found, states, judged), verdict.escalations(found, states, told, judged), verdict.gaps(found, judged),
-             verdict.skipped_dimensions(found, states))
-    one = [json.loads(r["verdict"]) for r in verdict.documents(found, *parts).collect()]
+    rows = verdict.documents(verdict.brief(found, states, judged), verdict.escalations(found, states, told, judged), verdict.gaps(found, judged),
+                             verdict.skipped_dimensions(found, states))
+    one = [json.loads(r["verdict"]) for r in verdict.document_of(rows, found).collect()]
     assert len(one) == 1 and [x["finding_id"] for x in one[0]["brief"]] == ["f1", "f2", "f0"]
     items = {x["finding_id"]: x for x in one[0]["escalations"]}
     assert items["f2"]["has_contradictions"] and len(items["f2"]["arguments"]) == 2 and items["f3"]["judge_notes"] == "none"
     assert len(one[0]["skipped_dimensions"]) == 8
-    small = [json.loads(r["verdict"]) for r in verdict.documents(found, *parts, page_size=1).collect()]
-    assert sorted(x["finding_id"] for d in small for x in d["brief"]) == ["f0", "f1", "f2"] and len(small) > 1
+    counts = verdict.document_counts(found, rows).first()
+    assert (counts["brief"], counts["escalations"], counts["gaps"], counts["skipped_dimensions"]) == (3, 2, 1, 8)
+
+
+def test_a_hot_deal_is_ranked_and_listed_whole(spark):
+    rows = spark.range(12_000).selectExpr(
+        "'hot' as deal_id", "concat('f', id) as finding_id", "'c' as claim", "'a' as dimension", "'s' as citation", "'general' as clause_type",
+        "element_at(array('critical', 'high', 'low'), cast(id % 3 + 1 as int)) as severity")
+    states = spark.createDataFrame([("hot", "a", "settled")], "deal_id string, dimension string, state string")
+    judged = spark.createDataFrame([], "finding_id string, status string, calibrated_confidence double")
+    ranked = verdict.brief(rows, states, judged).orderBy("rank").select("rank", "severity", "finding_id").collect()
+    assert [r["rank"] for r in ranked] == list(range(1, 12_001))
+    order = {"critical": 0, "high": 1, "low": 2}
+    assert [(r["severity"], r["finding_id"]) for r in ranked] == sorted(((r["severity"], r["finding_id"]) for r in ranked), key=lambda x: (order[x[0]], x[1]))
 
 
 def test_transcript_counts(spark):

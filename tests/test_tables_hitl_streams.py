@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from briefmill import session
 from briefmill.operators import delta, hitl
 from briefmill.plans.debate_replay import replay
 from briefmill.sources import documents as docs
 from briefmill.sources import tables
+from briefmill.sources.documents import first_per_fingerprint
 from briefmill.streaming import jobs
 
 
@@ -26,14 +28,14 @@ def test_copies_keep_the_first(spark):
     assert {r["doc_id"] for r in docs.without_copies(df).collect()} == {1, 2}
 
 
-def test_bucketed_upserts(spark, tmp_path):
-    table = tables.BucketedTable(spark, str(tmp_path / "t"), "id", 4)
+def test_upserts(spark, tmp_path):
+    table = tables.VersionedTable(spark, str(tmp_path / "t"), "id")
     rows = spark.range(100).select("id", F.lit("old").alias("v"))
     table.upsert(rows)
     table.upsert(spark.range(90, 120).select("id", F.lit("new").alias("v")))
     got = {r["v"]: r["n"] for r in table.read(rows.schema).groupBy("v").agg(F.count("*").alias("n")).collect()}
     assert got == {"old": 90, "new": 30}
-    assert tables.BucketedTable(spark, str(tmp_path / "none"), "id").read(rows.schema).count() == 0
+    assert tables.VersionedTable(spark, str(tmp_path / "none"), "id").read(rows.schema).count() == 0
 
 
 def test_cache_is_forgiving(spark, tmp_path):
@@ -148,34 +150,93 @@ def same(a, b):
 
 def test_phase_stream_equals_batch(spark, files, tmp_path):
     stream, df = stream_of(spark, files)
-    jobs.follow_phases(stream, str(tmp_path / "t"), str(tmp_path / "cp"), 4)
+    jobs.follow_phases(stream, str(tmp_path / "t"), str(tmp_path / "cp"))
     want = jobs.latest_phase(df)
-    assert same(tables.BucketedTable(spark, str(tmp_path / "t"), "deal_id", 4).read(want.schema), want)
+    got = jobs.current_phases(spark, str(tmp_path / "t"), jobs.PHASES.replace("deal_id bigint", f"deal_id {dict(df.dtypes)['deal_id']}"))
+    assert same(got.select(*want.columns), want)
 
 
 def test_recent_stream_equals_batch(spark, files, tmp_path):
     stream, df = stream_of(spark, files)
-    jobs.follow_recent(stream, str(tmp_path / "t"), str(tmp_path / "cp"), limit=20, buckets=4)
+    jobs.follow_recent(stream, str(tmp_path / "t"), str(tmp_path / "cp"), limit=20)
     want = jobs.most_recent(df, 20)
-    got = tables.BucketedTable(spark, str(tmp_path / "t"), "deal_id", 4).read(want.schema)
-    assert same(got.select(*want.columns), want)
+    assert same(jobs.recent_events(spark, str(tmp_path / "t"), df.schema, 20).select(*want.columns), want)
 
 
-def test_guard_stream_equals_batch(spark, files, tmp_path):
-    stream, df = stream_of(spark, files)
-    jobs.guard_transitions(stream, str(tmp_path / "bad"), str(tmp_path / "s"), str(tmp_path / "cp"), 4)
-    want = hitl.invalid_transitions(df)
-    assert same(spark.read.parquet(str(tmp_path / "bad")).select(*want.columns), want)
+def test_guard_stream_equals_batch_with_late_files_and_a_retry(spark, files, tmp_path):
+    path, df = files
+    kind = f"deal_id {dict(df.dtypes)['deal_id']}, seq {dict(df.dtypes)['seq']}, status string"
+    late = str(tmp_path / "late")
+    for part in (1, 0, 2):  # the second part of the history arrives first
+        df.filter((F.col("seq") * 3 / 400).cast("int") == part).coalesce(1).write.mode("append").parquet(late)
+    for source in (path, late):
+        where = tmp_path / source.rsplit("/", 1)[-1] / "run"
+        stream = jobs.file_stream(spark, source, df.schema, files_per_batch=1)
+        jobs.guard_transitions(stream, str(where / "bad"), str(where / "s"), str(where / "cp"), kind)
+        want = hitl.invalid_transitions(df)
+        assert same(jobs.violations(spark, str(where / "bad"), kind).select(*want.columns), want)
+    # the last batch again, as after a failure between its writes and its commit
+    commits = sorted((where / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (where / "cp" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    jobs.guard_transitions(jobs.file_stream(spark, late, df.schema, files_per_batch=1), str(where / "bad"), str(where / "s"), str(where / "cp"), kind)
+    assert same(jobs.violations(spark, str(where / "bad"), kind).select(*want.columns), want)
+
+
+def test_unique_stream_equals_batch_over_several_files(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = [[(3, "a"), (2, "b")], [(1, "a"), (4, "c"), (5, "c")], [(6, "a"), (7, "d")]]
+    for part in rows:
+        spark.createDataFrame(part, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(path)
+    table = spark.read.parquet(path)
+    jobs.ingest_unique(jobs.file_stream(spark, path, table.schema, 1), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = jobs.unique_documents(spark, str(tmp_path / "out"))
+    assert same(got.select("fingerprint", "doc_id", "copies"), first_per_fingerprint(table).select("fingerprint", "doc_id", "copies"))
+
+
+def test_a_small_upsert_writes_a_small_version(spark, tmp_path):
+    table = tables.VersionedTable(spark, str(tmp_path / "t"), "k")
+    schema = "k bigint, v string"
+    table.upsert(spark.range(5000).selectExpr("id as k", "'old' as v"))
+    table.upsert(spark.range(10).selectExpr("id as k", "'new' as v"))
+    table.upsert(spark.range(4999, 5001).selectExpr("id as k", "'last' as v"))
+    per_version = {r["version"]: r["n"] for r in table.rows(schema).groupBy("version").agg(F.count("*").alias("n")).collect()}
+    assert per_version == {0: 5000, 1: 10, 2: 2}
+    want = {"old": 4989, "new": 10, "last": 2}
+    assert {r["v"]: r["n"] for r in table.read(schema).groupBy("v").agg(F.count("*").alias("n")).collect()} == want
+    small = table.compact(schema, str(tmp_path / "u"))
+    assert small.rows(schema).count() == 5001 and {r["v"]: r["n"] for r in small.read(schema).groupBy("v").agg(F.count("*").alias("n")).collect()} == want
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session())
+
+
+def test_a_failed_request_leaves_the_escalation_open(spark):
+    esc = spark.createDataFrame([("e1", "d", "f", "pending")], "escalation_id string, deal_id string, finding_id string, status string")
+    found = spark.createDataFrame([("f", "d", "claim", "low")], "finding_id string, deal_id string, claim string, confidence string")
+    asked = spark.createDataFrame([(1, "e1", "shrug", "x", "ann"), (2, "e1", "resolve", "fine", "bob"), (3, "e1", "accept_risk", "x", "cyd")],
+                                  "seq int, escalation_id string, decision string, decision_text string, resolved_by string")
+    out = hitl.resolve_escalations(asked, esc, found)
+    assert [r["decision"] for r in out.updates.collect()] == ["resolve"]
+    assert {(r["seq"], r["error"]) for r in out.errors.collect()} == {(1, "unknown decision path: shrug"), (3, "already resolved")}
 
 
-def test_unique_stream_equals_batch(spark, tmp_path):
-    path = str(tmp_path / "in")
-    for part, rows in enumerate([[(1, "a"), (2, "b")], [(3, "a"), (4, "c"), (5, "c")]]):
-        spark.createDataFrame(rows, "doc_id int, text string").coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.file_stream(spark, path, spark.read.parquet(path).schema, 1)
-    jobs.ingest_unique(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.count() == 3 and got.select("fingerprint").distinct().count() == 3
+def test_a_dispute_reopens_its_own_deal(spark):
+    asked = spark.createDataFrame([(1, "other", "f", "B", "u", "p")], "dispute_id int, deal_id string, finding_id string, scenario string, user_id string, uploaded_document_path string")
+    found = spark.createDataFrame([("f", "d", "x")], "finding_id string, deal_id string, dimension string")
+    states = spark.createDataFrame([("d", "x", "settled"), ("other", "x", "settled")], "deal_id string, dimension string, state string")
+    got = {r["deal_id"]: r["state"] for r in hitl.route_disputes(asked, found, states).states.collect()}
+    assert got == {"d": "settled", "other": "active"}
 
 
 def test_sla_stream(spark, tmp_path):
@@ -183,5 +244,5 @@ def test_sla_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "deal_id long, escalation_id long, kind string, hour int").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("hour") * 3600)).drop("hour")
     path = str(tmp_path / "in")
     df.coalesce(1).write.parquet(path)
-    jobs.write_available(jobs.sla_timeouts(jobs.file_stream(spark, path, df.schema, 1)), str(tmp_path / "out"), str(tmp_path / "cp"))
+    jobs.write_available(jobs.sla_timeouts(jobs.file_stream(spark, path, df.schema, 1), "0 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert {r["escalation_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {11, 20}

@@ -126,8 +126,12 @@ def test_two_columns_read_one_after_the_other(spark):
     assert layout.reading_order(df).first()["text"] == "a b\nc\nx y\nz"
 
 
-def test_table_text_drops_blank_rows_and_pages(spark):
+def test_table_text_drops_blank_rows(spark):
     cells = spark.createDataFrame([("d", 0, r, c, t) for r, c, t in [(0, 0, " a\n b "), (0, 1, "c"), (1, 0, " "), (1, 1, ""), (2, 1, "z"), (2, 0, "y")]],
                                   "document_name string, table_no int, row_no int, column_no int, cell string")
     assert layout.table_text(cells).first()["text"] == "a b | c\ny | z"
-    assert [r["text"] for r in layout.table_text(cells, 2).orderBy("page").collect()] == ["a b | c", "y | z"]
+
+
+def test_a_long_table_is_one_text(spark):
+    cells = spark.range(12_000).selectExpr("'d' as document_name", "0 as table_no", "id as row_no", "0 as column_no", "concat('r', id) as cell")
+    assert layout.table_text(cells).first()["text"] == "\n".join(f"r{k}" for k in range(12_000))

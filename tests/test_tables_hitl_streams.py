@@ -170,7 +170,7 @@ def test_guard_stream_equals_batch_with_late_files_and_a_retry(spark, files, tmp
     for part in (1, 0, 2):  # the second part of the history arrives first
         df.filter((F.col("seq") * 3 / 400).cast("int") == part).coalesce(1).write.mode("append").parquet(late)
     for source in (path, late):
-        where = tmp_path / source.rsplit("/", 1)[-1] / "run"
+        where = tmp_path / ("run-" + source.rsplit("/", 1)[-1])
         stream = jobs.file_stream(spark, source, df.schema, files_per_batch=1)
         jobs.guard_transitions(stream, str(where / "bad"), str(where / "s"), str(where / "cp"), kind)
         want = hitl.invalid_transitions(df)

@@ -9,6 +9,8 @@
    the members not yet in the pivot's component; the share of pivots grows eightfold from round to round
    until every member has been one.  So each pair of a bucket is compared or already connected, a group
    of copies joins its first pivots, and no round holds more than pivots times members.
+   From the second round on, shingles that no other member of an open bucket holds bound each pair's similarity
+   before it is formed: they can only be in the union.  Members that reach no partner this way leave.
 4. A pair is verified by its signatures (agreement far below the similarity ends it), then on the full sets.
 5. Linked classes are connected by large-star and small-star rounds.
 
@@ -185,6 +187,18 @@ def _place() -> Column:
     return F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
 
 
+def _bounded(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """``left`` with each member's number of shingles ``n`` and of those that no other member holds, ``own``."""
+    members = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.size("shingles").alias("n"), "shingles")
+    alone = (
+        members.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
+        .agg(F.count("*").alias("holders"), F.first("node").alias("node")).filter("holders = 1")
+        .groupBy("node").agg(F.count("*").alias("own"))
+    )
+    counts = written(members.select("node", "n").join(alone, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own")), "counts")
+    return left.join(counts, "node")
+
+
 def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands: int) -> DataFrame | None:
     """(node, root) of the classes that are linked with others; None if no two share a bucket."""
     count = rows_a_band(percent, bands) * bands
@@ -196,7 +210,7 @@ def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands:
     chosen = classes.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "text_key")
     sets = written(_sets(docs, chosen, width, count), "sets")
     stars = tried = None
-    share = 0
+    share, bound = 0, F.lit(True)
     while True:
         held = buckets.withColumn("label", F.col("node"))
         if stars is not None:
@@ -205,14 +219,20 @@ def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands:
             held = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
         # only buckets that still hold more than one component
         split = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
-        left = written(held.join(split, "bucket").select("bucket", "node", "size", "first", "place", "label"), "left")
+        left = written(held.join(split, "bucket").select(*buckets.columns, "label"), "left")
+        if share and "own" not in left.columns:
+            # both pairs of bounds: what may be shared over what must be in the union
+            left = written(_bounded(left, sets).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "left")
+            bound = (100 * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("p_own"))) & (
+                100 * (F.col("p_n") - F.col("p_own")) >= percent * (F.col("p_n") + F.col("own")))
         largest = left.agg(F.max("size")).first()[0]
         if largest is None:
             break
         is_pivot = (F.col("place") == F.col("first")) | (F.col("place") * F.col("size") < share) | (F.col("size") <= SMALL)
-        pivots = left.filter(is_pivot).select("bucket", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+        pivots = left.filter(is_pivot).select("bucket", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), *(
+            F.col(c).alias(f"p_{c}") for c in ("n", "own") if c in left.columns))
         pairs = (
-            left.join(pivots, "bucket").filter(F.col("label") != F.col("pivot_label"))
+            left.join(pivots, "bucket").filter((F.col("label") != F.col("pivot_label")) & bound)
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         )
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -16,16 +16,18 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 from tokenizers import Tokenizer
 
-from briefmill.llm.common import digest
+from briefmill.llm.common import digest, map_arrow
 
 TOKENIZER = os.environ.get("BPE_TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.json")
 
@@ -240,28 +242,21 @@ def _ship(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, path: str = TOKENIZER, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add ``out``, the token ids of the whole text; a column of that name is replaced."""
-    shipped = _ship(docs, path)
+def _encoder(shipped) -> Callable[[pa.Array], pa.Array]:
     state: dict[str, TextEncoder] = {}
 
-    @F.arrow_udf(t.ArrayType(t.IntegerType(), False))
     def ids(texts: pa.Array) -> pa.Array:
         if not state:
             state["encoder"] = TextEncoder(_vocabulary(shipped))
         flat, offsets = state["encoder"].encode(texts.to_pylist())
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
 
-    return docs.withColumn(out, ids(F.col(text)))
+    return ids
 
 
-def decode(docs: DataFrame, path: str = TOKENIZER, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``, the text of the ids, special tokens included; bytes that form no character become
-    U+FFFD.  Ids outside the vocabulary and nulls decode to nothing."""
-    shipped = _ship(docs, path)
+def _decoder(shipped) -> Callable[[pa.Array], pa.Array]:
     state: dict[str, tuple[np.ndarray, ...]] = {}
 
-    @F.arrow_udf(t.StringType())
     def decoded(values: pa.Array) -> pa.Array:
         if not state:
             tokens = _vocabulary(shipped).tokens
@@ -270,7 +265,7 @@ def decode(docs: DataFrame, path: str = TOKENIZER, ids: str = "ids", out: str =
         pool, starts, lengths = state["pool"]
         flat = np.asarray(values.flatten().fill_null(-1), np.int64)
         flat = np.where((flat >= 0) & (flat < len(starts) - 1), flat, len(starts) - 1)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(values), 0), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(values), 0), np.int64)
         ends = np.cumsum(sizes)
         out = []
         for begin, end in zip(ends - sizes, ends):
@@ -280,13 +275,54 @@ def decode(docs: DataFrame, path: str = TOKENIZER, ids: str = "ids", out: str =
             out.append(pool[at].tobytes().decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
+    return decoded
+
+
+def encode(docs: DataFrame, path: str = TOKENIZER, text: str = "text", out: str = "ids") -> DataFrame:
+    """Add ``out``, the token ids of the whole text; a column of that name is replaced."""
+    run = _encoder(_ship(docs, path))
+
+    @F.arrow_udf(t.ArrayType(t.IntegerType(), False))
+    def ids(texts: pa.Array) -> pa.Array:
+        return run(texts)
+
+    return docs.withColumn(out, ids(F.col(text)))
+
+
+def decode(docs: DataFrame, path: str = TOKENIZER, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Add ``out``, the text of the ids, special tokens included; bytes that form no character become
+    U+FFFD.  Ids outside the vocabulary and nulls decode to nothing."""
+    run = _decoder(_ship(docs, path))
+
+    @F.arrow_udf(t.StringType())
+    def decoded(values: pa.Array) -> pa.Array:
+        return run(values)
+
     return docs.withColumn(out, decoded(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """Per row: doc_id, ids and the text they decode to.
+
+    Both steps in one pass: as two column functions on each other Spark would encode twice."""
+    shipped = _ship(docs, path)
+
+    def start():
+        encoder, decoder = _encoder(shipped), _decoder(shipped)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = encoder(batch.column("text"))
+            return pa.record_batch([batch.column("doc_id"), ids, decoder(ids)], ["doc_id", "ids", "decoded"])
+
+        return step
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return map_arrow(rows, start, "doc_id bigint, ids array<int>, decoded string")
+
+
 def tokenized(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """Per row: doc_id, ids, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = encode(docs.select("doc_id", "text"), path).drop("text")
-    return decode(encoded, path).select(
+    return round_trip(docs, path).select(
         "doc_id", "ids",
         F.size("ids").cast("bigint").alias("n_tokens"),
         digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),

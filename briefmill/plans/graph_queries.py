@@ -331,11 +331,27 @@ def _report(spark, sf):
 cte("cited_findings", """
   select finding_id, c.chunk_id from fx_findings f join chunks c on c.document_name = f.document_name and c.chunk_index = f.absolute_page""",
     "fx_findings", "chunks")
-@query("gr_finding_links", """
+cte("hubs", """
   select deal_id, finding_id, node_id, count(*) over (partition by deal_id, node_id) as findings_on_node
   from (select distinct f.deal_id, c.finding_id, p.node_id from cited_findings c join placed p using (chunk_id) join fx_findings f using (finding_id))""",
-       "cited_findings", "placed", "fx_findings")
+    "cited_findings", "placed", "fx_findings")
+
+
+@query("gr_finding_links", "select * from hubs", "hubs")
 def _links(spark, sf):
+    return finding_hubs(spark, sf)
+
+
+@query("gr_finding_edges", """
+  select a.deal_id, e.src, e.dst, a.findings_on_node as findings_on_src, b.findings_on_node as findings_on_dst
+  from (select distinct src, dst from edge_rows where src < dst) e
+  join (select distinct deal_id, node_id, findings_on_node from hubs) a on a.node_id = e.src
+  join (select distinct deal_id, node_id, findings_on_node from hubs) b on b.node_id = e.dst and b.deal_id = a.deal_id""", "edge_rows", "hubs")
+def _finding_edges(spark, sf):
+    return gr.finding_edges(finding_hubs(spark, sf), graph_tables(spark, sf).edges)
+
+
+def finding_hubs(spark, sf):
     tables = graph_tables(spark, sf)
     found = I.findings(spark, sf)
     places = I.chunks(spark, sf).select(

@@ -36,8 +36,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Below these code points every Unicode version agrees on letters, numbers and white space.
 # Texts with others are split by the tokenizer file's own splitter, which settles the version.
 UNSETTLED = re.compile("[^\x00-՗‐-⁄]")
-TOGETHER = 2_000_000  # characters whose distinct words share one trie
-REMEMBERED = 250_000  # words in each of the two generations a task remembers; others are encoded again, results are the same
+TOGETHER = 2_500_000  # characters whose distinct words share one trie
+REMEMBERED = 80_000  # words in each of the two generations a task remembers; others are encoded again, results are the same
 
 
 def byte_letters() -> dict[str, int]:

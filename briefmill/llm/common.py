@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from briefmill.session import scratch_path
 
 
+SLICE_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,13 +32,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a state per task: ``start()`` returns the function applied to each batch."""
+    """``mapInArrow`` with a state per task: ``start()`` returns the function applied to slices of each batch, which
+    are short so that a Python worker holds little at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                yield step(batch.slice(begin, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)
 

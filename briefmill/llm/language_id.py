@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import map_arrow, written
+from briefmill.llm.common import written
 
 BUCKETS = 1 << 14  # of hashed trigrams
 SCALE = 1 / 3
@@ -71,16 +71,11 @@ class Profiles:
         self.languages = [*languages, UNKNOWN]
         smooth = counts + 0.5
         known = np.log(smooth / smooth.sum(1, keepdims=True)) if len(languages) else np.zeros((0, BUCKETS))
-        self.table = np.concatenate([known, np.full((1, BUCKETS), -math.log(BUCKETS))]).T.astype(np.float32).copy()
+        self.table = np.concatenate([known, np.full((1, BUCKETS), -math.log(BUCKETS))]).T.copy()
 
-    def likelihoods(self, text: bytes | None) -> list[float] | None:
+    def likelihoods(self, text: bytes | None) -> np.ndarray | None:
         codes = trigram_codes(text)
-        if not len(codes):
-            return None
-        total = np.zeros(self.table.shape[1])
-        for k in range(0, len(codes), 65_536):
-            total += self.table[codes[k : k + 65_536]].sum(0, dtype=np.float64)
-        return (SCALE * total).tolist()
+        return SCALE * (np.bincount(codes, minlength=BUCKETS) @ self.table) if len(codes) else None
 
 
 def _evidence(docs: DataFrame, text: Column, declared: Column, host: Column) -> DataFrame:
@@ -114,23 +109,16 @@ def learn(evidence: DataFrame, least_share: float = LEAST_SHARE) -> Profiles:
     return Profiles(languages, counts)
 
 
-def _likelihoods(profiles: Profiles, spark):
+def _text_language(profiles: Profiles, spark):
+    """The language of most likelihood; null without letters."""
     shipped = spark.sparkContext.broadcast(profiles)
 
-    @F.arrow_udf("array<double>")
-    def likelihoods(texts: pa.Array) -> pa.Array:
-        return pa.array([shipped.value.likelihoods(t) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
+    @F.arrow_udf("string")
+    def likeliest(texts: pa.Array) -> pa.Array:
+        found = (shipped.value.likelihoods(t) for t in texts.cast(pa.binary()).to_pylist())
+        return pa.array([None if x is None else shipped.value.languages[int(x.argmax())] for x in found], pa.string())
 
-    return likelihoods
-
-
-def _best(scores: Column, names: Column) -> Column:
-    return F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
-
-
-def _log_shares(counts: list[float]) -> list[float]:
-    total = sum(counts)
-    return [math.log(c / total) for c in counts]
+    return likeliest
 
 
 class Evidence:
@@ -144,7 +132,7 @@ class Evidence:
         # P(declared | language), each pair counted once more; ``und`` declares anything alike
         pairs = {(r[0], r[1]): r[2] for r in counted.filter(F.col("declared").isin(known)).groupBy("declared", "text_language").agg(F.sum("n")).collect()}
         self.declared = {
-            d: [math.log((pairs.get((d, c), 0) + 1) / (sum(pairs.get((x, c), 0) for x in known) + len(known))) for c in known] + [-math.log(len(known))]
+            d: np.array([math.log((pairs.get((d, c), 0) + 1) / (sum(pairs.get((x, c), 0) for x in known) + len(known))) for c in known] + [-math.log(len(known))])
             for d in known
         }
         counts = [F.sum(F.when(F.col("text_language") == c, F.col("n")).otherwise(0)).cast("double") for c in known]
@@ -160,43 +148,49 @@ class Evidence:
             "host", smooth(F.col("h"), F.coalesce("s", corpus), HOST_WEIGHT).alias("p"))
         self.hosts = written(smoothed.select(F.col("host").alias("_lid_host"), F.transform("p", lambda x: F.log(x)).alias("_lid_prior")), "hosts")
 
-    def fused(self, likelihoods: Column, declared: Column, prior: Column) -> Column:
-        """Scores by language."""
-        flat = F.array(*(F.lit(0.0) for _ in self.languages))
-        says = F.coalesce(*(F.when(declared == d, F.array(*map(F.lit, v))) for d, v in self.declared.items()), flat)
-        own = F.concat(F.coalesce(prior, F.array(*(F.lit(math.log(p)) for p in self.prior))), F.array(F.lit(math.log(UNKNOWN_PRIOR))))
-        plus = lambda a, b: a + b
-        return F.zip_with(F.zip_with(likelihoods, says, plus), own, plus)
+    def fused(self, profiles: Profiles, spark):
+        """Language, confidence and the text's own language from text, declaration and host prior."""
+        shipped = spark.sparkContext.broadcast((profiles, self.declared, [math.log(p) for p in self.prior]))
+
+        @F.arrow_udf("struct<language:string,confidence:double,text_language:string>")
+        def judge(texts: pa.Array, declared: pa.Array, priors: pa.Array) -> pa.Array:
+            model, says, corpus = shipped.value
+            out = []
+            for text, said, prior in zip(texts.cast(pa.binary()).to_pylist(), declared.to_pylist(), priors.to_pylist()):
+                like = model.likelihoods(text)
+                if like is None:
+                    out.append(None)
+                    continue
+                scores = like + np.array([*(prior or corpus), math.log(UNKNOWN_PRIOR)]) + says.get(said, 0.0)
+                best = int(scores.argmax())
+                out.append({
+                    "language": model.languages[best], "confidence": float(1 / np.exp(scores - scores[best]).sum()),
+                    "text_language": model.languages[int(like.argmax())]})
+            kind = pa.struct([("language", pa.string()), ("confidence", pa.float64()), ("text_language", pa.string())])
+            return pa.array(out, kind)
+
+        return judge
 
 
 def scored(docs: DataFrame, text: Column, declared: Column, host: Column) -> DataFrame:
-    """``docs`` with _lid_language, _lid_confidence and _lid_text_language; null where there are no letters."""
+    """``docs`` with _lid: language, confidence and text_language, null where there are no letters."""
     spark = docs.sparkSession
     evidence = _evidence(docs, text, declared, host)
     profiles = learn(evidence)
-    blank = F.lit(None).cast("string")
     if len(profiles.languages) == 1:  # nothing is declared
-        return docs.withColumns({"_lid_language": blank, "_lid_confidence": F.lit(None).cast("double"), "_lid_text_language": blank})
-    likelihoods = _likelihoods(profiles, spark)
-    names = F.array(*map(F.lit, profiles.languages))
+        return docs.withColumn("_lid", F.lit(None).cast("struct<language:string,confidence:double,text_language:string>"))
+    likeliest = _text_language(profiles, spark)
     counted = written(
-        evidence.select("_lid_host", "_lid_declared", likelihoods("_lid_text").alias("_ll"))
-        .filter("_ll is not null")
-        .groupBy(F.col("_lid_host").alias("host"), F.col("_lid_declared").alias("declared"), _best(F.col("_ll"), names).alias("text_language"))
-        .agg(F.count("*").alias("n")), "language-counts")
+        evidence.select(F.col("_lid_host").alias("host"), F.col("_lid_declared").alias("declared"), likeliest("_lid_text").alias("text_language"))
+        .groupBy("host", "declared", "text_language").agg(F.count("*").alias("n")).filter("text_language is not null"), "language-counts")
     known = Evidence(counted, profiles.languages)
-    out = docs.withColumns({"_lid_ll": likelihoods(text), "_lid_declared": declared_code(declared), "_lid_host": host})
-    out = out.join(known.hosts, "_lid_host", "left").withColumn("_lid_scores", known.fused(F.col("_lid_ll"), F.col("_lid_declared"), F.col("_lid_prior")))
-    top = F.array_max("_lid_scores")
-    return out.withColumns({
-        "_lid_language": _best(F.col("_lid_scores"), names),
-        "_lid_confidence": 1 / F.aggregate(F.transform("_lid_scores", lambda s: F.exp(s - top)), F.lit(0.0), lambda a, b: a + b),
-        "_lid_text_language": _best(F.col("_lid_ll"), names),
-    }).drop("_lid_ll", "_lid_declared", "_lid_host", "_lid_prior", "_lid_scores")
+    placed = docs.withColumn("_lid_host", host).join(known.hosts, "_lid_host", "left")
+    judge = known.fused(profiles, spark)
+    return placed.withColumn("_lid", judge(text, declared_code(declared), F.col("_lid_prior"))).drop("_lid_host", "_lid_prior")
 
 
 def _accepted() -> Column:
-    return F.coalesce((F.col("_lid_language") != UNKNOWN) & (F.col("_lid_confidence") >= LEAST), F.lit(False))
+    return F.coalesce((F.col("_lid.language") != UNKNOWN) & (F.col("_lid.confidence") >= LEAST), F.lit(False))
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
@@ -204,8 +198,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     rows = docs.select("doc_id", F.col(text).alias("_lid_body"), F.col(declared).alias("_lid_said"), F.col(host).alias("_lid_from"))
     found = scored(rows, F.col("_lid_body"), F.col("_lid_said"), F.col("_lid_from"))
     return found.select(
-        "doc_id", F.coalesce("_lid_language", F.lit(UNKNOWN)).alias("language"), F.coalesce(F.round("_lid_confidence", 6), F.lit(0.0)).alias("confidence"),
-        F.coalesce("_lid_text_language", F.lit(UNKNOWN)).alias("text_language"), _accepted().alias("kept"))
+        "doc_id", F.coalesce("_lid.language", F.lit(UNKNOWN)).alias("language"), F.coalesce(F.round("_lid.confidence", 6), F.lit(0.0)).alias("confidence"),
+        F.coalesce("_lid.text_language", F.lit(UNKNOWN)).alias("text_language"), _accepted().alias("kept"))
 
 
 def keep_identified(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:

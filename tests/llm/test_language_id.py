@@ -30,7 +30,7 @@ def test_scores_equal_brute_force(spark):
     profiles = g.learn(g._evidence(docs, docs.text, docs.lang, docs.source))
     known = profiles.languages[:-1]
     like = {r.doc_id: profiles.likelihoods(r.text.encode()) for r in rows}
-    text_language = {i: profiles.languages[int(np.argmax(x))] for i, x in like.items() if x}
+    text_language = {i: profiles.languages[int(np.argmax(x))] for i, x in like.items() if x is not None}
     suffix = lambda s: s.split(".")[-1] if "." in s else None
     share = lambda own, above, weight: {c: (own[c] + weight * above[c]) / (sum(own[x] for x in known) + weight) for c in known}
     overall = Counter(text_language.values())
@@ -43,7 +43,7 @@ def test_scores_equal_brute_force(spark):
     pairs = Counter((r.lang, text_language.get(r.doc_id)) for r in rows)
     got = {r.doc_id: r for r in g.identify(docs).collect()}
     for r in rows:
-        if not like[r.doc_id]:
+        if like[r.doc_id] is None:
             assert not got[r.doc_id].kept
             continue
         scores = [like[r.doc_id][k] + math.log(by_host[r.source][c]) + math.log((pairs[r.lang, c] + 1) / (sum(pairs[x, c] for x in known) + len(known))) for k, c in enumerate(known)]

@@ -36,7 +36,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Below these code points every Unicode version agrees on letters, numbers and white space.
 # Texts with others are split by the tokenizer file's own splitter, which settles the version.
 UNSETTLED = re.compile("[^\x00-՗‐-⁄]")
-TOGETHER = 2_500_000  # characters whose distinct words share one trie
+TOGETHER = 1_000_000  # characters whose distinct words share one trie
 REMEMBERED = 80_000  # words in each of the two generations a task remembers; others are encoded again, results are the same
 
 
@@ -76,7 +76,8 @@ class Vocabulary:
         # for each token the longest shorter token that ends it, for each beginning of a token the longest that ends it
         self.shorter = {i: self._ending(token, 1) for token, i in self.ids.items()}
         self.ending = {begun: self._ending(begun, 0) for token in self.ids for begun in (token[: k + 1] for k in range(len(token)))}
-        self.splitter = Tokenizer.from_str(text).pre_tokenizer
+        empty = spec | {"added_tokens": [], "model": spec["model"] | {"vocab": {}, "merges": []}}
+        self.splitter = Tokenizer.from_str(json.dumps(empty)).pre_tokenizer
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _ending(self, text: bytes, begin: int) -> int:

@@ -12,6 +12,8 @@ from briefmill.session import scratch_path
 
 
 SLICE_ROWS = 1_000
+# Session settings of Arrow batches: what a task holds on both sides of a Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(SLICE_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +25,16 @@ def digest(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches; results do not depend on them."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: its size is known, its lineage is cut and it
     survives the loss of executors."""
+    short_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -41,6 +50,7 @@ def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.R
             for begin in range(0, batch.num_rows, SLICE_ROWS):
                 yield step(batch.slice(begin, SLICE_ROWS))
 
+    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

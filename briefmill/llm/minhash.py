@@ -187,8 +187,8 @@ def _place() -> Column:
     return F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _bounded(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """``left`` with each member's number of shingles ``n`` and of those that no other member holds, ``own``."""
+def _bounded(left: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``left`` with each member's buckets, number of shingles ``n`` and of those that no other member holds, ``own``."""
     members = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.size("shingles").alias("n"), "shingles")
     alone = (
         members.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
@@ -196,7 +196,7 @@ def _bounded(left: DataFrame, sets: DataFrame) -> DataFrame:
         .groupBy("node").agg(F.count("*").alias("own"))
     )
     counts = written(members.select("node", "n").join(alone, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own")), "counts")
-    return left.join(counts, "node")
+    return left.join(counts.join(classes.select("node", "buckets"), "node"), "node")
 
 
 def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands: int) -> DataFrame | None:
@@ -221,16 +221,17 @@ def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands:
         split = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
         left = written(held.join(split, "bucket").select(*buckets.columns, "label"), "left")
         if share and "own" not in left.columns:
-            # both pairs of bounds: what may be shared over what must be in the union
-            left = written(_bounded(left, sets).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "left")
+            # what may be shared over what must be in the union, either way; a pair meets in its first shared bucket only
+            left = written(_bounded(left, sets, classes).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "left")
             bound = (100 * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("p_own"))) & (
-                100 * (F.col("p_n") - F.col("p_own")) >= percent * (F.col("p_n") + F.col("own")))
+                100 * (F.col("p_n") - F.col("p_own")) >= percent * (F.col("p_n") + F.col("own"))) & (
+                F.array_min(F.array_intersect("buckets", "p_buckets")) == F.col("bucket"))
         largest = left.agg(F.max("size")).first()[0]
         if largest is None:
             break
         is_pivot = (F.col("place") == F.col("first")) | (F.col("place") * F.col("size") < share) | (F.col("size") <= SMALL)
         pivots = left.filter(is_pivot).select("bucket", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), *(
-            F.col(c).alias(f"p_{c}") for c in ("n", "own") if c in left.columns))
+            F.col(c).alias(f"p_{c}") for c in ("n", "own", "buckets") if c in left.columns))
         pairs = (
             left.join(pivots, "bucket").filter((F.col("label") != F.col("pivot_label")) & bound)
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()

@@ -4,18 +4,23 @@ The tree has a fixed depth: a line goes to a leaf by its number of tokens and it
 digit count as variable).  Inside a leaf every distinct line of every document votes, position by position: a
 token with at least ``least_documents`` votes stays, any other is a variable field.  A line's template is
 what stays of it; it needs a share of ``least_constant`` constant tokens.  Templates found in at least
-``least_documents`` documents recur, and their lines are dropped.
+``least_documents`` documents recur, and their lines are dropped from every text: one made wholly of them is emptied.
 
-Copies of one text count as one document, and a text of which recurring lines hold more than ``copy_share`` of
-the tokens is itself a copy of other documents: it is left whole, for near-duplicate removal to choose
-one.  So no document is emptied.  Lines of fewer than ``least_tokens`` tokens never recur.
+Copies count as one document: those of one text, and near copies, which are told by what they share as a whole.
+Texts that share their longest repeated line (the same bytes in ``least_documents`` texts) and of which repeated
+lines hold more than ``copy_share`` of the bytes are one group of copies.  Lines found in nothing but the group do
+not recur, so near-duplicate removal can choose one of its texts.  A short text around boilerplate has more of its
+own, and a log's lines differ in their fields, so these count each by itself.  Lines of fewer than ``least_tokens``
+tokens never recur.
 
-Three passes, none of which gathers a leaf or a template in one task:
+Four passes, none of which gathers a leaf or a template in one task:
 
 1. Count leaves with partial counts in each task; leaves of too few lines cannot hold a template.
 2. Lines of the remaining leaves go on.  A Bloom filter of fixed size drops most others where they are read,
-   a join drops the rest.  Votes and templates are grouped sums over (leaf, position, token) and template.
-3. The positions of dropped lines are joined to the documents by a 128-bit hash of the text.
+   a join drops the rest.
+3. Repeated lines and the groups of copies are grouped sums over lines and texts; votes and templates are grouped
+   sums over (leaf, position, token) and template.
+4. The positions of dropped lines are joined to the documents by a 128-bit hash of the text.
 
 Null texts stay null and empty ones empty; lines are parted by \\n alone and kept lines stay as they are.  Repeated
 rows are treated alike.  An empty table gives an empty one.  All columns are kept; ``n_chars``, if there is
@@ -37,7 +42,7 @@ DEPTH = 2
 LEAST_DOCUMENTS = 10
 LEAST_CONSTANT = 0.7
 LEAST_TOKENS = 3
-COPY_SHARE = 0.5
+COPY_SHARE = 8 / 9  # texts with this share in common have a similarity of 0.8
 FILTER_BYTES = 4 << 20
 VARIABLE = b"<*>"
 
@@ -93,7 +98,8 @@ def _leaf_filter(leaves: DataFrame, size: int) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, leaves: DataFrame, depth: int, least_tokens: int, filter_bytes: int) -> DataFrame:
-    """(doc, position, leaf, tokens, doc_tokens) of lines in the leaves; ``doc`` is a hash of the text."""
+    """(doc, position, leaf, tokens, raw, size, total) of lines in the leaves: ``doc`` is a hash of the text, ``raw`` one
+    of the line's bytes; ``size`` and ``total`` are the bytes in tokens of line and text."""
     bits = filter_bytes * 8
     shipped = docs.sparkSession.sparkContext.broadcast(_leaf_filter(leaves, filter_bytes))
 
@@ -101,7 +107,7 @@ def _candidates(docs: DataFrame, leaves: DataFrame, depth: int, least_tokens: in
         words = shipped.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            docs_, positions, own, tokens_, totals = [], [], [], [], []
+            docs_, positions, own, tokens_, raws, sizes, totals = [], [], [], [], [], [], []
             for text in byte_texts(batch.column("text")):
                 key = total = None
                 for position, tokens in _lines(text, least_tokens):
@@ -110,23 +116,36 @@ def _candidates(docs: DataFrame, leaves: DataFrame, depth: int, least_tokens: in
                     if not (int(words[at >> 6]) >> (at & 63)) & 1:
                         continue
                     if key is None:
-                        key, total = xxhash.xxh3_128_digest(text), len(text.split())
+                        key, total = xxhash.xxh3_128_digest(text), sum(map(len, text.split()))
                     docs_.append(key)
                     positions.append(position)
                     own.append(leaf)
                     tokens_.append([masked(t) for t in tokens])
+                    raws.append(xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63))
+                    sizes.append(sum(map(len, tokens)))
                     totals.append(total)
             return pa.record_batch([
                 pa.array(docs_, pa.binary()), pa.array(positions, pa.int32()), pa.array(own, pa.int64()), pa.array(tokens_, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                pa.array(totals, pa.int32())], ["doc", "position", "leaf", "tokens", "doc_tokens"])
+                pa.array(raws, pa.int64()), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())],
+                ["doc", "position", "leaf", "tokens", "raw", "size", "total"])
 
         return step
 
-    lines = map_arrow(docs.select("text"), start, "doc binary, position int, leaf bigint, tokens array<string>, doc_tokens int")
+    lines = map_arrow(docs.select("text"), start, "doc binary, position int, leaf bigint, tokens array<string>, raw bigint, size bigint, total bigint")
     lines = lines.withColumn("line", F.xxhash64("tokens", F.size("tokens")))
     return written(lines.join(leaves, "leaf", "left_semi"), "lines")
 
 
+def _copies(lines: DataFrame, least_documents: int, copy_share: float) -> DataFrame:
+    """(doc, anchor) of the near copies; those of one group have one anchor, their longest repeated line."""
+    repeated = written(
+        lines.select("doc", "raw").distinct().groupBy("raw").agg(F.count("*").alias("n")).filter(F.col("n") >= least_documents).select("raw"), "repeated")
+    return written(
+        lines.join(repeated, "raw", "left_semi").groupBy("doc")
+        .agg(F.sum("size").alias("shared"), F.max(F.struct("size", "raw")).alias("longest"), F.first("total").alias("total"))
+        .filter(F.col("shared") > copy_share * F.col("total")).select("doc", F.col("longest.raw").alias("anchor")), "copies")
+
+
 def recurring(lines: DataFrame, least_documents: int, least_constant: float) -> tuple[DataFrame, DataFrame]:
     """(template, pattern, n_documents) of the templates that recur, and (line, template) of their lines."""
     in_docs = lines.select("doc", "line").distinct().groupBy("line").agg(F.count("*").alias("n"))
@@ -157,12 +176,11 @@ def _dropped(docs: DataFrame, depth: int, least_documents: int, least_constant:
     """(doc, positions) of the lines to drop from each text that loses any."""
     leaves = _leaves(docs, depth, least_documents, least_tokens)
     lines = _candidates(docs, leaves, depth, least_tokens, filter_bytes)
-    _, bad = recurring(lines, least_documents, least_constant)
-    hits = lines.join(bad, "line", "left_semi").groupBy("doc", "position").agg(F.first("doc_tokens").alias("total"), F.first(F.size("tokens")).alias("tokens"))
-    return (
-        hits.groupBy("doc").agg(F.collect_list("position").alias("positions"), F.sum("tokens").alias("lost"), F.first("total").alias("total"))  # one text's lines
-        .filter(F.col("lost") <= copy_share * F.col("total")).select("doc", "positions")
-    )
+    units = lines.join(_copies(lines, least_documents, copy_share), "doc", "left")  # what counts as one document
+    units = units.withColumn("doc", F.coalesce(F.col("anchor").cast("string").cast("binary"), "doc"))
+    _, bad = recurring(units, least_documents, least_constant)
+    hits = lines.join(bad, "line", "left_semi").select("doc", "position").distinct()
+    return hits.groupBy("doc").agg(F.collect_list("position").alias("positions"))  # one text's lines
 
 
 def drop_recurring_lines(

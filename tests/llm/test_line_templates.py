@@ -93,3 +93,19 @@ def test_awkward_documents(spark):
     same = docs_of(spark, [(k, "one line of boilerplate\n" + " ".join(words(k, 30)) + "\n") for k in range(12)] + [(50, None), (51, "")])
     got = {r.doc_id: r.text for r in x.drop_recurring_lines(same).collect()}
     assert got[50] is None and got[51] == "" and got[3] == " ".join(words(3, 30)) + "\n"
+
+
+def test_every_document_is_cleaned_and_only_near_copies_are_spared(spark):
+    line = "read more of this story on our site today"
+    passage = " ".join(words(77, 55))
+    rows_ = [(k, " ".join(words(k, 30)) + "\n" + line) for k in range(12)]
+    rows_ += [(100 + k, line + "\n" + " ".join(words(100 + k, 4))) for k in range(12)]  # more than half of it recurs
+    rows_ += [(200 + k, passage + "\n" + " ".join(words(200 + k, 25))) for k in range(12)]
+    rows_ += [(300 + k, f"user{k} logged in from host{k} at port {k} with status code ok\nsession of user{k} was closed by the server") for k in range(12)]
+    copies = [" ".join(words(400 + j, 12)) for j in range(12)]
+    rows_ += [(400 + k, "\n".join([*copies, words(9000 + k, 1)[0]])) for k in range(12)]
+    rows_ += [(500, "\n".join([*copies, line]))]
+    want = {i: "\n".join(x for x in t.split("\n") if x not in (line, passage) and "user" not in x) for i, t in rows_}
+    got = {r.doc_id: r.text for r in x.cleaned(docs_of(spark, rows_)).collect()}
+    assert got == want
+    assert got[100] == " ".join(words(100, 4)) and got[300] == "" and got[400] == dict(rows_)[400]

@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of recurring templates."""
-    return line_templates.drop_recurring_lines(docs).drop("_n_dropped")
+    return line_templates.drop_recurring_lines(docs, **line_templates.SHORT).drop("_n_dropped")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

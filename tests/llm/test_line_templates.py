@@ -109,3 +109,14 @@ def test_every_document_is_cleaned_and_only_near_copies_are_spared(spark):
     got = {r.doc_id: r.text for r in x.cleaned(docs_of(spark, rows_)).collect()}
     assert got == want
     assert got[100] == " ".join(words(100, 4)) and got[300] == "" and got[400] == dict(rows_)[400]
+
+
+def test_long_short_and_unspaced_lines_recur(spark):
+    long = " ".join(words(78, 52))
+    rows_ = [(k, " ".join(words(k, 30))) for k in range(12)]
+    rows_ = [(k, t + (f"\n{long}" if k < 3 else "") + "\nLes." + f"\n版权所有保留一切权利第{k}页" + "\n}\nshort line") for k, t in rows_[:9]] + [
+        (k, t + "\nLes." + f"\n版权所有保留一切权利第{k}页" + "\n}") for k, t in rows_[9:]]
+    got = {r.doc_id: r.text for r in x.cleaned(docs_of(spark, rows_)).collect()}
+    assert got == {k: " ".join(words(k, 30)) + ("\n}\nshort line" if k < 9 else "\n}") for k in range(12)}
+    two = docs_of(spark, rows_[1:3])
+    assert all(r.n_dropped == 0 for r in x.cleaned(two).collect())

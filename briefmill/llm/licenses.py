@@ -4,16 +4,22 @@ Text and templates are normalised to lower-case words of letters and digits.  Ev
 belongs to a template proposes where that template would begin; proposals close together form a candidate
 passage, from its first to its last such bigram.  If Dice reaches ``least``, the sizes of both bigram sets differ
 by at most the factor (2 - least) / least: templates that passage size or the number of proposals rule out
-are pruned, and only the rest are compared.  So a licence is found as a whole file, a header, a line, or
-within a line of other text.
+are pruned, and only the rest are compared.  Proposals are grouped by small and by large shifts, and of a group also
+its densest part is a candidate, as common bigrams around a licence join its group.  So a licence is found as a
+whole file, a header, a line, or within a line of other text.
+
+A passage that names versions must name one of its template's, and one that names a variant of a licence far more
+often than the template (the AGPL's full text, say, which is not held) does not match.  Of templates that match one passage (each span
+holding more than half of the other) the best is returned, so a version or variant does not pass for another.
 
 Nulls count as empty texts; rows are independent, so repeated rows give repeated results and an empty table
 gives an empty one.  Of equal matches all are returned, of overlapping ones with one template the best, the first of ties."""
 
 from __future__ import annotations
 
+import pkgutil
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,6 +92,46 @@ non-commercial, and by any means.""",
     "notice-rights-reserved": "All rights reserved.",
 }
 
+_GNU_END = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."""
+_GNU_WEB = "You should have received a copy of the GNU {0}General Public License along with this program. If not, see http://www.gnu.org/licenses/."
+_GNU_POST = """You should have received a copy of the GNU {0}General Public License along with this program; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""
+
+
+def _gnu(kind: str, version: str, later: bool, end: str) -> str:
+    terms = f"either version {version} of the License, or (at your option) any later version." if later else f"version {version} of the License."
+    return f"""This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License
+as published by the Free Software Foundation, {terms} {_GNU_END.format(kind)} {end.format(kind)}"""
+
+
+MORE_TEMPLATES = {
+    "GPL-2.0-or-later": _gnu("", "2", True, _GNU_POST), "GPL-2.0-only": _gnu("", "2", False, _GNU_POST), "GPL-3.0-only": _gnu("", "3", False, _GNU_WEB),
+    "LGPL-2.1-or-later": _gnu("Lesser ", "2.1", True, _GNU_POST), "LGPL-2.1-only": _gnu("Lesser ", "2.1", False, _GNU_POST),
+    "LGPL-3.0-or-later": _gnu("Lesser ", "3", True, _GNU_WEB), "LGPL-3.0-only": _gnu("Lesser ", "3", False, _GNU_WEB),
+    "AGPL-3.0-or-later": _gnu("Affero ", "3", True, _GNU_WEB), "AGPL-3.0-only": _gnu("Affero ", "3", False, _GNU_WEB),
+    "EPL-1.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which
+accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is
+available at https://www.eclipse.org/legal/epl-2.0/""",
+    "BSD-4-Clause": _BSD_CONDITIONS + """ 3. All advertising materials mentioning features or use of this software must display the following
+acknowledgement: This product includes software developed by the organization. 4. Neither the name of the copyright holder nor the names of
+its contributors may be used to endorse or promote products derived from this software without specific prior written permission. """ + _BSD_DISCLAIMER,
+    "notice-GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "notice-LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "notice-LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "notice-AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+}
+FULL_TEXTS = ("Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")
+VARIANTS = (b"affero", b"lesser")
+
+
+def all_templates() -> dict[str, str]:
+    """Headers, notices and the full texts, which are files of this package."""
+    texts = {f"text-{name}": pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode() for name in FULL_TEXTS}
+    return TEMPLATES | MORE_TEMPLATES | texts
+
+
 # A-Z become a-z, other ASCII characters than letters and digits a space; bytes of other characters stay.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -99,63 +145,103 @@ def dice(one: set, two: set) -> float:
     return 2 * len(one & two) / (len(one) + len(two)) if one or two else 0.0
 
 
+def versions(pairs) -> set[bytes]:
+    """Numbers that follow the word version."""
+    return {two for one, two in pairs if one == b"version" and two[:1].isdigit()}
+
+
 class Matcher:
     def __init__(self, templates: dict[str, str], least: float = LEAST):
         self.least = least
         self.names = list(templates)
         words = [normal_words(t.encode()) for t in templates.values()]
         self.sets = [set(zip(w, w[1:])) for w in words]
+        self.versions = [versions(own) for own in self.sets]
+        self.variants = [[w.count(v) for v in VARIANTS] for w in words]
         self.lengths = [len(w) for w in words]
-        self.places: dict[tuple[bytes, bytes], list[tuple[int, int]]] = defaultdict(list)
+        self.places: dict[tuple[bytes, bytes], dict[int, list[int]]] = defaultdict(dict)
         for k, w in enumerate(words):
             for j, pair in enumerate(zip(w, w[1:])):
-                self.places[pair].append((k, j))
+                self.places[pair].setdefault(k, []).append(j)
+
+    def densest(self, at: list[int]) -> tuple[int, int]:
+        """First and last of the ascending places whose passage has the largest 2 * proposals - least * size."""
+        best, total, begin, out = 0.0, 0.0, 0, (at[0], at[0])
+        for n, i in enumerate(at):
+            total -= self.least * (i - at[n - 1] - 1) if n else 0.0
+            if total <= 0:
+                total, begin = 0.0, i
+            total += 2 - self.least
+            if total > best:
+                best, out = total, (begin, i)
+        return out
 
     def candidates(self, pairs: list[tuple[bytes, bytes]]):
         """(template, first word, last word) of passages that the bounds do not rule out."""
-        places = self.places
+        shared = Counter(k for pair in set(pairs) if pair in self.places for k in self.places[pair])
+        lows = {k: len(self.sets[k]) * self.least / (2 - self.least) for k in shared}
+        alive = {k for k, n in shared.items() if n >= lows[k]}  # fewer bigrams in common rule the template out
+        if not alive:
+            return
         proposals = defaultdict(list)
         for i, pair in enumerate(pairs):
-            if pair in places:
-                for k, j in places[pair]:
-                    proposals[k].append((i - j, i))
+            if pair in self.places:
+                for k, own in self.places[pair].items():
+                    if k in alive:
+                        proposals[k].extend((i - j, i) for j in own)
         for k, own in proposals.items():
             own.sort()
-            n = len(self.sets[k])
-            low, high = n * self.least / (2 - self.least), n * (2 - self.least) / self.least
-            reach = max(1, round(self.lengths[k] * (1 - self.least)))  # words that edits may shift the rest by
-            begin = 0
-            for end in range(1, len(own) + 1):
-                if end < len(own) and own[end][0] - own[end - 1][0] <= reach:
-                    continue
-                group = own[begin:end]
-                begin = end
-                if len(group) < low:
-                    continue
-                first, last = min(i for _, i in group), max(i for _, i in group) + 1
-                if low <= last - first <= high + reach:
-                    yield k, first, last
+            n, low = len(self.sets[k]), lows[k]
+            high = n * (2 - self.least) / self.least
+            shifts = (1 - self.least, (2 - 2 * self.least) / self.least)  # edits of some words, and as many added as Dice allows
+            seen = set()
+            for reach in (max(1, round(self.lengths[k] * x)) for x in shifts):
+                begin = 0
+                for end in range(1, len(own) + 1):
+                    if end < len(own) and own[end][0] - own[end - 1][0] <= reach:
+                        continue
+                    group = own[begin:end]
+                    begin = end
+                    if len(group) < low:
+                        continue
+                    at = sorted({i for _, i in group})
+                    for first, last in ((at[0], at[-1]), self.densest(at)):
+                        if low <= last + 1 - first <= high + reach and (first, last) not in seen:
+                            seen.add((first, last))
+                            yield k, first, last + 1
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, str, float]]:
-        """(first word, last word, name, Dice) by first word; of overlapping ones with one template the best."""
+        """(first word, last word, name, Dice) by first word; of overlapping ones with one template, and of templates
+        of one passage, the best."""
         pairs = list(zip(words, words[1:]))
         if self.places.keys().isdisjoint(pairs):
             return []
         found = []
         for k, first, last in self.candidates(pairs):
-            score = dice(set(pairs[first:last]), self.sets[k])
-            if score >= self.least:
+            passage = set(pairs[first:last])
+            score = dice(passage, self.sets[k])
+            named = versions(passage)
+            if score < self.least or named and self.versions[k] and named.isdisjoint(self.versions[k]):
+                continue
+            if all(words[first : last + 1].count(v) <= 2 * n + 1 for v, n in zip(VARIANTS, self.variants[k])):
                 found.append((first, last, self.names[k], score))
         out: list[tuple[int, int, str, float]] = []
         for match in sorted(found, key=lambda m: (-m[3], m[0], m[2])):
-            if not any(m[2] == match[2] and m[0] <= match[1] and match[0] <= m[1] for m in out):
+            if not any(self._rivals(match, m) for m in out):
                 out.append(match)
         return sorted(out)
 
+    @staticmethod
+    def _rivals(one, two) -> bool:
+        common = min(one[1], two[1]) - max(one[0], two[0])
+        if one[2] == two[2]:
+            return common >= 0
+        return 2 * common > max(one[1] - one[0], two[1] - two[0])
+
 
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """Per row: doc_id and matches, an array of (license, start, end, dice) in code points of the text."""
-    templates = templates or TEMPLATES
+    templates = templates or all_templates()
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("dice", pa.float64())]))
 
     def start():

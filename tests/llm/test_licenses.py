@@ -57,3 +57,23 @@ def test_awkward_documents(spark):
     assert x.summary(no_docs(spark)).collect() == []
     twice = x.summary(docs_of(spark, [(1, "All rights reserved. All rights reserved."), (1, "All rights reserved. All rights reserved.")])).collect()
     assert [r.n_matches for r in twice] == [2, 2]
+
+
+def test_versions_full_texts_and_long_insertions(spark):
+    prose = " ".join(words(5, 30)) + " of the work in the terms of the copy "
+    every = x.all_templates()
+    names = [n for n in every if n not in x.TEMPLATES]
+    rows = [(k, f"{prose}\n{every[n]}\n{prose}") for k, n in enumerate(names)]
+    rows.append((900, prose + "\nThis work is licensed under the GNU General Public License, version 2."))
+    mit = x.TEMPLATES["MIT"].split()
+    rows.append((901, " ".join([*mit[:80], *words(6, 50), *mit[80:]])))
+    got = {r.doc_id: {m.license for m in r.matches} for r in x.licences(docs_of(spark, rows)).collect()}
+    for k, n in enumerate(names):
+        found = {m for m in got[k] if n.startswith("notice") or not m.startswith("notice")}
+        assert n in found and (n.startswith("text") or found == {n}), (n, got[k])
+    assert got[900] == {"notice-GPL-2.0"} and got[901] == {"MIT"}
+
+
+def test_variants_that_are_not_held_do_not_match(spark):
+    text = x.all_templates()["text-GPL-3.0"].replace("GNU General Public", "GNU Affero General Public")
+    assert not any(m.license == "text-GPL-3.0" for r in x.licences(docs_of(spark, [(1, text)])).collect() for m in r.matches)

@@ -5,8 +5,8 @@ pages of its host it stands.  A subtree on at least ``least_pages`` pages and ``
 pages is part of the site's template; a host has at most (subtrees a page / ``least_share``) of them, so its
 list is bounded.  A second pass deletes these subtrees and elements that by tag, role or class are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, and returns the text
-blocks of the rest.  Subtrees inside ``article`` or ``main`` are content even where they recur (a site may
-print one article on many pages); if a page has such an element, only its blocks are returned.
+blocks of the rest.  Pages, main elements and articles are not judged by parts of class names.  Subtrees inside ``article`` or ``main`` are content even where they recur (a site may
+print one article on many pages); if a page has such an element outside of deleted ones, only its blocks are returned.
 
 White space inside a block becomes one space; ``br`` is white space.  Null pages have empty text; null urls
 belong to the host without name.  Pages are independent but for the counts, in which a repeated row is a page
@@ -43,6 +43,8 @@ DROPPED_CLASSES = frozenset(
     "newsletter subscribe sidebar side menu nav navbar navigation breadcrumb breadcrumbs share sharing social related comment comments "
     "disqus header footer masthead login signup form skip pagination pager toolbar widget".split())
 CONTENT = frozenset(("article", "main"))
+WHOLE = frozenset(("html", "body", "main"))  # never dropped by class, nor is an article but by these
+ARTICLE_CLASSES = frozenset("comment comments related teaser ad ads advert advertisement".split())
 # An opening tag of the key closes open elements of the values.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -65,6 +67,10 @@ class Element:
         self.content = content  # is or is inside an article or main element
 
     def dropped(self) -> bool:
+        if self.tag in WHOLE:
+            return False
+        if self.tag == "article":
+            return not ARTICLE_CLASSES.isdisjoint(self.marks.lower().split())
         return self.tag in DROPPED or self.role in DROPPED_ROLES or (
             bool(self.marks) and not DROPPED_CLASSES.isdisjoint(_CLASS_PARTS.split(self.marks.lower())))
 
@@ -147,9 +153,12 @@ def subtree_hashes(root: Element) -> dict[int, int]:
 
 
 def has_content(root: Element) -> bool:
+    """Whether an article or main stands outside of dropped elements."""
     stack = [root]
     while stack:
         element = stack.pop()
+        if element is not root and element.dropped():
+            continue
         if element.tag in CONTENT:
             return True
         stack.extend(p for p in element.parts if not isinstance(p, str))

@@ -62,3 +62,11 @@ def test_recurring_subtrees_go_and_articles_stay(spark):
     assert got[300].text == "" and got[None].text == "x"
     assert h.articles(pages.limit(0)).collect() == []
     assert {r.n_chars for r in h.articles(pages).collect() if r.text == ""} == {0}
+
+
+def test_content_in_dropped_elements_and_classes_of_pages():
+    story = "<div><p>the story</p></div>"
+    for rest in ("<div class='comments'><article>c</article></div>", "<article class='comment'>c</article>", "<aside><article>teaser</article></aside>"):
+        assert h.main_text(f"<body>{story}{rest}</body>")[0] == "the story", rest
+    assert h.main_text(f"<body class='no-sidebar'>{story}</body>")[0] == "the story"
+    assert h.main_text("<article class='has-comment post'>a</article><main class='with-menu'>b</main><p>c")[0] == "a\nb"

@@ -1,7 +1,8 @@
 """Secret scans (operator 5): assignment-aware lexing on top of three base patterns.
 
 The lexer reads source and configuration syntax (``name = literal``, ``"name": literal``, ``name := a + b``,
-``name => 'literal'``) into pairs of a target name and its literals.  A name assigned earlier stands for its
+``name => 'literal'``, ``name: T = literal``, ``name T = literal``, ``T name = literal``, ``x["name"] = literal``; a
+literal may stand in parentheses or on the next line) into pairs of a target name and its literals.  A name assigned earlier stands for its
 literals wherever it is assigned on, so ``x = "..."; password = x`` counts ``x``'s literal as a password.
 A literal is scored by how sensitive the target's name is and by how random the literal looks; those at
 ``least`` or above that no base span covers are added as spans of kind ``name``.
@@ -34,11 +35,19 @@ SENSITIVE = {
 }
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "****", "dummy", "${", "<")
 LEAST = 1.5
+SENSITIVE_NAME, LEAST_LITERAL = 0.75, 0.3  # so sensitive a name needs only this of its literal, if that has no space
 
 _STRING = r'"(?:[^"\\\n]|\\.)*+"|' + r"'(?:[^'\\\n]|\\.)*+'"
 _TERM = rf"(?:{_STRING}|[A-Za-z0-9_+/.@$%&!#=-]++)"
+_WORD = r"[A-Za-z_][A-Za-z0-9_.-]*+"
+_T = r"[&*?]{0,2}[A-Za-z_\\][A-Za-z0-9_.\\]*+(?:[<\[][^=\n\"'<]{0,60}[>\]])?[?!*&]?"
+_TYPE = rf"{_T}(?:[\x20\t]*+\|[\x20\t]*+{_T}){{0,4}}"
+# A literal may stand in parentheses or on the next line, unless it is the key of another pair.
+_GAP = rf"""(?:[\x20\t(]*+(?:\\?\r?\n[\x20\t(]*+)?(?=(?:{_STRING})(?![\x20\t]*+[:=]))|[\x20\t]*+\([\x20\t(]*+(?={_WORD}[\x20\t]*+\))|[\x20\t]*+)"""
+# Name, or type and name in either order, or a subscript; operator; terms.
 _PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.-])["']?([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+(?:=>|:=|=(?![=>])|:(?![:/=]))[\x20\t]*+({_TERM}(?:[\x20\t]*\+[\x20\t]*{_TERM})*)"""
+    rf"""(?<![A-Za-z0-9_.-])["']?({_WORD})["']?(?:[\x20\t]*+\])?(?:[\x20\t]*+:[\x20\t]*+{_TYPE}(?=[\x20\t]*+=(?![=>]))|[\x20\t]++[$&*]?({_TYPE})(?=[\x20\t]*+=(?![=>])))?"""
+    rf"""[\x20\t]*+(?:=>|:=|=(?![=>])|:(?![:/=])){_GAP}({_TERM}(?:[\x20\t]*\+[\x20\t]*{_TERM})*)"""
 )
 _TERMS = re.compile(_TERM)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -78,7 +87,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
     out = []
     for pair in _PAIR.finditer(text):
         spans: list[tuple[int, int]] = []
-        for term in _TERMS.finditer(text, *pair.span(2)):
+        for term in _TERMS.finditer(text, *pair.span(3)):
             value = term[0]
             if value[0] in "\"'":
                 spans.append((term.start() + 1, term.end() - 1))
@@ -87,9 +96,10 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
             elif any(c.isdigit() for c in value):  # an unquoted configuration value
                 spans.append(term.span())
         spans = list(dict.fromkeys(spans))
-        known[pair[1]] = spans
+        names = [n for n in (pair[1], pair[2]) if n]
+        known.update(dict.fromkeys(names, spans))
         if spans:
-            out.append((pair[1], spans))
+            out.append((max(reversed(names), key=name_score), spans))
     return out
 
 
@@ -107,7 +117,9 @@ def scan(text: bytes | None, least: float = LEAST) -> list[tuple[int, int, int]]
     decoded = text.decode("utf-8", "replace")
     for name, spans in assignments(decoded):
         score = name_score(name)
-        if score and score + literal_score("".join(decoded[a:b] for a, b in spans)) >= least:
+        literal = "".join(decoded[a:b] for a, b in spans)
+        need = min(least, score + LEAST_LITERAL) if score >= SENSITIVE_NAME and not any(c.isspace() for c in literal) else least
+        if score and score + literal_score(literal) >= need:
             added |= {(a, 3, b) for a, b in spans if b > a}
     return sorted(base + [x for x in added if not any(s <= x[0] and x[2] <= e for s, _, e in base)])
 

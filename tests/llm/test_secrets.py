@@ -59,3 +59,18 @@ def test_awkward_documents(spark):
     assert s.digests(no_docs(spark)).collect() == []
     s.scan(("x" * 200_000 + "=" + '"' * 1001).encode())
     s.scan(("token" * 50_000).encode())
+
+
+def test_declarations_of_each_language():
+    secret = "q8Zr2Lw9xT"
+    for code in (
+        'db_pwd: str = "{}"', 'db_pwd: Optional[str] = "{}"', 'db_pwd: str | None = "{}"', 'const dbPwd: string = "{}";', 'val dbPwd: String? = "{}"',
+        'var dbPwd string = "{}"', 'private string $dbPwd = "{}";', 'String dbPwd = "{}";', 'const char *dbPwd = "{}";', 'config["db_pwd"] = "{}"',
+        "$config['db_pwd'] = '{}';", 'db_pwd = ("{}")', 'db_pwd = (\n    "{}"\n)', 'db_pwd =\n    "{}"', 'dbPwd: string =\n  "{}"', 'x = "{}"\ndb_pwd: str = (x)',
+        'secrets:\n  "db_pwd": "{}"', 'f = (db_pwd="{}")',
+    ):
+        text = code.format(secret)
+        assert [(k, text[a:b]) for a, k, b in s.scan(text.encode())] == [(3, secret)], code
+    for code in ("pwd = 'hunter'", "db_pass = 'hunter22'"):
+        assert [code[a:b] for a, _, b in s.scan(code.encode())] == [code.split("'")[1]], code
+    assert s.scan(b"label: str = 'q8Zr2Lw9xT'\npwd = 'aaaaaa'\npass = 'a b c d e'") == []

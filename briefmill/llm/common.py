@@ -54,6 +54,23 @@ def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+MOST_HOT = 2_000
+
+
+def join_hot(rows: DataFrame, known: DataFrame, key: str, copies: str, most_hot: int = MOST_HOT) -> DataFrame:
+    """Inner join of ``rows`` with ``known``, which has one row a key and its number of rows in ``copies``.
+
+    Keys of more than one row in ``most_hot`` are joined by broadcast, and there are at most ``most_hot`` of them; no key of
+    the other join has more rows than that."""
+    total = known.agg(F.sum(copies)).first()[0] or 0
+    hot = F.col(copies) > -(-total // most_hot)
+    some = known.filter(hot).select(key)
+    if some.isEmpty():
+        return rows.join(known.drop(copies), key)
+    cold = rows.join(F.broadcast(some), key, "left_anti").join(known.filter(~hot).drop(copies), key)
+    return cold.unionByName(rows.join(F.broadcast(known.filter(hot).drop(copies)), key))
+
+
 def byte_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each value of a string column, without decoding it."""
     return column.cast(pa.binary()).to_pylist()

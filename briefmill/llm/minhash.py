@@ -4,14 +4,13 @@
    held as 64-bit hashes.  Documents with equal sets form a class, found by a partial aggregate over
    128-bit fingerprints; only classes go on, so copies never meet in pairs.
 2. Many universal hash minima of a set, cut into bands; a bucket is a band with its minima.  At the linking
-   similarity a pair misses all bands with a probability below one in 100,000.
-3. Buckets are searched in blocks.  A round takes some members of each bucket as pivots and pairs them with
-   the members not yet in the pivot's component; the share of pivots grows eightfold from round to round
-   until every member has been one.  So each pair of a bucket is compared or already connected, a group
-   of copies joins its first pivots, and no round holds more than pivots times members.
-   From the second round on, shingles that no other member of an open bucket holds bound each pair's similarity
-   before it is formed: they can only be in the union.  Members that reach no partner this way leave.
-4. A pair is verified by its signatures (agreement far below the similarity ends it), then on the full sets.
+   similarity a pair misses all bands with a probability of at most one in a million.
+3. Buckets are searched in three rounds of bands.  A bucket's members are dealt into blocks of bounded size, and each two
+   blocks meet in one task: pairs connected already, of sizes too different, or compared in an earlier band are passed over, the
+   signatures' agreement ends those far below the similarity, and the others are verified on the full sets.  A task returns
+   only links that connect what its links so far do not, so rows never grow with the pairs of a group.
+4. Between rounds, links are contracted, and buckets within one component are closed.  Shingles that no other member of an
+   open bucket holds bound what a member can share: members that reach no partner this way leave.
 5. Linked classes are connected by large-star and small-star rounds.
 
 Documents without words, or null, are linked with nothing.  Rows with equal ids are documents of
@@ -21,6 +20,7 @@ empty one; extra columns are ignored."""
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import byte_texts, map_arrow, written
+from briefmill.llm.common import byte_texts, join_hot, map_arrow, short_batches, written
 from briefmill.llm.components import components, contracted
 
 WIDTH = 3
 PERCENT = 85
 BANDS = 30
 MISSED = 1e-6  # most probability that a pair at the similarity shares no bucket
-SMALL = 8  # members of a bucket of which all are pivots at once
+ROUNDS = (0, 3, 10)  # first bands of the rounds
+BLOCK_ROWS = 512  # members of a bucket, and bytes of their sets, that meet in one task with as many others
+BLOCK_BYTES = 4 << 20
+VERIFIED_AT_ONCE = 32
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -136,7 +139,7 @@ def sketches(docs: DataFrame, width: int, percent: int, bands: int = BANDS) -> D
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, width: int, count: int) -> DataFrame:
-    """node, signature and shingles of each of the ``chosen`` classes, from the document that stands for it."""
+    """node, signature, shingles and their number n of each of the ``chosen`` classes, from the document that stands for it."""
 
     def start():
         minima, known = Minima(count), WordHashes()
@@ -161,25 +164,105 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int, count: int) -> DataFra
     same = texts["doc_id"].eqNullSafe(chosen["doc_id"]) & (texts["text_key"] == chosen["text_key"])
     found = map_arrow(texts.join(chosen, same).select("node", "text"), start, "node binary, signature binary, shingles array<bigint>")
     # repeated rows give a class twice
-    return found.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
+    once = found.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
+    return once.withColumn("n", F.size("shingles").cast("bigint"))
+
+
+class _Group:
+    """Members of one bucket that meet in one task: a block of it, or two blocks."""
+
+    def __init__(self, rows: list[tuple], crossing: bool):
+        # a row: (block, label, node, n, own, signature, shingles)
+        self.nodes, self.sets = [r[2] for r in rows], [r[6] for r in rows]
+        self.sizes, self.own = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        self.signatures = np.stack([r[5] for r in rows])
+        numbers: dict[bytes, int] = {}
+        self.component = np.array([numbers.setdefault(r[1], len(numbers)) for r in rows])
+        blocks = np.array([r[0] for r in rows])
+        self.first, self.second = (np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())) if crossing else (np.arange(len(rows)),) * 2
+        self.crossing = crossing
+
+    def links(self, percent: int, least: float, rows_a_band: int, first_band: int) -> Iterator[tuple[bytes, bytes]]:
+        """Verified links that connect what the members' labels and the links so far do not."""
+        for k, a in enumerate(self.first):
+            others = self.second if self.crossing else self.second[k + 1 :]
+            others = others[self.component[others] != self.component[a]]
+            # what may be shared over what must be in the union, either way
+            n, own = self.sizes[others], self.own[others]
+            others = others[
+                (100 * np.minimum(n, self.sizes[a] - self.own[a]) >= percent * np.maximum(n + self.own[a], 0))
+                & (100 * np.minimum(self.sizes[a], n - own) >= percent * (self.sizes[a] + own))]
+            if not len(others):
+                continue
+            same = self.signatures[others] == self.signatures[a]
+            agreement = same.mean(1)
+            alike = agreement >= least
+            if first_band:  # pairs that share an earlier band have been compared
+                alike &= ~same[:, : first_band * rows_a_band].reshape(len(others), first_band, rows_a_band).all(2).any(1)
+            others = others[alike][np.argsort(-agreement[alike], kind="stable")]
+            while len(others):
+                yield from self._verified(a, others[:VERIFIED_AT_ONCE], percent)
+                others = others[VERIFIED_AT_ONCE:]
+                others = others[self.component[others] != self.component[a]]
+
+    def _verified(self, a: int, others: np.ndarray, percent: int) -> Iterator[tuple[bytes, bytes]]:
+        own = self.sets[a]
+        theirs = np.concatenate([self.sets[b] for b in others])
+        at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+        starts = np.concatenate([[0], np.cumsum(self.sizes[others])[:-1]])
+        both = np.add.reduceat((own[at] == theirs).astype(np.int64), starts)
+        for b in others[100 * both >= percent * (len(own) + self.sizes[others] - both)]:
+            if self.component[b] != self.component[a]:
+                yield self.nodes[a], self.nodes[b]
+                self.component[self.component == self.component[b]] = self.component[a]
+
+
+def _links(left: DataFrame, sets: DataFrame, percent: int, rows: int, first_band: int, count: int) -> DataFrame:
+    """Verified (a, b) links among the members of each bucket of ``left`` (bucket, node, label, n, own).
+
+    A bucket's members are dealt into blocks of bounded rows and bytes, and each two blocks meet in one task with signatures and
+    full sets.  What leaves a task is fewer links than it has members."""
+    least = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / count) ** 0.5)
+    cuts = left.groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    block = F.floor(_place() * F.col("blocks")).cast("int")
+    dealt = (
+        left.join(cuts, "bucket").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "node", "own")
+    )
+    key = ["bucket", "i", "j"]
+    together = dealt.join(sets, "node").repartition(*key).sortWithinPartitions(*key).select(*key, "block", "label", "node", "n", "own", "signature", "shingles")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
-    """The (a, b) pairs whose full sets reach the similarity."""
-    least = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / count) ** 0.5)
+        def closed() -> pa.RecordBatch:
+            found = list(_Group(held, at[1] != at[2]).links(percent, least, rows, first_band)) if len(held) > 1 else []
+            return pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in key))
+            columns = [batch.column(c).to_pylist() for c in ("block", "label", "node", "n", "own", "signature")]
+            flat, ends = _flat(batch.column("shingles"))
+            for row, own_key in enumerate(keys):
+                if own_key != at:
+                    if len(held) > 1:
+                        yield closed()
+                    held, at = [], own_key
+                block_, label, node, n, own, signature = (c[row] for c in columns)
+                held.append((block_, label, node, n, own, np.frombuffer(signature, np.uint32), flat[ends[row] : ends[row + 1]]))
+        if len(held) > 1:
+            yield closed()
+
+    short_batches(left.sparkSession)
+    return together.mapInArrow(run, "a binary, b binary").distinct()
 
-    @F.arrow_udf("boolean")
-    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([
-            float(np.mean(np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32))) >= least
-            for a, b in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
 
-    sized = sets.withColumn("n", F.size("shingles"))
-    one = sized.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("shingles").alias("xa"), F.col("n").alias("na"))
-    two = sized.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("shingles").alias("xb"), F.col("n").alias("nb"))
-    met = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    shared = met.filter(alike("sa", "sb")).withColumn("both", F.size(F.array_intersect("xa", "xb")))
-    return shared.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of sorted arrays, as unsigned ones, and where each array begins and ends."""
+    ends = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False).view(np.uint64), ends
 
 
 def _place() -> Column:
@@ -187,78 +270,62 @@ def _place() -> Column:
     return F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _bounded(left: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """``left`` with each member's buckets, number of shingles ``n`` and of those that no other member holds, ``own``."""
-    members = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.size("shingles").alias("n"), "shingles")
+def _bounded(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``left`` with ``own``, each member's number of shingles that no other member holds; they can only be in the union,
+    so members that reach no partner this way leave."""
+    members = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", "n", "shingles")
     alone = (
         members.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
         .agg(F.count("*").alias("holders"), F.first("node").alias("node")).filter("holders = 1")
         .groupBy("node").agg(F.count("*").alias("own"))
     )
-    counts = written(members.select("node", "n").join(alone, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own")), "counts")
-    return left.join(counts.join(classes.select("node", "buckets"), "node"), "node")
+    counts = members.select("node", "n").join(alone, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    return left.join(counts.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "node")
+
+
+def _open(buckets: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold more than one label."""
+    split = buckets.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
+    return buckets.join(split, "bucket", "left_semi")
 
 
 def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands: int) -> DataFrame | None:
     """(node, root) of the classes that are linked with others; None if no two share a bucket."""
-    count = rows_a_band(percent, bands) * bands
-    members = classes.select("node", F.explode("buckets").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(_place()).alias("first")).filter("size > 1")
-    buckets = written(members.join(sizes, "bucket").withColumn("place", _place()), "buckets")
+    rows = rows_a_band(percent, bands)
+    members = classes.select("node", F.posexplode("buckets").alias("band", "bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    buckets = written(members.join(shared, "bucket"), "buckets")
     if buckets.isEmpty():
         return None
     chosen = classes.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "text_key")
-    sets = written(_sets(docs, chosen, width, count), "sets")
-    stars = tried = None
-    share, bound = 0, F.lit(True)
-    while True:
-        held = buckets.withColumn("label", F.col("node"))
-        if stars is not None:
-            # one label for most of a component is enough to see which pairs are connected already
+    sets = written(_sets(docs, chosen, width, rows * bands), "sets")
+    stars = None
+    for low, high in zip(ROUNDS, [*ROUNDS[1:], bands]):
+        held = buckets.filter(F.col("band").between(low, high - 1)).select("bucket", "node", F.col("node").alias("label"))
+        if stars is None:
+            left = held.join(sets.select("node", "n"), "node").withColumn("own", F.lit(0).cast("bigint"))
+        else:
+            # one label for most of a component is enough to see what is connected already
             labels = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-            held = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        # only buckets that still hold more than one component
-        split = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
-        left = written(held.join(split, "bucket").select(*buckets.columns, "label"), "left")
-        if share and "own" not in left.columns:
-            # what may be shared over what must be in the union, either way; a pair meets in its first shared bucket only
-            left = written(_bounded(left, sets, classes).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "left")
-            bound = (100 * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("p_own"))) & (
-                100 * (F.col("p_n") - F.col("p_own")) >= percent * (F.col("p_n") + F.col("own"))) & (
-                F.array_min(F.array_intersect("buckets", "p_buckets")) == F.col("bucket"))
-        largest = left.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        is_pivot = (F.col("place") == F.col("first")) | (F.col("place") * F.col("size") < share) | (F.col("size") <= SMALL)
-        pivots = left.filter(is_pivot).select("bucket", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), *(
-            F.col(c).alias(f"p_{c}") for c in ("n", "own", "buckets") if c in left.columns))
-        pairs = (
-            left.join(pivots, "bucket").filter((F.col("label") != F.col("pivot_label")) & bound)
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        )
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(_verified(pairs, sets, percent, count), "links")
+            labelled = held.drop("label").join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
+            left = _open(_bounded(written(_open(labelled), "open"), sets, percent))
+        found = written(_links(written(left, "left"), sets, percent, rows, low, rows * bands), "links")
         if not found.isEmpty():
             stars = contracted(found if stars is None else found.unionByName(stars))
-        if share >= largest:
-            break
-        buckets = left.drop("label")
-        share = 8 * share or 8
     return None if stars is None else components(stars)
 
 
 def _placed(docs: DataFrame, width: int, percent: int, bands: int) -> tuple[DataFrame, DataFrame]:
-    """Sketches of the rows, and (node, component, component_id, doc_id, text_key) of the classes; component_id
+    """Sketches of the rows, and (node, component, component_id, doc_id, text_key, copies) of the classes; component_id
     is the least id of the component, doc_id and text_key are of the class's least document."""
     rows = written(sketches(docs, width, percent, bands), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "text_key"))
     classes = written(
         rows.filter("class is not null").groupBy(F.col("class").alias("node"))
-        .agg(least.alias("least"), F.first("buckets").alias("buckets"))
-        .select("node", "least.doc_id", "least.text_key", "buckets"), "classes")
+        .agg(least.alias("least"), F.first("buckets").alias("buckets"), F.count("*").alias("copies"))
+        .select("node", "least.doc_id", "least.text_key", "buckets", "copies"), "classes")
     roots = _roots(docs, classes, width, percent, bands)
-    own = classes.select("node", "doc_id", "text_key")
+    own = classes.select("node", "doc_id", "text_key", "copies")
     if roots is None:
         return rows, own.withColumns({"component": F.col("node"), "component_id": F.col("doc_id")})
     rooted = own.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
@@ -269,22 +336,22 @@ def _placed(docs: DataFrame, width: int, percent: int, bands: int) -> tuple[Data
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     rows, placed = _placed(docs, width, percent, bands)
-    placed = placed.select("node", "component_id")
-    return (
-        rows.join(placed, rows["class"] == placed["node"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    known = placed.select(F.col("node").alias("class"), "component_id", "copies")
+    worded = join_hot(rows.filter("class is not null"), known, "class", "copies")
+    out = worded.select("doc_id", "n_shingles", "component_id").unionByName(
+        rows.filter("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """The rows of ``docs`` with one row of each component, the one of the least id, and all rows without words."""
     _, placed = _placed(docs, width, percent, bands)
     order = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "text_key")
-    chosen = placed.groupBy("component").agg(F.min(order).alias("least")).select(
-        F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_text"))
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.filter(worded).withColumns({"_own_id": F.col("doc_id").cast("bigint"), "_own_text": F.xxhash64("text")})
-    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_text") == F.col("_text"))
-    kept = keyed.join(chosen, same, "left_semi").dropDuplicates(["_own_id", "_own_text"])
-    return kept.drop("_own_id", "_own_text").unionByName(docs.filter(~worded))
+    chosen = placed.groupBy("component").agg(F.min(order).alias("least")).select("least.doc_id", "least.text_key")
+    # the input's columns stay together, whatever their names
+    packed = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("own_id"), F.xxhash64("text").alias("own_text"),
+        F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_text") == F.col("text_key"))
+    kept = packed.filter("worded").join(chosen, same, "left_semi").dropDuplicates(["own_id", "own_text"])
+    return kept.select("row.*").unionByName(packed.filter("not worded").select("row.*"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,33 @@ def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS):
+    """A broadcast Bloom filter of fixed size over the bigint ``key``, to drop rows where they are read; what passes is
+    joined exactly.  Words of 64 bits meet in a partial aggregate."""
+    place = f"pmod({key}, {bits})"
+    words = keys.groupBy(F.expr(f"cast({place} div 64 as int)").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    got = words.toArrow()  # at most bits / 64 rows
+    out[np.asarray(got["word"], np.int64)] = np.asarray(got["bits"], np.int64)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def may_be_in(key: Column, shipped) -> Column:
+    """False only for keys that ``key_filter`` has not seen."""
+
+    @F.arrow_udf("boolean")
+    def probe(keys: pa.Array) -> pa.Array:
+        words = shipped.value
+        at = np.asarray(keys, np.int64) % (len(words) * 64)
+        return pa.array((words[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return probe(key)
+
+
 MOST_HOT = 2_000
 
 

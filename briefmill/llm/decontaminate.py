@@ -9,7 +9,8 @@ The automaton is built in the tasks from a broadcast list of windows.  The list
 ``most_bytes`` it is dealt into blocks by hash, each with an automaton of its own, and the documents pass
 through one after the other; every block sees every document, so results do not depend on the bound.
 
-Null and empty texts have no words, null items no windows.  Items with equal ids count as one item; rows of
+Null and empty texts have no words.  Windows of an item with a null id hit as others do, but the item is not listed or
+counted.  Items with equal ids count as one item; rows of
 documents are independent, so repeated rows give repeated results and empty tables an empty result or one
 without hits."""
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from briefmill.llm.common import byte_texts, code_point_offsets, digest, map_arrow, written
 
 WIDTH = 10
-MOST_BYTES = 32_000_000
+MOST_BYTES = 8_000_000  # an automaton takes about 30 times the bytes of its windows in each Python worker
 
 # Everything that parts words becomes a space, A-Z becomes a-z; bytes of other characters stay.
 _TABLE = bytes(
@@ -48,7 +49,7 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
             ids, out = [], []
             for item, text in zip(batch.column("item").to_pylist(), byte_texts(batch.column("text"))):
                 words = normal_words(text)
-                if words and item is not None:
+                if words:
                     for window in {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}:
                         ids.append(item)
                         out.append(window)
@@ -89,7 +90,7 @@ def _scan(automaton: ahocorasick.Automaton, text: bytes | None) -> tuple[int, li
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``docs`` with n_words and matches: word numbers of each occurring window and its item."""
     known = written(windows(items, width), "windows")
-    size = known.agg(F.sum(F.length("window") + F.length("item") + 32)).first()[0] or 0
+    size = known.agg(F.sum(F.length("window") + F.coalesce(F.length("item"), F.lit(0)) + 32)).first()[0] or 0
     blocks = max(1, -(-size // most_bytes))
     out = docs.withColumns({"n_words": F.lit(0).cast("int"), "matches": F.lit(None).cast(f"array<{_MATCH}>")})
     for block in range(blocks):
@@ -158,12 +159,18 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, most_by
         hit.withColumn("_at", located(only_hit, F.col("matches")))
         .withColumns({
             "n_words": F.col("n_words").cast("bigint"), "n_hit": F.col("_at.n_hit"), "spans": F.col("_at.spans"),
-            "items": F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"]))),
+            "items": F.array_sort(F.array_distinct(F.array_compact(F.transform("matches", lambda m: m["item"])))),
         })
         .drop("_at", "matches")
     )
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without any window of a benchmark item, all columns as they were."""
+    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    return contamination(packed, items).filter("n_hit = 0").select("row.*")
+
+
 def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     return contamination(docs.select("doc_id", "text"), items).select(
@@ -186,7 +193,7 @@ b as (
 g as (
   select distinct item, least(len(words), 10) as width,
     array_to_string(words[k : k + least(len(words), 10) - 1], ' ') as gram
-  from b, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as t(k) where len(words) > 0 and item is not null),
+  from b, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as t(k) where len(words) > 0),
 d as (
   select row_no, k, width, array_to_string(words[k : k + width - 1], ' ') as gram
   from w, (select distinct width from g) as widths, unnest(range(1, len(words) - width + 2)) as t(k)),
@@ -194,7 +201,7 @@ m as (select row_no, k, d.width, item from d join g on d.gram = g.gram and d.wid
 h as (select row_no, count(distinct p) as n_hit from m, unnest(range(k, k + width)) as t(p) group by row_no),
 i as (
   select row_no, count(*) as n_items, string_agg(item, ',' order by item) as ids
-  from (select distinct row_no, item from m) group by row_no)
+  from (select distinct row_no, item from m where item is not null) group by row_no)
 select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
   cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 as contaminated

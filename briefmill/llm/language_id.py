@@ -7,14 +7,14 @@ log P(language | document) is, up to a constant,
 - the address: a prior of the host, smoothed towards the prior of the address suffix, which is smoothed towards
   the prior of the whole corpus, all from grouped counts.
 
-All counts cover every document.  Languages are the declared codes with at least ``least_share`` of the
-declared documents, so there are at most 1 / ``least_share``; one more class, ``und``, stands for text of
-none of them.  A document is rejected if it has no letters, or if ``und`` wins, or if the winner is not surer
-than ``least``.
+All counts cover every document.  Languages are the declared codes with at least ``least_documents`` documents with
+letters; each takes 128 KB of the model.  One more class, ``und``, stands for text of none of them.  A document is rejected
+if it has no letters, or if ``und`` wins, or if the winner is not surer than ``least``.  Where nothing is declared, no language
+can be learnt: all are ``und``, and those with letters are kept.
 
 Null or empty texts have no letters.  Null, empty or rare declarations and null hosts are no evidence.  Rows are
 independent but for the counts, in which repeated rows count as they stand; an empty table gives an empty
-one.  Extra columns are ignored by ``identify``, and kept by ``keep_identified`` unless they start with ``_lid``."""
+one.  Extra columns are ignored by ``identify`` and kept by ``keep_identified``, whatever their names."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ from briefmill.llm.common import written
 
 BUCKETS = 1 << 14  # of hashed trigrams
 SCALE = 1 / 3
-LEAST_SHARE = 0.01
+LEAST_DOCUMENTS = 3  # declared documents with letters from which a language is learnt
 LEAST = 0.5
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 100.0  # documents that the level above is worth
 UNKNOWN_PRIOR = 1e-3
@@ -82,11 +82,14 @@ def _evidence(docs: DataFrame, text: Column, declared: Column, host: Column) ->
     return docs.select(text.alias("_lid_text"), declared_code(declared).alias("_lid_declared"), host.alias("_lid_host"))
 
 
-def learn(evidence: DataFrame, least_share: float = LEAST_SHARE) -> Profiles:
+def has_letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+
+
+def learn(evidence: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> Profiles:
     """Profiles of the declared languages over all documents; counts are merged in Spark."""
-    shares = evidence.groupBy("_lid_declared").count().filter("_lid_declared is not null")
-    total = shares.agg(F.sum("count")).first()[0] or 0
-    languages = sorted(r[0] for r in shares.filter(F.col("count") >= least_share * total).select("_lid_declared").collect())
+    counts = evidence.filter(has_letters(F.col("_lid_text"))).groupBy("_lid_declared").count().filter("_lid_declared is not null")
+    languages = sorted(r[0] for r in counts.filter(F.col("count") >= least_documents).select("_lid_declared").collect())
     if not languages:
         return Profiles([], np.zeros((0, BUCKETS)))
     number = {code: k for k, code in enumerate(languages)}
@@ -173,12 +176,14 @@ class Evidence:
 
 
 def scored(docs: DataFrame, text: Column, declared: Column, host: Column) -> DataFrame:
-    """``docs`` with _lid: language, confidence and text_language, null where there are no letters."""
+    """``docs`` with _lid: language, confidence and text_language, null where there are no letters, and _lid_none, whether
+    nothing is declared from which to learn."""
     spark = docs.sparkSession
     evidence = _evidence(docs, text, declared, host)
     profiles = learn(evidence)
     if len(profiles.languages) == 1:  # nothing is declared
-        return docs.withColumn("_lid", F.lit(None).cast("struct<language:string,confidence:double,text_language:string>"))
+        return docs.withColumns({
+            "_lid": F.lit(None).cast("struct<language:string,confidence:double,text_language:string>"), "_lid_none": F.lit(True)})
     likeliest = _text_language(profiles, spark)
     counted = written(
         evidence.select(F.col("_lid_host").alias("host"), F.col("_lid_declared").alias("declared"), likeliest("_lid_text").alias("text_language"))
@@ -186,11 +191,14 @@ def scored(docs: DataFrame, text: Column, declared: Column, host: Column) -> Dat
     known = Evidence(counted, profiles.languages)
     placed = docs.withColumn("_lid_host", host).join(known.hosts, "_lid_host", "left")
     judge = known.fused(profiles, spark)
-    return placed.withColumn("_lid", judge(text, declared_code(declared), F.col("_lid_prior"))).drop("_lid_host", "_lid_prior")
+    return placed.withColumns({
+        "_lid": judge(text, declared_code(declared), F.col("_lid_prior")), "_lid_none": F.lit(False)}).drop("_lid_host", "_lid_prior")
 
 
-def _accepted() -> Column:
-    return F.coalesce((F.col("_lid.language") != UNKNOWN) & (F.col("_lid.confidence") >= LEAST), F.lit(False))
+def _accepted(text: str) -> Column:
+    """Whether the language is known; where none could be learnt, whether there are letters that a language might have."""
+    known = (F.col("_lid.language") != UNKNOWN) & (F.col("_lid.confidence") >= LEAST)
+    return F.when(F.col("_lid_none"), has_letters(F.col(text))).otherwise(F.coalesce(known, F.lit(False)))
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
@@ -199,9 +207,11 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     found = scored(rows, F.col("_lid_body"), F.col("_lid_said"), F.col("_lid_from"))
     return found.select(
         "doc_id", F.coalesce("_lid.language", F.lit(UNKNOWN)).alias("language"), F.coalesce(F.round("_lid.confidence", 6), F.lit(0.0)).alias("confidence"),
-        F.coalesce("_lid.text_language", F.lit(UNKNOWN)).alias("text_language"), _accepted().alias("kept"))
+        F.coalesce("_lid.text_language", F.lit(UNKNOWN)).alias("text_language"), _accepted("_lid_body").alias("kept"))
 
 
 def keep_identified(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
     """The rows whose language is known, with their columns as they were."""
-    return scored(docs, F.col(text), F.col(declared), F.col(host)).filter(_accepted()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("_lid_body"), F.col(declared).alias("_lid_said"), F.col(host).alias("_lid_from"))
+    found = scored(packed, F.col("_lid_body"), F.col("_lid_said"), F.col("_lid_from"))
+    return found.filter(_accepted("_lid_body")).select("row.*")

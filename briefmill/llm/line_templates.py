@@ -39,8 +39,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from briefmill.llm.common import byte_texts, map_arrow, written
+from briefmill.llm.common import byte_texts, key_filter, map_arrow, may_be_in, written
 
 DEPTH = 2
 LEAST_DOCUMENTS = 10
@@ -233,31 +234,45 @@ def _dropped(
     return hits.groupBy("doc").agg(F.collect_list("position").alias("positions"))  # one text's lines
 
 
-def drop_recurring_lines(
-    docs: DataFrame, depth: int = DEPTH, least_documents: int = LEAST_DOCUMENTS, least_constant: float = LEAST_CONSTANT,
-    least_tokens: int = LEAST_TOKENS, copy_share: float = COPY_SHARE, filter_bytes: int = FILTER_BYTES,
-    least_points: int = 1, long_points: int = LONG_POINTS, long_documents: int = LONG_DOCUMENTS,
-) -> DataFrame:
-    """``docs`` without the lines of recurring templates, and _n_dropped, the number of lines dropped."""
-    dropped = written(_dropped(
-        docs, depth, least_documents, least_constant, least_tokens, copy_share, filter_bytes, least_points, long_points, long_documents), "dropped")
-
-    @F.arrow_udf("binary")
-    def text_hash(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else xxhash.xxh3_128_digest(t) for t in byte_texts(texts)], pa.binary())
-
-    keyed = docs.withColumn("_doc", text_hash("text"))
-    joined = keyed.join(dropped.select(F.col("doc").alias("_doc"), F.col("positions").alias("_positions")), "_doc", "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("_positions", k)), "\n")
-    out = joined.withColumns({
-        "_n_dropped": F.coalesce(F.array_size("_positions").cast("bigint"), F.lit(0).cast("bigint")),
-        "text": F.when(F.col("_positions").isNull(), F.col("text")).otherwise(left),
-    })
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "_n_dropped")
-
-
-def cleaned(docs: DataFrame) -> DataFrame:
+SALTS = 8  # tasks over which the copies of one text are dealt
+
+
+@F.arrow_udf(BinaryType())
+def _text_hash(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else xxhash.xxh3_128_digest(t) for t in byte_texts(texts)], pa.binary())
+
+
+DEFAULTS = dict(
+    depth=DEPTH, least_documents=LEAST_DOCUMENTS, least_constant=LEAST_CONSTANT, least_tokens=LEAST_TOKENS, copy_share=COPY_SHARE,
+    filter_bytes=FILTER_BYTES, least_points=1, long_points=LONG_POINTS, long_documents=LONG_DOCUMENTS)
+
+
+def _cleaned(docs: DataFrame, **settings) -> DataFrame:
+    """(row, text, n_dropped): the input's columns kept together, the new text and the number of lines dropped.
+
+    Only texts that lose lines, and a few that a Bloom filter lets through, are shuffled to meet their positions."""
+    dropped = written(_dropped(docs, **{**DEFAULTS, **settings}), "dropped")
+    shipped = key_filter(dropped.select(F.xxhash64("doc").alias("key")), "key")
+    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), _text_hash("text").alias("own"))
+    may_lose = F.col("text").isNotNull() & may_be_in(F.xxhash64("own"), shipped)
+    marked = packed.withColumn("may_lose", may_lose)
+    salted = dropped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = marked.filter("may_lose").withColumn("copy", F.pmod(F.xxhash64("row.doc_id"), F.lit(SALTS)).cast("int"))
+    met = rows.join(salted, (F.col("own") == F.col("doc")) & (F.col("copy") == F.col("salt")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("positions", k)), "\n")
+    lost = met.select(
+        "row", F.when(F.col("positions").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.coalesce(F.array_size("positions").cast("bigint"), F.lit(0).cast("bigint")).alias("n_dropped"))
+    return lost.unionByName(marked.filter("not may_lose").select("row", "text", F.lit(0).cast("bigint").alias("n_dropped")))
+
+
+def drop_recurring_lines(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` without the lines of recurring templates; ``settings`` replace the ``DEFAULTS``."""
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return _cleaned(docs, **settings).select(*[
+        (new[c].cast(docs.schema[c].dataType) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def cleaned(docs: DataFrame, **settings) -> DataFrame:
     """Per row: doc_id, text, n_dropped."""
-    return drop_recurring_lines(docs.select("doc_id", "text"), **SHORT).select("doc_id", "text", F.col("_n_dropped").alias("n_dropped"))
+    return _cleaned(docs.select("doc_id", "text"), **settings).select("row.doc_id", "text", "n_dropped")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import byte_texts, join_hot, map_arrow, short_batches, written
+from briefmill.llm.common import byte_texts, join_hot, key_filter, map_arrow, may_be_in, short_batches, written
 from briefmill.llm.components import components, contracted
 
 WIDTH = 3
@@ -160,7 +160,9 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int, count: int) -> DataFra
 
         return step
 
-    texts = _keyed(docs)
+    # only the chosen texts travel
+    texts = _keyed(docs).withColumn("key", F.xxhash64("doc_id", "text_key"))
+    texts = texts.filter(may_be_in(F.col("key"), key_filter(chosen.select(F.xxhash64("doc_id", "text_key").alias("key")), "key")))
     same = texts["doc_id"].eqNullSafe(chosen["doc_id"]) & (texts["text_key"] == chosen["text_key"])
     found = map_arrow(texts.join(chosen, same).select("node", "text"), start, "node binary, signature binary, shingles array<bigint>")
     # repeated rows give a class twice
@@ -297,7 +299,7 @@ def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands:
     buckets = written(members.join(shared, "bucket"), "buckets")
     if buckets.isEmpty():
         return None
-    chosen = classes.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "text_key")
+    chosen = written(classes.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "text_key"), "chosen")
     sets = written(_sets(docs, chosen, width, rows * bands), "sets")
     stars = None
     for low, high in zip(ROUNDS, [*ROUNDS[1:], bands]):

@@ -16,7 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": lambda spark, sf_dir: decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op2_language_id": lambda spark, sf_dir: language_id.identify(table(spark, sf_dir, "documents")),
     "op3_html_extract": lambda spark, sf_dir: html_extract.articles(table(spark, sf_dir, "pages")),
-    "op4_line_templates": lambda spark, sf_dir: line_templates.cleaned(table(spark, sf_dir, "documents")),
+    "op4_line_templates": lambda spark, sf_dir: line_templates.cleaned(table(spark, sf_dir, "documents"), **line_templates.SHORT),
     "op5_secrets": lambda spark, sf_dir: secrets.digests(table(spark, sf_dir, "documents")),
     "op6_minhash": lambda spark, sf_dir: minhash.near_duplicates(table(spark, sf_dir, "documents")),
     "op7_quality": lambda spark, sf_dir: quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),

@@ -71,7 +71,20 @@ def test_awkward_documents(spark):
     assert kept.columns == awkward(spark).columns and kept.count() == sum(r.kept for r in rows)
     assert g.identify(no_docs(spark)).collect() == []
     undeclared = docs_of(spark, [(1, "some text"), (2, None)]).drop("lang").selectExpr("*", "cast(null as string) as lang")
-    assert [r.kept for r in g.identify(undeclared).collect()] == [False, False]
+    assert {r.doc_id: r.kept for r in g.identify(undeclared).collect()} == {1: True, 2: False}
+    assert [r.doc_id for r in g.keep_identified(undeclared).collect()] == [1]
+
+
+def test_a_rare_language_is_kept(spark):
+    """Three declared documents among four hundred are enough, and with no declarations nothing with letters goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en' and length(text) > 100").limit(400).select("doc_id", "text", "lang", "source")
+    rare = "La rapida bruna vulpo saltas trans la maldiligenta hundo kaj ĉiuj najbaroj aŭdas ĝian bojadon dum la longa nokto en nia vilaĝo "
+    more = spark.createDataFrame([(-k, rare * k + "ŝi diris ke jes", "eo", "src1") for k in (1, 2, 3)], "doc_id bigint, text string, lang string, source string")
+    both = docs.unionByName(more)
+    got = {r.doc_id: (r.language, r.kept) for r in g.identify(both).collect() if r.doc_id < 0}
+    assert got == {-k: ("eo", True) for k in (1, 2, 3)}
+    bare = both.withColumn("lang", g.F.lit(None).cast("string"))
+    assert g.keep_identified(bare).count() == both.count()
 
 
 def test_evidence_of_pages(spark):

@@ -55,9 +55,10 @@ def check(spark, rows, **options):
     defaults = {"depth": 2, "least_documents": 10, "least_constant": 0.7, "least_tokens": 3, "copy_share": 0.5} | options
     drop = brute([t for _, t in rows], *defaults.values())
     want = sorted((i, None if t is None else "\n".join(line for k, line in enumerate(t.split("\n")) if k not in drop.get(t, ())), len(drop.get(t, ()))) for i, t in rows)
-    out = x.drop_recurring_lines(docs_of(spark, rows), filter_bytes=1 << 10, **options)
-    assert sorted((r.doc_id, r.text, r._n_dropped) for r in out.collect()) == want
-    assert all(r.n_chars == len(r.text) for r in out.collect())
+    out = x.cleaned(docs_of(spark, rows), filter_bytes=1 << 10, **options)
+    assert sorted((r.doc_id, r.text, r.n_dropped) for r in out.collect()) == want
+    whole = x.drop_recurring_lines(docs_of(spark, rows), filter_bytes=1 << 10, **options).collect()
+    assert sorted((r.doc_id, r.text) for r in whole) == [w[:2] for w in want] and all(r.n_chars == len(r.text) for r in whole)
     return drop
 
 
@@ -69,7 +70,7 @@ def test_equals_brute_force(spark):
 
 
 def test_variable_fields_are_generalised_and_copies_left(spark):
-    got = {r.doc_id: r.text for r in x.cleaned(docs_of(spark, rows())).collect()}
+    got = {r.doc_id: r.text for r in x.cleaned(docs_of(spark, rows()), **x.SHORT).collect()}
     assert not any("logged in" in t or "All rights" in t for t in got.values())
     assert all("Posted by" not in got[k] for k in range(0, 60, 5))
     assert got[205] == dict(rows())[205]
@@ -87,7 +88,7 @@ def test_patterns_of_templates(spark):
 def test_awkward_documents(spark):
     rows_ = awkward(spark).collect()
     out = x.drop_recurring_lines(awkward(spark))
-    assert out.columns == [*awkward(spark).columns, "_n_dropped"]
+    assert out.columns == awkward(spark).columns
     assert sorted((repr(r.doc_id), repr(r.text)) for r in out.collect()) == sorted((repr(r.doc_id), repr(r.text)) for r in rows_)
     assert x.drop_recurring_lines(no_docs(spark)).collect() == []
     same = docs_of(spark, [(k, "one line of boilerplate\n" + " ".join(words(k, 30)) + "\n") for k in range(12)] + [(50, None), (51, "")])
@@ -106,7 +107,7 @@ def test_every_document_is_cleaned_and_only_near_copies_are_spared(spark):
     rows_ += [(400 + k, "\n".join([*copies, words(9000 + k, 1)[0]])) for k in range(12)]
     rows_ += [(500, "\n".join([*copies, line]))]
     want = {i: "\n".join(x for x in t.split("\n") if x not in (line, passage) and "user" not in x) for i, t in rows_}
-    got = {r.doc_id: r.text for r in x.cleaned(docs_of(spark, rows_)).collect()}
+    got = {r.doc_id: r.text for r in x.cleaned(docs_of(spark, rows_), **x.SHORT).collect()}
     assert got == want
     assert got[100] == " ".join(words(100, 4)) and got[300] == "" and got[400] == dict(rows_)[400]
 
@@ -116,7 +117,7 @@ def test_long_short_and_unspaced_lines_recur(spark):
     rows_ = [(k, " ".join(words(k, 30))) for k in range(12)]
     rows_ = [(k, t + (f"\n{long}" if k < 3 else "") + "\nLes." + f"\n版权所有保留一切权利第{k}页" + "\n}\nshort line") for k, t in rows_[:9]] + [
         (k, t + "\nLes." + f"\n版权所有保留一切权利第{k}页" + "\n}") for k, t in rows_[9:]]
-    got = {r.doc_id: r.text for r in x.cleaned(docs_of(spark, rows_)).collect()}
+    got = {r.doc_id: r.text for r in x.cleaned(docs_of(spark, rows_), **x.SHORT).collect()}
     assert got == {k: " ".join(words(k, 30)) + ("\n}\nshort line" if k < 9 else "\n}") for k in range(12)}
     two = docs_of(spark, rows_[1:3])
-    assert all(r.n_dropped == 0 for r in x.cleaned(two).collect())
+    assert all(r.n_dropped == 0 for r in x.cleaned(two, **x.SHORT).collect())

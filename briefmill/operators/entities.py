@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from briefmill import domains
 from briefmill.functions import text as T
-from briefmill.functions.similarity import indel_ratio
+from briefmill.functions.similarity import characters, indel_ratio, position_masks
 from briefmill.session import cut_lineage
 
 FUZZY_THRESHOLD = 0.85
 REVIEW_THRESHOLD = 0.60
 BUNDLE_BONUS = 0.05
+REACH = 0.05  # a candidate is a contender within this much of the best score
+ROUNDING = 1e-9
+LEVELS = (0.90, 0.80, 0.70, REVIEW_THRESHOLD)
+CLASSES = 16  # of characters, counted in a signature
 
 
 def mentions(spans: DataFrame) -> DataFrame:
@@ -147,26 +151,59 @@ def _deletions(names: DataFrame) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
     """(entity_type, norm, other, ratio) for all pairs at or above ``ratio``, exactly.
 
-    Both inputs are distinct (entity_type, norm).  Above 0.8 names are joined on their rare
-    bigrams, very short ones on one-character deletions; for lower ratios on rare
-    characters.  A pair is kept at its first shared token only, so it needs no
-    deduplication, and length and character bounds cut it before the ratio is computed."""
-    gram = 2 if ratio >= 0.8 else 1
+    Both inputs are distinct (entity_type, norm).  From 0.8 on names are joined on their rare bigrams, very short ones on
+    one-character deletions; for lower ratios by groups of equal signatures.  Length and character bounds cut a pair
+    before the ratio is computed."""
+    pairs = _by_bigrams(left, right, ratio) if ratio >= 0.8 - 2 * ROUNDING else _by_signature(left, right, ratio)
+    masks = left.withColumn("masks", position_masks(F.col("norm")))
+    scored = pairs.join(masks, ["entity_type", "norm"]).withColumn("ratio", indel_ratio(F.col("norm"), F.col("masks"), F.col("other")))
+    return scored.filter(F.col("ratio") >= ratio).drop("masks")
+
+
+def _by_bigrams(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+    """Pairs that may reach the ratio, each at its first shared token only, so that it needs no deduplication."""
     both = left.unionByName(right).distinct()
-    order = both.select("entity_type", F.explode(_tokens(F.col("norm"), gram)).alias("t")).groupBy(
+    order = both.select("entity_type", F.explode(_tokens(F.col("norm"), 2)).alias("t")).groupBy(
         "entity_type", F.col("t.gram").alias("gram"), F.col("t.nth").alias("nth")).agg(F.count("*").alias("n"))
-    mine = _prefix(left, order, ratio, gram)
-    theirs = _prefix(right, order, ratio, gram).select("entity_type", "t", F.col("norm").alias("other"), F.col("prefix").alias("o_prefix"))
+    mine = _prefix(left, order, ratio, 2)
+    theirs = _prefix(right, order, ratio, 2).select("entity_type", "t", F.col("norm").alias("other"), F.col("prefix").alias("o_prefix"))
     first_shared = F.array_min(F.array_intersect("prefix", "o_prefix"))
     pairs = (
         mine.join(theirs, ["entity_type", "t"])
         .filter(_length_bound(ratio) & (first_shared == F.col("t")) & _count_bound(ratio))
         .select("entity_type", "norm", "other")
     )
-    if gram == 2:
-        by_deletion = _deletions(left).join(_deletions(right).withColumnRenamed("norm", "other"), ["entity_type", "key"])
-        pairs = pairs.unionByName(by_deletion.filter(_length_bound(ratio)).select("entity_type", "norm", "other")).distinct()
-    return pairs.withColumn("ratio", indel_ratio(F.col("norm"), F.col("other"))).filter(F.col("ratio") >= ratio)
+    by_deletion = _deletions(left).join(_deletions(right).withColumnRenamed("norm", "other"), ["entity_type", "key"])
+    return pairs.unionByName(by_deletion.filter(_length_bound(ratio)).select("entity_type", "norm", "other")).distinct()
+
+
+def _signed(names: DataFrame) -> DataFrame:
+    """Names with length and signature: the counts of their characters by class, of which two names share at most the
+    lesser ones."""
+    classes = F.transform(characters(F.col("norm")), lambda c: F.ascii(c) % CLASSES)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.size(F.filter("classes", lambda c: c == k)))
+    return names.withColumn("classes", classes).select("*", F.length("norm").alias("length"), F.array_join(counts, ",").alias("signature")).drop("classes")
+
+
+def _by_signature(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+    """Pairs of names whose groups, of one type and signature each, could reach the ratio.
+
+    A group is compared once with the groups of each length in reach, however many names it holds; lengths and counts are
+    small, so the number of groups stops growing long before the number of names does."""
+    mine, theirs = _signed(left), _signed(right).select("entity_type", F.col("norm").alias("other"), F.col("length").alias("o_length"), F.col("signature").alias("o_signature"))
+    in_reach = F.sequence(F.ceil(F.col("length") * ratio / (2 - ratio) - 1e-9).cast("int"), F.floor(F.col("length") * (2 - ratio) / ratio + 1e-9).cast("int"))
+
+    def counted(groups: DataFrame, signature: str, prefix: str) -> DataFrame:
+        return groups.withColumn("c", F.split(signature, ",").cast("array<int>")).select("*", *[F.col("c")[k].alias(f"{prefix}{k}") for k in range(CLASSES)]).drop("c")
+
+    groups = counted(mine.select("entity_type", "length", "signature").distinct().withColumn("o_length", F.explode(in_reach)), "signature", "l")
+    known = counted(theirs.select("entity_type", "o_length", "o_signature").distinct(), "o_signature", "r")
+    shared = sum((F.least(f"l{k}", f"r{k}") for k in range(CLASSES)), F.lit(0))
+    met = groups.join(known, ["entity_type", "o_length"]).filter(2 * shared >= ratio * (F.col("length") + F.col("o_length")) - 1e-9)
+    return (
+        mine.join(met.select("entity_type", "signature", "o_signature"), ["entity_type", "signature"]).join(theirs, ["entity_type", "o_signature"])
+        .filter(_count_bound(ratio)).select("entity_type", "norm", "other")
+    )
 
 
 def _length_bound(ratio: float) -> Column:
@@ -217,20 +254,39 @@ def best_matches(scores: DataFrame) -> DataFrame:
     return per_score.groupBy(*NAME).agg(F.max_by(F.struct("score", "leaders", "canonical"), "score").alias("b")).select(*NAME, "b.*")
 
 
-def resolve(names: DataFrame, candidates: DataFrame, minimum: float = REVIEW_THRESHOLD) -> DataFrame:
+def contenders(names: DataFrame, candidates: DataFrame, minimum: float = REVIEW_THRESHOLD) -> DataFrame:
+    """(deal_id, entity_type, name, candidate, score) of the candidates within ``REACH`` of a name's best score, all scores
+    being at least ``minimum``.
+
+    Bounded search: the levels are visited from the highest, each lists the scores that reach it, and a name whose best
+    score does so is settled and never compared with anything less alike."""
+    left, found = names.select(*NAME).distinct(), None
+    for level in [*(x for x in LEVELS if x > minimum), minimum]:
+        scores = cut_lineage(fuzzy_scores(left, candidates, max(level - REACH - ROUNDING, minimum)))
+        best = scores.groupBy(*NAME).agg(F.max("score").alias("best")).filter(F.col("best") >= level)
+        close = scores.join(best, NAME).filter(F.col("score") >= F.col("best") - REACH - ROUNDING).drop("best")
+        found = close if found is None else found.unionByName(close)
+        left = cut_lineage(left.join(best.select(*NAME), NAME, "left_anti"))
+    return found
+
+
+def unresolved(names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Names that tier 1 leaves open."""
+    wanted = names.select(*NAME).distinct()
+    exact = tier1(wanted.select("entity_type", "name").distinct(), candidates.select("entity_type", "candidate").distinct())
+    return wanted.join(exact, ["entity_type", "name"], "left_anti")
+
+
+def resolve(names: DataFrame, candidates: DataFrame, minimum: float = REVIEW_THRESHOLD, close: DataFrame | None = None) -> DataFrame:
     """Tier, status, canonical name and confidence per (deal, type, name).
 
-    Names with a score above the fuzzy threshold are found through rare bigrams; only the
-    others are compared on rare characters.  A name whose best score is below ``minimum`` is
-    unconfirmed with a null confidence."""
+    ``close`` are the ``contenders`` of the unresolved names, where they are known already.  A name whose best score is below
+    ``minimum`` is unconfirmed with a null confidence."""
     wanted = names.select(*NAME).distinct()
     exact = tier1(wanted.select("entity_type", "name").distinct(), candidates.select("entity_type", "candidate").distinct())
     exact = cut_lineage(exact)
     open_names = cut_lineage(wanted.join(exact, ["entity_type", "name"], "left_anti"))
-    near = best_matches(fuzzy_scores(open_names, candidates, FUZZY_THRESHOLD)).filter(F.col("score") > FUZZY_THRESHOLD)
-    near = cut_lineage(near)
-    far_names = open_names.join(near.select(*NAME), NAME, "left_anti")
-    best = near.unionByName(best_matches(fuzzy_scores(far_names, candidates, minimum)))
+    best = best_matches(contenders(open_names, candidates, minimum) if close is None else close)
     fuzzy = (F.col("score") > FUZZY_THRESHOLD) & (F.col("leaders") == 1)
     rest = open_names.join(best, NAME, "left").select(
         *NAME, F.when(fuzzy, F.col("canonical")).otherwise(F.col("name")).alias("canonical"),
@@ -248,19 +304,18 @@ def needs_review(resolutions: DataFrame) -> DataFrame:
         (F.col("status") == "unconfirmed_node") & F.col("confidence").between(REVIEW_THRESHOLD, FUZZY_THRESHOLD))
 
 
-def review_queue(resolutions: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row per name to disambiguate and candidate in reach; a row form, so a name with
-    very many candidates is no special case."""
-    return needs_review(resolutions).select(*NAME).join(scores, NAME)
+def review_queue(resolutions: DataFrame, close: DataFrame) -> DataFrame:
+    """One row per name to disambiguate and contender; a row form, so a name with very many of them is no special case."""
+    return needs_review(resolutions).select(*NAME).join(close, NAME)
 
 
-def apply_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Outcome of disambiguation per queued name.
+def apply_decisions(queue: DataFrame, decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Outcome of disambiguation per queued name.  A decision may name any candidate of the type, shown in the queue or not.
 
     ``decisions``: (deal_id, entity_type, name, merge, canonical_name, confidence, reason, failed)."""
-    offered = queue.select(*NAME, F.col("candidate").alias("canonical_name"), F.lit(True).alias("offered"))
+    offered = candidates.select("entity_type", F.col("candidate").alias("canonical_name"), F.lit(True).alias("offered")).distinct()
     names = queue.select(*NAME).distinct().join(decisions, NAME, "left")
-    joined = names.join(offered, [*NAME, "canonical_name"], "left")
+    joined = names.join(offered, ["entity_type", "canonical_name"], "left")
     why = (
         F.when(F.col("merge").isNull() & F.col("failed").isNull(), "no_llm_resolution_available")
         .when(F.coalesce("failed", F.lit(False)) | F.col("merge").isNull(), "llm_resolution_failed")

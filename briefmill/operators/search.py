@@ -20,6 +20,7 @@ K1 = 1.2
 B = 0.75
 MAX_SIZE = 100
 SECTION_CAP = 50
+BUCKETS = 64  # directories of stored postings
 POINTER_LIMIT = 5
 PAYLOAD = ("document_name", "clause_type")
 
@@ -53,20 +54,22 @@ def postings(chunks: DataFrame) -> DataFrame:
         "chunk_id", *payload, "length", F.posexplode("words").alias("position", "term")
     )
     return exploded.groupBy("term", "chunk_id").agg(
-        F.count("*").cast("int").alias("tf"),
+        bucket_of(F.col("term")).alias("bucket"), F.count("*").cast("int").alias("tf"),
         F.array_sort(F.collect_list("position")).alias("positions"),
         F.first("length").alias("length"),
         *[F.first(c).alias(c) for c in payload],
     )
 
 
-def write_postings(index: DataFrame, path: str, buckets: int = 64) -> None:
-    """Persist the index in hash buckets of the term, so a lookup reads few files.  The
-    chunk id is part of the shuffle key, which splits hot terms over tasks."""
-    bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    bucketed.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).sortWithinPartitions(
-        "bucket", "term"
-    ).write.mode("errorifexists").partitionBy("bucket").parquet(path)
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(index: DataFrame, path: str) -> None:
+    """Persist the index in directories by hash of the term, sorted by term, so that a lookup opens only the directories of
+    its terms and skips row groups inside.  The chunk id is part of the shuffle key, which splits hot terms over tasks."""
+    index.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "chunk_id").write.mode(
+        "errorifexists").partitionBy("bucket").parquet(path)
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
@@ -92,13 +95,16 @@ def _type_allowed() -> Column:
     return (F.coalesce(F.size("q_types"), F.lit(0)) < 1) | F.array_contains("q_types", F.col("clause_type"))
 
 
-def filtered_join(wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Join on ``key`` under the exact filters.  A document filter becomes part of the join
-    key, so a query on one document never meets another document's rows."""
-    loose = wanted.filter(F.col("q_document").isNull()).drop("q_document").join(rows, key)
-    strict = wanted.filter(F.col("q_document").isNotNull()).withColumnRenamed("q_document", "document_name").join(
-        rows, [key, "document_name"])
-    return loose.unionByName(strict).filter(_type_allowed()).drop("q_types")
+def filtered_join(wanted: DataFrame, rows: DataFrame, key: str | list[str]) -> DataFrame:
+    """Join on ``key`` under the exact filters, reading either side once.
+
+    A document filter becomes part of the join key, so a query on one document never meets another document's rows: a row
+    is offered under its document and under any."""
+    keys = [key] if isinstance(key, str) else key
+    anywhere, inside = F.lit("*"), lambda name: F.concat(F.lit("="), F.col(name))
+    asked = wanted.withColumn("at", F.coalesce(inside("q_document"), anywhere)).drop("q_document")
+    offered = rows.withColumn("at", F.explode(F.array(anywhere, inside("document_name"))))
+    return asked.join(offered, [*keys, "at"]).filter(_type_allowed()).drop("q_types", "at")
 
 
 def accepted_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,6 +149,23 @@ def split_rarest(lookups: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataF
     return rarest, others
 
 
+def with_others(rarest: DataFrame, others: DataFrame) -> DataFrame:
+    """Lookups with their other terms as a list, which a query's length bounds, and the bucket of the rarest one."""
+    lists = others.groupBy("lookup_id").agg(F.collect_list(F.struct("place", "term", "weight", "df")).alias("others"))
+    # a term of the index has a positive df; said so, the buckets prune directories
+    return rarest.filter("df > 0").join(lists, "lookup_id", "left").withColumn("bucket", bucket_of(F.col("term")))
+
+
+def probed(index: Index, found: DataFrame, *columns: str) -> DataFrame:
+    """One row for each chunk ``found`` and other term of its lookup, with the postings' ``columns`` as ``p_...``, null
+    where the chunk lacks the term.  The postings are read once, those of the other terms only."""
+    asked = found.withColumn("other", F.explode_outer("others")).drop("others").withColumns({
+        "p_bucket": bucket_of(F.col("other.term")), "p_term": F.col("other.term")})
+    entries = index.postings.select(
+        F.col("bucket").alias("p_bucket"), F.col("term").alias("p_term"), "chunk_id", *[F.col(c).alias(f"p_{c}") for c in columns])
+    return asked.join(entries, ["p_bucket", "p_term", "chunk_id"], "left")
+
+
 def bm25_and(index: Index, queries: DataFrame) -> DataFrame:
     """All terms of the query text required; BM25 score; best ``size`` chunks per query.
 
@@ -163,20 +186,18 @@ def bm25_and(index: Index, queries: DataFrame) -> DataFrame:
         .groupBy("lookup_id", "term").agg(F.count("*").alias("weight")).withColumn("place", F.col("term"))
     )
     rarest, others = split_rarest(cut_lineage(lookups), index.terms)
-    part = lambda: F.col("weight") * _idf(F.col("df"), n_chunks) * _saturation(F.col("tf"), F.col("length"), mean_length)
-    wanted = rarest.join(shared.select("lookup_id", "q_document", "q_types"), "lookup_id")
-    found = filtered_join(wanted, index.postings.select("term", "chunk_id", "tf", "length", *PAYLOAD), "term").select(
-        "lookup_id", "chunk_id", "length", "n_terms", part().alias("score"))
-    probed = (
-        found.filter(F.col("n_terms") > 1)
-        .join(others.drop("place"), "lookup_id")
-        .join(index.postings.select("chunk_id", "term", "tf"), ["chunk_id", "term"])
-        .groupBy("lookup_id", "chunk_id", "n_terms", F.col("score").alias("first_score"))
-        .agg(F.count("*").alias("hits"), F.sum(part()).alias("rest"))
+    idf, saturation = (lambda c: _idf(c, n_chunks)), lambda tf: _saturation(tf, F.col("length"), mean_length)
+    wanted = with_others(rarest, others).join(shared.select("lookup_id", "q_document", "q_types"), "lookup_id")
+    entries = index.postings.select("bucket", "term", "chunk_id", "tf", "length", *PAYLOAD)
+    found = filtered_join(wanted, entries, ["bucket", "term"]).select(
+        "lookup_id", "chunk_id", "length", "n_terms", (F.col("weight") * idf(F.col("df")) * saturation(F.col("tf"))).alias("first"), "others")
+    part = F.col("other.weight") * idf(F.col("other.df")) * saturation(F.col("p_tf"))
+    scored = (
+        probed(index, found, "tf").groupBy("lookup_id", "chunk_id")
+        .agg(F.first("n_terms").alias("n_terms"), F.first("first").alias("first"), F.count("p_tf").alias("hits"), F.sum(part).alias("rest"))
         .filter(F.col("hits") == F.col("n_terms") - 1)
-        .select("lookup_id", "chunk_id", (F.col("first_score") + F.col("rest")).alias("score"))
+        .select("lookup_id", "chunk_id", (F.col("first") + F.coalesce("rest", F.lit(0.0))).alias("score"))
     )
-    scored = found.filter(F.col("n_terms") == 1).select("lookup_id", "chunk_id", "score").unionByName(probed)
     ranked = top_k(scored.withColumn("score", F.round("score", 6)), F.lit(MAX_SIZE), key="lookup_id")
     members = prepared.join(shared.select("signature", "lookup_id"), "signature").select("query_id", "lookup_id", "size")
     return members.join(ranked, "lookup_id").filter(F.col("rank") <= F.col("size")).select("query_id", "chunk_id", "score", "rank")
@@ -191,22 +212,19 @@ def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
     lookups = phrases.select("lookup_id", F.posexplode("words").alias("place", "term"), F.lit(1).alias("weight"))
     rarest, others = split_rarest(lookups, index.terms)
     starts = F.transform("positions", lambda p: p - F.col("place"))
-    found = rarest.join(index.postings.select("term", "chunk_id", "positions", "length", *PAYLOAD), "term").select(
-        "lookup_id", "chunk_id", "length", *PAYLOAD, "n_terms", starts.alias("starts"), _idf(F.col("df"), n_chunks).alias("idf"))
-    single = found.filter(F.col("n_terms") == 1).withColumn("tf", F.size("starts"))
-    many = (
-        found.filter(F.col("n_terms") > 1).join(others, "lookup_id")
-        .join(index.postings.select("chunk_id", "term", "positions"), ["chunk_id", "term"])
-        .groupBy("lookup_id", "chunk_id")
+    found = with_others(rarest, others).join(index.postings.select("bucket", "term", "chunk_id", "positions", "length", *PAYLOAD), ["bucket", "term"]).select(
+        "lookup_id", "chunk_id", "length", *PAYLOAD, "n_terms", starts.alias("starts"), _idf(F.col("df"), n_chunks).alias("idf"), "others")
+    other_starts = F.transform("p_positions", lambda p: p - F.col("other.place"))
+    hits = (
+        probed(index, found, "positions").groupBy("lookup_id", "chunk_id")
         .agg(F.first("length").alias("length"), *[F.first(c).alias(c) for c in PAYLOAD], F.first("n_terms").alias("n_terms"),
-             F.first("starts").alias("starts"), F.collect_list(starts).alias("rest"),
-             (F.first("idf") + F.sum(_idf(F.col("df"), n_chunks))).alias("idf"))
+             F.first("starts").alias("starts"), F.collect_list(other_starts).alias("rest"),
+             (F.first("idf") + F.coalesce(F.sum(_idf(F.col("other.df"), n_chunks)), F.lit(0.0))).alias("idf"))
         .filter(F.size("rest") == F.col("n_terms") - 1)
         .withColumn("tf", F.size(F.aggregate("rest", F.col("starts"), lambda a, b: F.array_intersect(a, b))))
         .filter(F.col("tf") > 0)
     )
-    columns = ["lookup_id", "chunk_id", *PAYLOAD, "length", "idf", "tf"]
-    return single.select(*columns).unionByName(many.select(*columns))
+    return hits.select("lookup_id", "chunk_id", *PAYLOAD, "length", "idf", "tf")
 
 
 def phrases_or(index: Index, queries: DataFrame) -> DataFrame:

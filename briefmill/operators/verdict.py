@@ -26,9 +26,11 @@ def with_arguments(candidates: DataFrame, arguments: DataFrame) -> DataFrame:
 
 
 def calibrated_confidence(findings: DataFrame, arguments: DataFrame) -> DataFrame:
-    """Mean weight of the arguments that did not drop out; one half without any."""
-    weight = T.rank_of(F.col("confidence"), domains.CONFIDENCE_WEIGHT).cast("double")
-    means = arguments.filter(~F.col("dropout_flag")).groupBy("finding_id").agg(F.avg(weight).alias("mean"))
+    """Mean weight of the arguments that did not drop out; one half without any.
+
+    Weights are added up as whole tenths, so a mean, and any rank by it, does not depend on the order of the rows."""
+    tenths = F.round(T.rank_of(F.col("confidence"), domains.CONFIDENCE_WEIGHT).cast("double") * 10).cast("bigint")
+    means = arguments.filter(~F.col("dropout_flag")).groupBy("finding_id").agg(F.round(F.sum(tenths) / (10 * F.count(tenths)), 6).alias("mean"))
     return findings.select("finding_id").join(means, "finding_id", "left").select(
         "finding_id", F.coalesce("mean", F.lit(0.5)).alias("calibrated_confidence"))
 

@@ -12,29 +12,31 @@ from briefmill.plans import inputs as I
 from briefmill.plans.inputs import SQL_TERM
 from briefmill.plans.registry import cte, query
 
-# ---- names: the first two words of every document in five spellings ---------------------------
+# ---- names: every mention of every chunk ---------------------------------------------------------
+# A mention is a capitalised word, typed by its first letter; a person's name takes the next word too.  Three of
+# eight mentions of a chunk are respelled.  Candidates are the names that two documents or more mention.
 
-cte("fx_bases", f"""
-  select doc_id, case when doc_id % 3 = 0 then 'D0' else 'D' || (1 + doc_id // 4) end as deal_id,
-         ['organization', 'person', 'asset'][1 + doc_id // 2 % 3] as entity_type, w[1] || ' ' || w[2] as base, w[2] as second
-  from (select doc_id, regexp_extract_all(text, '{SQL_TERM}') as w from documents) where len(w) >= 2""")
+_LABELS = ["ORG", "PERSON", "GPE", "LOC", "FAC", "PRODUCT", "LAW", "DATE"]
+_TYPES = ", ".join(f"('{k}', '{v}')" for k, v in domains.ENTITY_LABELS.items())
+_NAME = r"\p{Lu}\p{L}+(?: \p{L}+)?"
+cte("fx_mentions", f"""
+  select document_name, case when n % 3 = 0 then 'D0' else 'D' || (1 + n // 4) end as deal_id, entity_type,
+         case when entity_type = 'person' then full_name else w end as base, i, w, substr(full_name, length(w) + 2) as second
+  from (select document_name, cast(substr(document_name, 5) as bigint) as n, full_name, i, str_split(full_name, ' ')[1] as w,
+               [{", ".join(f"'{x}'" for x in _LABELS)}][1 + unicode(lower(full_name)) % 8] as label
+        from (select document_name, unnest(m) as full_name, unnest(range(len(m))) as i from (select document_name, regexp_extract_all(text, '{_NAME}') as m from chunks)))
+  join (values {_TYPES}) as t(label, entity_type) using (label)""", "chunks")
 cte("fx_names", """
-  select distinct deal_id, entity_type, unnest([base, lower(base) || ', ', 'Director ' || base, substr(base, 1, 2) || substr(base, 4),
-                                         substr(base, 1, 1) || ' ' || second]) as name from fx_bases""", "fx_bases")
-cte("fx_cands", "select distinct deal_id, entity_type, base as candidate from fx_bases", "fx_bases")
+  select distinct deal_id, entity_type, case i % 8 when 1 then 'Director ' || base when 2 then lower(base) || ', '
+         when 3 then case when entity_type = 'person' and second <> '' then substr(w, 1, 1) || ' ' || second else substr(base, 1, 2) || substr(base, 4) end
+         else base end as name from fx_mentions""", "fx_mentions")
+cte("fx_cands", """
+  select distinct deal_id, entity_type, base as candidate from fx_mentions
+  where (entity_type, base) in (select (entity_type, base) from fx_mentions group by entity_type, base having count(distinct document_name) > 1)""", "fx_mentions")
 
 
-def bases(spark, sf):
-    n, w = F.col("doc_id"), F.col("w")
-    kinds = F.array(F.lit("organization"), F.lit("person"), F.lit("asset"))
-    return (
-        I.table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(T.TERM), 0).alias("w"))
-        .filter(F.size("w") >= 2)
-        .select(
-            "doc_id", F.when(n % 3 == 0, "D0").otherwise(F.concat(F.lit("D"), F.floor(n / 4) + 1)).alias("deal_id"),
-            F.element_at(kinds, (F.floor(n / 2) % 3 + 1).cast("int")).alias("entity_type"),
-            F.concat_ws(" ", w[0], w[1]).alias("base"), w[1].alias("second"))
-    )
+def name_mentions(spark, sf):
+    return I.stored(spark, sf, "name_mentions", lambda: _name_mentions(spark, sf))
 
 
 def names(spark, sf):
@@ -45,16 +47,34 @@ def candidates(spark, sf):
     return I.stored(spark, sf, "candidates", lambda: _candidates(spark, sf))
 
 
+def _name_mentions(spark, sf):
+    n, both, w = F.substring("document_name", 5, 20).cast("bigint"), F.col("name"), F.substring_index("name", " ", 1)
+    label = F.element_at(F.array(*[F.lit(x) for x in _LABELS]), F.ascii(F.lower(both)) % 8 + 1)
+    labelled = I.chunks(spark, sf).select(
+        "chunk_id", "document_name", "chunk_index", F.posexplode(F.regexp_extract_all("text", F.lit(_NAME), 0)).alias("i", "name")).withColumn("label", label)
+    return ent.mentions(labelled).select(
+        "document_name", F.when(n % 3 == 0, "D0").otherwise(F.concat(F.lit("D"), F.floor(n / 4) + 1)).alias("deal_id"), "entity_type",
+        F.when(F.col("entity_type") == "person", both).otherwise(w).alias("base"), "i", "chunk_index", w.alias("w"),
+        F.substring(both, F.length(w) + 2, F.length(both)).alias("second"))
+
+
+def respelled():
+    base, w, second = F.col("base"), F.col("w"), F.col("second")
+    initial = F.when((F.col("entity_type") == "person") & (second != ""), F.concat_ws(" ", F.substring(w, 1, 1), second))
+    return (
+        F.when(F.col("i") % 8 == 1, F.concat(F.lit("Director "), base)).when(F.col("i") % 8 == 2, F.concat(F.lower(base), F.lit(", ")))
+        .when(F.col("i") % 8 == 3, F.coalesce(initial, F.concat(F.substring(base, 1, 2), F.substring(base, 4, 1000000)))).otherwise(base)
+    )
+
+
 def _names(spark, sf):
-    base = F.col("base")
-    spellings = F.array(
-        base, F.concat(F.lower(base), F.lit(", ")), F.concat(F.lit("Director "), base),
-        F.concat(F.substring(base, 1, 2), F.substring(base, 4, 1000000)), F.concat_ws(" ", F.substring(base, 1, 1), "second"))
-    return bases(spark, sf).select("deal_id", "entity_type", F.explode(spellings).alias("name")).distinct()
+    return name_mentions(spark, sf).select("deal_id", "entity_type", respelled().alias("name")).distinct()
 
 
 def _candidates(spark, sf):
-    return bases(spark, sf).select("deal_id", "entity_type", F.col("base").alias("candidate")).distinct()
+    rows = name_mentions(spark, sf)
+    known = rows.groupBy("entity_type", "base").agg(F.min("document_name").alias("a"), F.max("document_name").alias("b")).filter("a <> b")
+    return rows.join(known.select("entity_type", "base"), ["entity_type", "base"]).select("deal_id", "entity_type", F.col("base").alias("candidate")).distinct()
 
 
 def _norm(x: str) -> str:
@@ -131,6 +151,8 @@ cte("lcs_pairs", """
               from (select distinct entity_type, norm from n_names where (entity_type, name) not in (select (entity_type, name) from t1))
               join (select distinct entity_type, c_norm from n_cands) using (entity_type)
               where norm <> '' and c_norm <> '' and length(norm) < 62
+                and length(norm) + length(c_norm) - length(translate(norm, c_norm, '')) - length(translate(c_norm, norm, ''))
+                    >= 0.55 * (length(norm) + length(c_norm)) - 1e-9
                 and 2.0 * least(length(norm), length(c_norm)) / (length(norm) + length(c_norm)) >= 0.55))""", "n_names", "n_cands", "t1")
 cte("f_scores", """
   select n.deal_id, n.entity_type, n.name, c.candidate,
@@ -152,25 +174,27 @@ cte("resolved", """
   left join f_best b on b.deal_id = n.deal_id and b.entity_type = n.entity_type and b.name = n.name""", "fx_names", "t1", "f_best")
 
 
+def contenders(spark, sf):
+    return I.stored(spark, sf, "contenders", lambda: ent.contenders(ent.unresolved(names(spark, sf), candidates(spark, sf)), candidates(spark, sf)))
+
+
 def resolutions(spark, sf):
-    return I.stored(spark, sf, "resolutions", lambda: ent.resolve(names(spark, sf), candidates(spark, sf)))
+    return I.stored(spark, sf, "resolutions", lambda: ent.resolve(names(spark, sf), candidates(spark, sf), close=contenders(spark, sf)))
 
 
 @query("ent_tier2_fuzzy", """
   select deal_id, entity_type, name, canonical, tier, status, round(confidence, 6) as confidence from resolved""", "resolved")
 def _tier2(spark, sf):
-    return ent.resolve(names(spark, sf), candidates(spark, sf)).drop("reason")
+    return resolutions(spark, sf).drop("reason")
 
 
 cte("review", """
   select r.deal_id, r.entity_type, r.name, s.candidate, s.score from resolved r join f_scores s using (deal_id, entity_type, name)
-  where r.status = 'unconfirmed_node' and r.confidence between 0.6 and 0.85 and s.score >= 0.6""", "resolved", "f_scores")
+  where r.status = 'unconfirmed_node' and r.confidence between 0.6 and 0.85 and s.score >= r.confidence - 0.05 - 1e-9 and s.score >= 0.6""", "resolved", "f_scores")
 
 
 def queue(spark, sf):
-    waiting = ent.needs_review(resolutions(spark, sf))
-    scores = ent.fuzzy_scores(waiting.select("deal_id", "entity_type", "name"), candidates(spark, sf), ent.REVIEW_THRESHOLD)
-    return ent.review_queue(waiting, scores)
+    return ent.review_queue(resolutions(spark, sf), contenders(spark, sf))
 
 
 @query("ent_tier3_queue", "select deal_id, entity_type, name, candidate, round(score, 6) as score from review", "review")
@@ -199,7 +223,7 @@ def _apply(spark, sf):
     decided = first.filter(h > 0).select(
         "deal_id", "entity_type", "name", (h >= 3).alias("merge"), F.when(h == 3, "somebody else").otherwise(F.col("candidate")).alias("canonical_name"),
         F.lit(0.75).alias("confidence"), F.lit("same").alias("reason"), (h == 1).alias("failed"))
-    return ent.apply_decisions(waiting, decided)
+    return ent.apply_decisions(waiting, decided, candidates(spark, sf))
 
 
 @query("ent_tier_mix", """
@@ -220,8 +244,6 @@ def _canonicalise(spark, sf):
 
 
 # ---- graph: capitalised words of every chunk, labelled by length ---------------------------------
-_LABELS = ["ORG", "PERSON", "GPE", "LOC", "FAC", "PRODUCT", "LAW", "DATE"]
-_TYPES = ", ".join(f"('{k}', '{v}')" for k, v in domains.ENTITY_LABELS.items())
 cte("spans", f"""
   select chunk_id, document_name, chunk_index, section_id, absolute_page, position, word as name,
          [{", ".join(f"'{x}'" for x in _LABELS)}][1 + length(word) % 8] as label

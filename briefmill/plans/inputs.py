@@ -235,15 +235,20 @@ def raw_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.build_chunks(sectioned_lines(spark, sf_dir))
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, ...], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table written once to the shared folder and read by every consumer."""
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], write=None) -> DataFrame:
+    """A derived table written once to the shared folder and read by every consumer.
+
+    It is kept for the application, the folder and the name: inputs that change during a session need a folder of their own."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch_path(spark, name)
-        build().write.parquet(path)
+        if write is None:
+            build().write.parquet(path)
+        else:
+            write(build(), path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
@@ -259,7 +264,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> search.Index:
     rows = chunks(spark, sf_dir)
-    entries = stored(spark, sf_dir, "postings", lambda: search.postings(rows))
+    entries = stored(spark, sf_dir, "postings", lambda: search.postings(rows), search.write_postings)
     terms = stored(spark, sf_dir, "terms", lambda: search.term_stats(rows))
     corpus = stored(spark, sf_dir, "corpus", lambda: search.corpus_stats(rows))
     return search.Index(rows, entries, terms, corpus)

@@ -21,7 +21,7 @@ def _tokens(spark, sf):
   select term, chunk_id, tf, array_to_string(positions, '|') as positions, length, document_name, clause_type
   from tf join (select chunk_id, document_name, clause_type from classified) using (chunk_id)""", "tf", "classified")
 def _postings(spark, sf):
-    return search.postings(I.chunks(spark, sf))
+    return search.postings(I.chunks(spark, sf)).drop("bucket")
 
 
 @query("ir_corpus_stats", """
@@ -107,14 +107,15 @@ def _requests_per_agent(spark, sf):
         "query_id", F.concat_ws("-", F.lit("W"), "agent", "text"))
 
 
+cte("word_groups", """
+  select distinct w.text, m.agent, m.group_no from (select distinct text from agent_words) w join d_synonym m on contains(w.text, m.term)""",
+    "agent_words", "d_synonym")
 cte("compound_words", """
   select w.query_id, w.agent, w.text, coalesce(array_to_string(e.terms, '|'), '') as expanded_terms, e.terms as term_list
   from agent_words w left join (
-    select w.query_id, list(s.term order by s.pos) filter (where s.term <> w.text) as terms
-    from agent_words w join d_synonym s using (agent)
-    where exists (select 1 from d_synonym m where m.agent = s.agent and m.group_no = s.group_no
-                  and contains(w.text, m.term))
-    group by 1) e using (query_id)""", "agent_words", "d_synonym")
+    select g.text, g.agent, list(s.term order by s.pos) filter (where s.term <> g.text) as terms
+    from word_groups g join d_synonym s on s.agent = g.agent and s.group_no = g.group_no
+    group by 1, 2) e on e.text = w.text and e.agent = w.agent""", "agent_words", "word_groups", "d_synonym")
 
 
 @query("ir_compound_query", """

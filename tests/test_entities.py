@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from briefmill.functions.similarity import ratio
+from briefmill.functions import similarity as sim
 from briefmill.operators import entities as ent
 from briefmill.operators import graph as gr
 
@@ -18,6 +18,10 @@ def slow_ratio(a, b):
     return 2 * table[-1][-1] / (len(a) + len(b))
 
 
+def ratio(a, b):
+    return round(slow_ratio(a, b), 12)
+
+
 def words(count, seed):
     rng = random.Random(seed)
     out = set()
@@ -31,16 +35,24 @@ def words(count, seed):
     return sorted(out)
 
 
-def test_ratio_is_twice_the_common_subsequence():
-    for a, b in itertools.product(words(12, 1), words(12, 2)):
-        assert ratio(a, b) == pytest.approx(slow_ratio(a, b))
+def test_ratio_is_twice_the_common_subsequence(spark):
+    rng = random.Random(9)
+    long = ["".join(rng.choice("ab ") for _ in range(n)) for n in (61, 62, 63, 90)]
+    rows = [*itertools.product(words(12, 1), words(12, 2)), *itertools.product(long, long), *itertools.product(long, ["a", "é🙂b"])]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("masks", sim.position_masks(F.col("a")))
+    for r in df.withColumn("ratio", sim.indel_ratio(F.col("a"), F.col("masks"), F.col("b"))).collect():
+        assert r.ratio == pytest.approx(slow_ratio(r.a, r.b))
+    both_empty = spark.createDataFrame([("", "")], "a string, b string").withColumn("masks", sim.position_masks(F.col("a")))
+    assert both_empty.select(sim.indel_ratio(F.col("a"), F.col("masks"), F.col("b"))).first()[0] == 1.0
 
 
-@pytest.mark.parametrize("minimum", [0.85, 0.80, 0.55])
+@pytest.mark.parametrize("minimum", [0.85, 0.80, 0.7, 0.55])
 def test_similar_pairs_are_complete(spark, minimum):
     left, right = words(80, 3), words(80, 4)
     frame = lambda names: spark.createDataFrame([("t", n) for n in names], "entity_type string, norm string")
-    got = {(r["norm"], r["other"]) for r in ent.similar_pairs(frame(left), frame(right), minimum).collect()}
+    rows = ent.similar_pairs(frame(left), frame(right), minimum).collect()
+    got = {(r["norm"], r["other"]) for r in rows}
+    assert len(rows) == len(got)
     want = {(a, b) for a in left for b in right if ratio(a, b) >= minimum}
     assert got == want
 
@@ -69,6 +81,28 @@ def test_ties_and_bundle_bonus(spark):
     assert bonus["alpha beta gamma"][:2] == ("alpha beta gammaa", 2)
 
 
+def test_contenders_equal_all_pairs(spark):
+    """The search by levels finds every candidate close to a name's best one, and nothing else."""
+    found, known = (sorted({" ".join(w.split()) for w in words(70, seed)}) for seed in (5, 6))
+    deals = ["x", "y", "z"]
+    names = [(deals[k % 3], "t", n) for k, n in enumerate(found)] + [(deals[(k + 1) % 3], "t", n) for k, n in enumerate(found[:20])]
+    candidates = [(deals[k % 3], "t", c) for k, c in enumerate(known)]
+    want = set()
+    for deal, _, n in names:
+        score = {c: min(ratio(n, c) + 0.05, 1.0) if (deal, "t", c) in candidates else ratio(n, c) for c in known}
+        best = max(score.values())
+        if best >= 0.6 - 1e-9:
+            want |= {(deal, n, c, round(v, 9)) for c, v in score.items() if v >= max(best - 0.05, 0.6) - 1e-12}
+    got = ent.contenders(spark.createDataFrame(names, "deal_id string, entity_type string, name string"),
+                         spark.createDataFrame(candidates, "deal_id string, entity_type string, candidate string")).collect()
+    got = {(r["deal_id"], r["name"], r["candidate"], round(r["score"], 9)) for r in got}
+    edge = {w for w in want ^ got}  # only scores on the very bound may differ by rounding
+    best = {}
+    for deal, n, c, v in want:
+        best[deal, n] = max(best.get((deal, n), 0), v)
+    assert [(w, w in got, best.get(w[:2])) for w in edge if min(abs(best.get(w[:2], 0) - w[3] - 0.05), abs(w[3] - 0.6)) > 1e-6] == []
+
+
 @pytest.mark.parametrize("a, b, same", [
     ("J Smith", "John Smith", True), ("Smith J", "John Smith", True), ("John Smith", "Smith, J.", True), ("Jo Smith", "John Smith", False),
     ("J Smith", "Anna Smith", False), ("J Smith Jr", "John Smith", False),
@@ -88,13 +122,14 @@ def test_canonical_names_follow_chains(spark):
 
 
 def test_decisions(spark):
-    queue = spark.createDataFrame([("x", "t", n, "Acme", 0.7) for n in "abcde"], "deal_id string, entity_type string, name string, candidate string, score double")
-    rows = [("x", "t", "a", True, "Acme", 0.9, "same", False), ("x", "t", "b", False, None, 0.9, "no", False), ("x", "t", "c", True, "Other", 0.9, "?", False),
+    queue = spark.createDataFrame([("x", "t", n, "Acme", 0.7) for n in "abcdef"], "deal_id string, entity_type string, name string, candidate string, score double")
+    registry = spark.createDataFrame([("y", "t", "Acme"), ("z", "t", "Acme"), ("y", "t", "Zeta"), ("y", "u", "Other")], "deal_id string, entity_type string, candidate string")
+    rows = [("x", "t", "f", True, "Zeta", 0.8, "far", False), ("x", "t", "a", True, "Acme", 0.9, "same", False), ("x", "t", "b", False, None, 0.9, "no", False), ("x", "t", "c", True, "Other", 0.9, "?", False),
             ("x", "t", "d", None, None, None, None, True)]
     decisions = spark.createDataFrame(rows, "deal_id string, entity_type string, name string, merge boolean, canonical_name string, confidence double, reason string, failed boolean")
-    got = {r["name"]: (r["canonical"], r["tier"], r["reason"]) for r in ent.apply_decisions(queue, decisions).collect()}
+    got = {r["name"]: (r["canonical"], r["tier"], r["reason"]) for r in ent.apply_decisions(queue, decisions, registry).collect()}
     assert got == {"a": ("Acme", 3, "same"), "b": ("b", None, "llm_rejected_merge"), "c": ("c", None, "llm_returned_unknown_canonical_name"),
-                   "d": ("d", None, "llm_resolution_failed"), "e": ("e", None, "no_llm_resolution_available")}
+                   "d": ("d", None, "llm_resolution_failed"), "f": ("Zeta", 3, "far"), "e": ("e", None, "no_llm_resolution_available")}
 
 
 def test_links_equal_pairwise_comparison(spark):

@@ -10,7 +10,7 @@ import os
 import sys
 import time
 
-from briefmill.plans import catalog, inputs
+from briefmill.plans import catalog, hitl_queries, inputs
 from briefmill.session import build_session
 
 HEADLINE = [
@@ -38,8 +38,9 @@ def main() -> None:
         times[name] = round(time.time() - began, 3)
         print(name, times[name], file=sys.stderr, flush=True)
 
-    # Chunks and postings are stored tables; building and writing them is timed on its own.
+    # Chunks, their documents' digests and postings are stored tables; building and writing them is timed on its own.
     timed("store_chunks", lambda: inputs.chunks(spark, sf_dir))
+    timed("store_digests", lambda: hitl_queries.document_digests(spark, sf_dir))
     timed("store_postings", lambda: inputs.index(spark, sf_dir))
     for key in wanted:
         timed(key, lambda: catalog.QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save())

@@ -79,8 +79,9 @@ def _sla(spark, sf):
   where previous <> status and (previous, status) not in (select (from_state, to_state) from d_transition)""", "fx_deal_status", "d_transition")
 def _guard(spark, sf):
     target = scratch_path(spark, "guard")
-    jobs.guard_transitions(status_events(spark, sf), target, scratch_path(spark, "state"), scratch_path(spark, "cp"))
-    return jobs.violations(spark, target)
+    edges = scratch_path(spark, "edges")
+    jobs.guard_transitions(status_events(spark, sf), target, edges, scratch_path(spark, "cp"))
+    return jobs.violations(spark, target, edges)
 
 
 @query("st_audit_sink", """

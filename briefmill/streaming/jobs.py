@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from briefmill import domains
 from briefmill.operators import chunking, classify, hitl
@@ -141,27 +143,105 @@ def recent_events(spark: SparkSession, table: str, schema, limit: int = RECENT_E
 
 
 HISTORY = "deal_id bigint, seq bigint, status string"
+SPAN = 4_096  # sequence numbers of a slice
 VIOLATIONS = "deal_id bigint, seq bigint, previous string, status string, valid boolean"
 
 
-def guard_transitions(history: DataFrame, target: str, state: str, checkpoint: str, schema: str = HISTORY) -> None:
+EDGES = "deal_id bigint, slice bigint, first_seq bigint, first_status string, last_seq bigint, last_status string"
+GUARDED = "deal_id bigint, slice bigint, seq bigint, previous string, status string, valid boolean, last_seq bigint, last_status string"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ALLOWED = frozenset(map(tuple, domains.TRANSITIONS))
+
+
+class SliceGuard(StatefulProcessor):
+    """Statuses of one slice of a deal's history, and what a batch changes about the invalid steps inside it.
+
+    A row of the output is a step that is invalid now or no longer is; one more row, without ``valid``, tells the slice's
+    first and last status."""
+
+    def __init__(self, limit_ms: int | None, key_type: str):
+        self.limit_ms, self.key_type = limit_ms, key_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.statuses = handle.getMapState("statuses", "seq bigint", "status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = {k[0]: v[0] for k, v in self.statuses.iterator()} if self.statuses.exists() else {}
+        before, latest = invalid_steps(held), 0
+        for batch in rows:
+            for seq, status in zip(batch["seq"].tolist(), batch["status"].tolist()):
+                held[seq] = status
+                self.statuses.updateValue((seq,), (status,))
+            if self.limit_ms is not None:
+                latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
+        if self.limit_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                latest = max(latest, timer - self.limit_ms)
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(latest + self.limit_ms)
+        after = invalid_steps(held)
+        changed = [(seq, *step, True) for seq, step in after.items() if before.get(seq) != step]
+        changed += [(seq, *step, False) for seq, step in before.items() if seq not in after]
+        first, last = min(held), max(held)
+        out = pd.DataFrame(
+            [(*c, None, None) for c in changed] + [(first, None, held[first], None, last, held[last])],
+            columns=["seq", "previous", "status", "valid", "last_seq", "last_status"])
+        out.insert(0, "slice", key[1])
+        out.insert(0, "deal_id", key[0])
+        yield out.astype({"valid": object, "last_seq": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.statuses.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def invalid_steps(statuses: dict[int, str]) -> dict[int, tuple[str, str]]:
+    """(previous, status) of each row that follows another status without being allowed to."""
+    order = sorted(statuses)
+    steps = {seq: (statuses[before], statuses[seq]) for before, seq in zip(order, order[1:])}
+    return {seq: step for seq, step in steps.items() if step[0] != step[1] and step not in ALLOWED}
+
+
+def guard_transitions(
+    history: DataFrame, target: str, edges: str, checkpoint: str, schema: str = HISTORY, span: int = SPAN,
+    delay: str | None = None, limit: timedelta | None = None,
+) -> None:
     """Find invalid status changes as rows arrive, in any order.
 
-    Rows are kept by batch.  A batch's deals are judged again with their earlier rows, by a bounded lag, so
-    a late row is set between its neighbours; a violation that it ends is recorded as no longer valid."""
+    A deal's history is kept as operator state in slices of ``span`` sequence numbers, so a hot deal has many keys; a batch reads
+    and writes the slices that its rows fall into, whatever is stored already.  A late row is set between its neighbours, and a
+    violation that it ends is recorded as no longer valid.  Steps between slices are judged when read, from the slices'
+    edges.  With a ``limit`` a slice's state goes when the watermark, ``delay`` behind the newest ``ts``, is that far
+    past its newest row; later rows for it start anew."""
+    kind = schema.split(",")[0].split()[1]
+    typed = lambda columns: columns.replace("deal_id bigint", f"deal_id {kind}")
+    rows = history if limit is None else history.withWatermark("ts", delay or "0 seconds")
+    keyed = rows.withColumns({"seq": F.col("seq").cast("bigint"), "slice": F.floor(F.col("seq") / span)})
+    processor = SliceGuard(None if limit is None else int(limit.total_seconds() * 1000), kind)
+    changes = keyed.groupBy("deal_id", "slice").transformWithStateInPandas(
+        processor, typed(GUARDED), "Update", "None" if limit is None else "EventTime")
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        store, found = VersionedTable(spark, state, "deal_id", "seq"), VersionedTable(spark, target, "deal_id", "seq")
-        store.upsert(batch.select("deal_id", "seq", "status"), number)
-        touched = batch.select("deal_id").distinct()
-        rows = store.read(schema, number + 1).join(touched, "deal_id", "left_semi")
-        bad = hitl.invalid_transitions(rows).select("deal_id", "seq", "previous", "status", F.lit(True).alias("valid"))
-        known = found.read(violations_schema(schema), number).filter("valid").join(touched, "deal_id", "left_semi")
-        ended = known.join(bad.select("deal_id", "seq"), ["deal_id", "seq"], "left_anti").withColumn("valid", F.lit(False))
-        found.upsert(bad.unionByName(ended), number)
-
-    run_available(history, checkpoint, each)
+        batch = batch.persist()  # one evaluation of the state for both tables; a lost part is computed again from the same state
+        VersionedTable(spark, target, "deal_id", "seq").upsert(
+            batch.filter("valid is not null").select("deal_id", "seq", "previous", "status", "valid"), number)
+        VersionedTable(spark, edges, "deal_id", "slice").upsert(
+            batch.filter("valid is null").select("deal_id", "slice", F.col("seq").alias("first_seq"), F.col("status").alias("first_status"), "last_seq", "last_status"), number)
+        batch.unpersist()
+
+    spark = history.sparkSession
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        run_available(changes, checkpoint, each, "update")
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
 
 
 def violations_schema(schema: str = HISTORY) -> str:
@@ -169,9 +249,17 @@ def violations_schema(schema: str = HISTORY) -> str:
     return VIOLATIONS.replace("deal_id bigint", f"deal_id {kind}")
 
 
-def violations(spark: SparkSession, target: str, schema: str = HISTORY) -> DataFrame:
-    """The invalid status changes of all rows so far."""
-    return VersionedTable(spark, target, "deal_id", "seq").read(violations_schema(schema)).filter("valid").drop("valid")
+def violations(spark: SparkSession, target: str, edges: str, schema: str = HISTORY) -> DataFrame:
+    """The invalid status changes of all rows so far: those inside slices, and those from a slice's last row to the next
+    slice's first one."""
+    kind = schema.split(",")[0].split()[1]
+    inside = VersionedTable(spark, target, "deal_id", "seq").read(violations_schema(schema)).filter("valid").drop("valid")
+    slices = VersionedTable(spark, edges, "deal_id", "slice").read(EDGES.replace("deal_id bigint", f"deal_id {kind}"))
+    order = Window.partitionBy("deal_id").orderBy("slice")
+    steps = slices.withColumn("previous", F.lag("last_status").over(order)).filter("previous <> first_status").select(
+        "deal_id", F.col("first_seq").alias("seq"), "previous", F.col("first_status").alias("status"))
+    allowed = domains.frame(spark, sorted(ALLOWED), "previous string, status string")
+    return inside.unionByName(steps.join(allowed, ["previous", "status"], "left_anti"))
 
 
 # ---- deadline with an event-time timer -------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Table maintenance, human loop, replay and streams."""
 
 import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import Window
@@ -106,12 +107,27 @@ def test_delta_sees_only_new_text(spark):
     old = spark.createDataFrame([("a", "d1", "same", "general")], schema)
     now = spark.createDataFrame([("b", "d1", "same", "general"), ("c", "d1", "a patent", "general"), ("e", "d2", "same", "general")], schema)
     deals = spark.createDataFrame([("x", "d1"), ("y", "d2"), ("z", "d3")], "deal_id string, document_name string")
-    out = delta.scope(old, now, deals)
+    out = delta.scope(delta.known(old), now, deals)
     assert {r["chunk_id"] for r in out.chunks.collect()} == {"c", "e"}
     assert {r["agent"] for r in out.agents.filter("deal_id = 'x'").collect()} == {"ip_agent"}
     assert out.agents.filter("deal_id = 'y' and used_fallback").count() == 16 and out.agents.filter("deal_id = 'z'").isEmpty()
 
 
+def test_unchanged_documents_cost_one_row(spark):
+    """Digests decide: an unchanged document's chunks are not read, a new one's not hashed, an edited one's compared."""
+    schema = "chunk_id string, document_name string, text string, clause_type string"
+    old = spark.createDataFrame([(f"o{d}{k}", f"d{d}", f"text {d} {k}", "general") for d in range(6) for k in range(5)], schema)
+    now = old.filter("document_name != 'd5' or text != 'text 5 0'").unionByName(
+        spark.createDataFrame([("n1", "d5", "a new one", "general"), ("n2", "d9", "text 0 0", "general")], schema))
+    assert {r.chunk_id for r in delta.new_chunks(delta.known(old), now).collect()} == {"n1", "n2"}
+    digests = delta.document_digests(now)
+    assert digests.count() == 7 and digests.join(delta.document_digests(old), ["document_name", "digest"]).count() == 5
+    refuse = F.udf(lambda text: 1 / 0, "string")
+    unread = old.withColumn("text", F.when(F.col("document_name") == "d0", refuse("text")).otherwise(F.col("text")))
+    same = delta.new_chunks(delta.Known(delta.document_digests(old), delta.content_key(old)), unread, delta.document_digests(old))
+    assert same.select("chunk_id", "text").collect() == []
+
+
 def test_replay_stops_when_settled(spark):
     from tests.test_findings_debate import args
     from briefmill import domains
@@ -169,18 +185,52 @@ def test_guard_stream_equals_batch_with_late_files_and_a_retry(spark, files, tmp
     late = str(tmp_path / "late")
     for part in (1, 0, 2):  # the second part of the history arrives first
         df.filter((F.col("seq") * 3 / 400).cast("int") == part).coalesce(1).write.mode("append").parquet(late)
-    for source in (path, late):
+    want = hitl.invalid_transitions(df)
+    assert not want.isEmpty()
+    for source, span in ((path, 7), (late, 50)):
         where = tmp_path / ("run-" + source.rsplit("/", 1)[-1])
-        stream = jobs.file_stream(spark, source, df.schema, files_per_batch=1)
-        jobs.guard_transitions(stream, str(where / "bad"), str(where / "s"), str(where / "cp"), kind)
-        want = hitl.invalid_transitions(df)
-        assert same(jobs.violations(spark, str(where / "bad"), kind).select(*want.columns), want)
+        names = [str(where / x) for x in ("bad", "edges", "cp")]
+        jobs.guard_transitions(jobs.file_stream(spark, source, df.schema, files_per_batch=1), *names, kind, span)
+        assert same(jobs.violations(spark, *names[:2], kind).select(*want.columns), want)
     # the last batch again, as after a failure between its writes and its commit
     commits = sorted((where / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
     commits[-1].unlink()
     (where / "cp" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
-    jobs.guard_transitions(jobs.file_stream(spark, late, df.schema, files_per_batch=1), str(where / "bad"), str(where / "s"), str(where / "cp"), kind)
-    assert same(jobs.violations(spark, str(where / "bad"), kind).select(*want.columns), want)
+    jobs.guard_transitions(jobs.file_stream(spark, late, df.schema, files_per_batch=1), *names, kind, span)
+    assert same(jobs.violations(spark, *names[:2], kind).select(*want.columns), want)
+
+
+def test_guard_batch_costs_its_own_rows_and_state_expires(spark, tmp_path):
+    """A small batch writes few rows however much is held; past the limit a slice's state is gone."""
+    schema = "deal_id string, seq long, status string, ts timestamp"
+    moves = ["created", "indexing", "analyzing", "debating"]
+
+    def put(rows, hours):
+        spark.createDataFrame([(d, s, x) for d, s, x in rows], "deal_id string, seq long, status string").withColumn(
+            "ts", F.timestamp_seconds(F.lit(hours * 3600) + F.col("seq"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    names = [str(tmp_path / x) for x in ("bad", "edges", "cp")]
+    kind = "deal_id string, seq long, status string"
+    run = lambda: jobs.guard_transitions(
+        jobs.file_stream(spark, str(tmp_path / "in"), schema, 1), *names, kind, 100, "1 hour", timedelta(hours=2))
+    put([(f"d{d}", s, moves[s % 4]) for d in range(20) for s in range(100)], 0)
+    run()
+    put([("d1", 100, "created"), ("d2", 101, "debating")], 1)
+    run()
+    written = spark.read.parquet(f"{names[0]}/data").filter("version = (select max(version) from parquet.`%s/data`)" % names[1]).count()
+    assert written <= 4
+    put([("d9", 5000, "created")], 50)
+    run()
+    put([("d9", 5001, "created")], 51)
+    run()
+    state = sorted((tmp_path / "cp" / "state" / "0").glob("*/*"))
+    assert state
+    put([("d1", 99, "created")], 52)  # its slice has been forgotten: no step inside it, none is recalled
+    run()
+    got = {(r.deal_id, r.seq) for r in jobs.violations(spark, *names[:2], kind).collect()}
+    full = spark.read.parquet(str(tmp_path / "in")).dropDuplicates(["deal_id", "seq"]).select("deal_id", "seq", "status")
+    assert {(r.deal_id, r.seq) for r in hitl.invalid_transitions(full).collect() if r.seq < 99} <= got | {("d1", 99)}
+
 
 
 def test_unique_stream_equals_batch_over_several_files(spark, tmp_path):

@@ -156,14 +156,14 @@ def with_others(rarest: DataFrame, others: DataFrame) -> DataFrame:
     return rarest.filter("df > 0").join(lists, "lookup_id", "left").withColumn("bucket", bucket_of(F.col("term")))
 
 
-def probed(index: Index, found: DataFrame, *columns: str) -> DataFrame:
+def probed(index: Index, found: DataFrame, others: DataFrame, *columns: str) -> DataFrame:
     """One row for each chunk ``found`` and other term of its lookup, with the postings' ``columns`` as ``p_...``, null
-    where the chunk lacks the term.  The postings are read once, those of the other terms only."""
-    asked = found.withColumn("other", F.explode_outer("others")).drop("others").withColumns({
-        "p_bucket": bucket_of(F.col("other.term")), "p_term": F.col("other.term")})
-    entries = index.postings.select(
-        F.col("bucket").alias("p_bucket"), F.col("term").alias("p_term"), "chunk_id", *[F.col(c).alias(f"p_{c}") for c in columns])
-    return asked.join(entries, ["p_bucket", "p_term", "chunk_id"], "left")
+    where the chunk lacks the term.  The postings are read once, in the buckets of the other terms only."""
+    asked = found.withColumn("other", F.explode_outer("others")).drop("others").withColumn("p_term", F.col("other.term"))
+    terms = others.filter("df > 0").select(bucket_of(F.col("term")).alias("bucket"), "term").distinct()
+    entries = index.postings.join(terms, ["bucket", "term"], "left_semi").select(
+        F.col("term").alias("p_term"), "chunk_id", *[F.col(c).alias(f"p_{c}") for c in columns])
+    return asked.join(entries, ["p_term", "chunk_id"], "left")
 
 
 def bm25_and(index: Index, queries: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def bm25_and(index: Index, queries: DataFrame) -> DataFrame:
         "lookup_id", "chunk_id", "length", "n_terms", (F.col("weight") * idf(F.col("df")) * saturation(F.col("tf"))).alias("first"), "others")
     part = F.col("other.weight") * idf(F.col("other.df")) * saturation(F.col("p_tf"))
     scored = (
-        probed(index, found, "tf").groupBy("lookup_id", "chunk_id")
+        probed(index, found, others, "tf").groupBy("lookup_id", "chunk_id")
         .agg(F.first("n_terms").alias("n_terms"), F.first("first").alias("first"), F.count("p_tf").alias("hits"), F.sum(part).alias("rest"))
         .filter(F.col("hits") == F.col("n_terms") - 1)
         .select("lookup_id", "chunk_id", (F.col("first") + F.coalesce("rest", F.lit(0.0))).alias("score"))
@@ -216,7 +216,7 @@ def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
         "lookup_id", "chunk_id", "length", *PAYLOAD, "n_terms", starts.alias("starts"), _idf(F.col("df"), n_chunks).alias("idf"), "others")
     other_starts = F.transform("p_positions", lambda p: p - F.col("other.place"))
     hits = (
-        probed(index, found, "positions").groupBy("lookup_id", "chunk_id")
+        probed(index, found, others, "positions").groupBy("lookup_id", "chunk_id")
         .agg(F.first("length").alias("length"), *[F.first(c).alias(c) for c in PAYLOAD], F.first("n_terms").alias("n_terms"),
              F.first("starts").alias("starts"), F.collect_list(other_starts).alias("rest"),
              (F.first("idf") + F.coalesce(F.sum(_idf(F.col("other.df"), n_chunks)), F.lit(0.0))).alias("idf"))

@@ -234,13 +234,8 @@ def _mix(spark, sf):
 
 @query("ent_canonicalise")
 def _canonicalise(spark, sf):
-    n = F.col("doc_id")
-    base = F.col("base")
-    spellings = F.array(base, F.concat(F.lower(base), F.lit(", ")), F.concat(F.lit("Director "), base),
-                        F.concat(F.substring(base, 1, 2), F.substring(base, 4, 1000000)))
-    seen = bases(spark, sf).select("entity_type", n, F.posexplode(spellings).alias("i", "name")).select(
-        "entity_type", "name", (n * 10 + F.col("i")).alias("seq"))
-    return ent.canonicalise(seen)
+    place = F.substring("document_name", 5, 20).cast("bigint") * 100_000_000 + F.col("chunk_index") * 10_000 + F.col("i")
+    return ent.canonicalise(name_mentions(spark, sf).select("entity_type", respelled().alias("name"), place.alias("seq")))
 
 
 # ---- graph: capitalised words of every chunk, labelled by length ---------------------------------

@@ -291,29 +291,40 @@ def _open(buckets: DataFrame) -> DataFrame:
     return buckets.join(split, "bucket", "left_semi")
 
 
+def _labelled(buckets: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """``buckets`` with a label for most of a component, which is enough to see what is connected already."""
+    if stars is None:
+        return buckets.withColumn("label", F.col("node"))
+    labels = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+
+def _added(stars: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The links so far, contracted, with new ones."""
+    links = written(links, "links")
+    if links.isEmpty():
+        return stars
+    return contracted(links if stars is None else links.unionByName(stars))
+
+
 def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands: int) -> DataFrame | None:
     """(node, root) of the classes that are linked with others; None if no two share a bucket."""
     rows = rows_a_band(percent, bands)
     members = classes.select("node", F.posexplode("buckets").alias("band", "bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    buckets = written(members.join(shared, "bucket"), "buckets")
-    if buckets.isEmpty():
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket"), "shared")
+    if shared.isEmpty():
         return None
+    met = members.filter(may_be_in(F.col("bucket"), key_filter(shared, "bucket")))
+    buckets = written(met.join(shared, "bucket"), "buckets")
     chosen = written(classes.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "text_key"), "chosen")
     sets = written(_sets(docs, chosen, width, rows * bands), "sets")
-    stars = None
-    for low, high in zip(ROUNDS, [*ROUNDS[1:], bands]):
-        held = buckets.filter(F.col("band").between(low, high - 1)).select("bucket", "node", F.col("node").alias("label"))
-        if stars is None:
-            left = held.join(sets.select("node", "n"), "node").withColumn("own", F.lit(0).cast("bigint"))
-        else:
-            # one label for most of a component is enough to see what is connected already
-            labels = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-            labelled = held.drop("label").join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
-            left = _open(_bounded(written(_open(labelled), "open"), sets, percent))
-        found = written(_links(written(left, "left"), sets, percent, rows, low, rows * bands), "links")
-        if not found.isEmpty():
-            stars = contracted(found if stars is None else found.unionByName(stars))
+    first = buckets.filter(F.col("band") < ROUNDS[1]).select("bucket", "node", F.col("node").alias("label")).join(sets.select("node", "n"), "node")
+    stars = _added(None, _links(written(first.withColumn("own", F.lit(0).cast("bigint")), "left"), sets, percent, rows, 0, rows * bands))
+    rest = _open(_labelled(buckets.filter(F.col("band") >= ROUNDS[1]), stars)).drop("label")
+    rest = written(_bounded(written(rest, "open"), sets, percent), "bounded")
+    for low, high in zip(ROUNDS[1:], [*ROUNDS[2:], bands]):
+        left = written(_open(_labelled(rest.filter(F.col("band").between(low, high - 1)), stars)), "left")
+        stars = _added(stars, _links(left, sets, percent, rows, low, rows * bands))
     return None if stars is None else components(stars)
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import pkgutil
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -194,21 +195,32 @@ class Matcher:
             n, low = len(self.sets[k]), lows[k]
             high = n * (2 - self.least) / self.least
             shifts = (1 - self.least, (2 - 2 * self.least) / self.least)  # edits of some words, and as many added as Dice allows
+            # bigrams that the template holds once place a copy; all others of the range then complete it, so copies stay apart
+            # however often the template repeats itself
+            once = [(shift, i) for shift, i in own if len(self.places[pairs[i]][k]) == 1]
             seen = set()
             for reach in (max(1, round(self.lengths[k] * x)) for x in shifts):
-                begin = 0
-                for end in range(1, len(own) + 1):
-                    if end < len(own) and own[end][0] - own[end - 1][0] <= reach:
-                        continue
-                    group = own[begin:end]
-                    begin = end
-                    if len(group) < low:
-                        continue
-                    at = sorted({i for _, i in group})
-                    for first, last in ((at[0], at[-1]), self.densest(at)):
-                        if low <= last + 1 - first <= high + reach and (first, last) not in seen:
-                            seen.add((first, last))
-                            yield k, first, last + 1
+                for placed in (own, once):
+                    for group in self.chains(placed, reach):
+                        if placed is once:
+                            low_shift, high_shift = group[0][0], group[-1][0]
+                            group = own[bisect_left(own, (low_shift, -1)) : bisect_left(own, (high_shift + 1, -1))]
+                        if len(group) < low:
+                            continue
+                        at = sorted({i for _, i in group})
+                        for first, last in ((at[0], at[-1]), self.densest(at)):
+                            if low <= last + 1 - first <= high + reach and (first, last) not in seen:
+                                seen.add((first, last))
+                                yield k, first, last + 1
+
+    @staticmethod
+    def chains(placed: list[tuple[int, int]], reach: int):
+        """Runs of proposals whose shifts follow each other within ``reach``."""
+        begin = 0
+        for end in range(1, len(placed) + 1):
+            if end == len(placed) or placed[end][0] - placed[end - 1][0] > reach:
+                yield placed[begin:end]
+                begin = end
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, str, float]]:
         """(first word, last word, name, Dice) by first word; of overlapping ones with one template, and of templates
@@ -227,10 +239,20 @@ class Matcher:
                 found.append((first, last, self.names[k], score))
         out: list[tuple[int, int, str, float]] = []
         for match in sorted(found, key=lambda m: (-m[3], m[0], m[2])):
-            if not any(self._rivals(match, m) for m in out):
+            if not any(self._rivals(match, m) for m in out) and not self._bridges(match, out):
                 out.append(match)
         return sorted(out)
 
+    @staticmethod
+    def _bridges(match, better) -> bool:
+        """Whether more than half of a match lies in better ones, and in none of them whole: the end of one and the
+        beginning of the next."""
+        first, last = match[:2]
+        if any(m[0] <= first and last <= m[1] for m in better):
+            return False
+        covered = {i for m in better for i in range(max(first, m[0]), min(last, m[1]) + 1)}
+        return 2 * len(covered) > last + 1 - first
+
     @staticmethod
     def _rivals(one, two) -> bool:
         common = min(one[1], two[1]) - max(one[0], two[0])

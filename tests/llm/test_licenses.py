@@ -1,3 +1,5 @@
+import random
+
 from briefmill.llm import licenses as x
 from tests.llm.fixtures import awkward, docs_of, no_docs, words
 
@@ -77,3 +79,18 @@ def test_versions_full_texts_and_long_insertions(spark):
 def test_variants_that_are_not_held_do_not_match(spark):
     text = x.all_templates()["text-GPL-3.0"].replace("GNU General Public", "GNU Affero General Public")
     assert not any(m.license == "text-GPL-3.0" for r in x.licences(docs_of(spark, [(1, text)])).collect() for m in r.matches)
+
+
+def test_repeated_licences_are_all_found():
+    """Copies of one licence, next to each other or with words between them, as in third-party notices."""
+    templates = x.all_templates()
+    matcher = x.Matcher(templates)
+    draw = random.Random(3)
+    filler = lambda n: " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(n))
+    for name, body in templates.items():
+        inside = {m[2] for m in matcher.matches(x.normal_words(body.encode()))}
+        for n in (0, 1, 7, 50, 150):
+            for copies in (2, 3):
+                text = f" {filler(n)} ".join([body] * copies)
+                found = [m[2] for m in matcher.matches(x.normal_words(f"{filler(20)} {text} {filler(9)}".encode()))]
+                assert found.count(name) == copies and set(found) <= inside, (name, n, found)

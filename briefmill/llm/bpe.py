@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import gc
 import json
-import os
 import re
 from array import array
 from collections.abc import Callable
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 
 from briefmill.llm.common import digest, map_arrow
 
-TOKENIZER = os.environ.get("BPE_TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 # The splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

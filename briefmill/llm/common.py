@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,6 +53,8 @@ def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.R
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE_ROWS):
                 yield step(batch.slice(begin, SLICE_ROWS))
+        del step
+        give_back_memory()
 
     short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -99,6 +104,14 @@ def join_hot(rows: DataFrame, known: DataFrame, key: str, copies: str, most_hot:
     return cold.unionByName(rows.join(F.broadcast(known.filter(hot).drop(copies)), key))
 
 
+def give_back_memory() -> None:
+    """Return what a task has freed to the system: its Python worker lives on, and would hold it through later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def byte_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each value of a string column, without decoding it."""
     return column.cast(pa.binary()).to_pylist()

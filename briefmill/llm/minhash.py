@@ -55,7 +55,7 @@ class WordHashes(dict):
     """64-bit hashes of words; a memory of bounded size that computes what it lacks."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found

@@ -296,3 +296,15 @@ def test_sla_stream(spark, tmp_path):
     df.coalesce(1).write.parquet(path)
     jobs.write_available(jobs.sla_timeouts(jobs.file_stream(spark, path, df.schema, 1), "0 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert {r["escalation_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {11, 20}
+
+
+def test_only_chunks_of_documents_that_arrive_are_upserted_again(spark, tmp_path):
+    from briefmill.plans.table_queries import _upsert
+
+    text = "An agreement by and from them."
+    spark.createDataFrame([(1, text, "web"), (2, text, "web")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1,), (None,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = _upsert(spark, str(tmp_path)).collect()
+    types = {r.chunk_id.split(":")[0]: r.clause_type for r in rows}
+    assert len(rows) == len({r.chunk_id for r in rows}) and set(types) == {"doc-1", "doc-2"}
+    assert types["doc-2"] == "reindexed" != types["doc-1"]

@@ -160,3 +160,14 @@ def test_encoded_graph_restores(spark, tmp_path):
     df = spark.createDataFrame([("a", ["x", "y"], {"k": 1})], "node_id string, aliases array<string>, extra map<string,int>")
     gr.save_encoded(df, str(tmp_path / "g"))
     assert gr.load_encoded(spark, str(tmp_path / "g"), df.schema).collect() == df.collect()
+
+
+def test_the_whole_review_queue_holds_candidates_far_below_the_best(spark):
+    resolutions = spark.createDataFrame(
+        [("D0", "organization", "abcdefgh", "unconfirmed_node", 0.75), ("D0", "organization", "settled", "confirmed", 1.0)],
+        "deal_id string, entity_type string, name string, status string, confidence double")
+    candidates = spark.createDataFrame(
+        [("D1", "organization", "abcdefxy"), ("D1", "organization", "abcdexyz"), ("D1", "organization", "zzzzzzzz"), ("D1", "organization", "settles")],
+        "deal_id string, entity_type string, candidate string")
+    got = {(r.name, r.candidate): round(r.score, 6) for r in ent.whole_review_queue(resolutions, candidates).collect()}
+    assert got == {("abcdefgh", "abcdefxy"): 0.75, ("abcdefgh", "abcdexyz"): 0.625}

@@ -11,19 +11,23 @@ from briefmill import domains
 from briefmill.functions import text as T
 
 
-def contains_term(body: Column, term: str) -> Column:
+def contains_term(body: Column, edged: Column, term: str) -> Column:
     """Word-bounded test after runs of ``_`` and ``-`` became spaces, on both sides;
-    ``body`` is ``routing_text`` of the text, computed once per row."""
-    return T.has_phrase(body, T.routing_term(term))
+    ``body`` is ``routing_text`` of the text and ``edged`` its ``word_edges``, computed once per row."""
+    return T.has_phrase(body, edged, T.routing_term(term))
 
 
-def _matches(body: Column, clause_type: Column | None, registry: Sequence[dict]) -> Column:
-    """Array of (agent_no, place, match) found in one text; a projection, no shuffle."""
+def _bodies(rows: DataFrame, text: str, *columns: str) -> DataFrame:
+    return rows.select(*columns, T.routing_text(F.col(text)).alias("body")).withColumn("edged", T.word_edges(F.col("body")))
+
+
+def _matches(clause_type: Column | None, registry: Sequence[dict]) -> Column:
+    """Array of (agent_no, place, match) found in one of the ``_bodies``; a projection, no shuffle."""
     found = []
     for number, entry in enumerate(registry):
         for place, term in enumerate(entry["routing_terms"]):
             hit = F.struct(F.lit(number).alias("agent_no"), F.lit(place).alias("place"), F.lit(term).alias("match"))
-            found.append(F.when(contains_term(body, term), hit))
+            found.append(F.when(contains_term(F.col("body"), F.col("edged"), term), hit))
         if clause_type is None:
             continue
         for place, kind in enumerate(entry["clause_types"], len(entry["routing_terms"])):
@@ -41,10 +45,10 @@ def specialists(deal_documents: DataFrame, chunks: DataFrame, registry: Sequence
     registry-many rows per partition."""
     registry = domains.REGISTRY if registry is None else registry
     spark = chunks.sparkSession
-    bodies = chunks.select("document_name", "clause_type", T.routing_text(F.col("text")).alias("body"))
-    in_text = bodies.select("document_name", F.inline(_matches(F.col("body"), F.col("clause_type"), registry)))
-    names = deal_documents.select("document_name").distinct().withColumn("body", T.routing_text(F.col("document_name")))
-    in_name = names.select("document_name", F.inline(_matches(F.col("body"), None, registry)))
+    bodies = _bodies(chunks, "text", "document_name", "clause_type")
+    in_text = bodies.select("document_name", F.inline(_matches(F.col("clause_type"), registry)))
+    names = _bodies(deal_documents.select("document_name").distinct(), "document_name", "document_name")
+    in_name = names.select("document_name", F.inline(_matches(None, registry)))
     per_document = in_text.unionByName(in_name).distinct()
     per_deal = deal_documents.join(per_document, "document_name").select("deal_id", "agent_no", "place", "match").distinct()
     agents = domains.frame(spark, [(i, r["agent"]) for i, r in enumerate(registry)], "agent_no int, agent string")

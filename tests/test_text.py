@@ -135,3 +135,41 @@ def test_table_text_drops_blank_rows(spark):
 def test_a_long_table_is_one_text(spark):
     cells = spark.range(12_000).selectExpr("'d' as document_name", "0 as table_no", "id as row_no", "0 as column_no", "concat('r', id) as cell")
     assert layout.table_text(cells).first()["text"] == "\n".join(f"r{k}" for k in range(12_000))
+
+
+def test_phrases_stand_on_word_boundaries_with_one_pass_over_the_text(spark):
+    texts = ["of the", "xof the", "of thee", "of  the", "of\x01 the", "\x01of the\x01", "l'of the-end", "of_the", "", "(of the)",
+             "été of thé", "an", "an-an", "ban", "an\x01", "c++ c+", "é", None]
+    phrases = ["of the", "an", "c++", "é", "(of", "-an"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("e", T.word_edges(F.col("t")))
+    got = rows.select("t", *[T.has_phrase(F.col("t"), F.col("e"), p).alias(str(i)) for i, p in enumerate(phrases)]).collect()
+    want = rows.select("t", *[F.col("t").rlike(rf"(?<!{T.WORD})\Q{p}\E(?!{T.WORD})").alias(str(i)) for i, p in enumerate(phrases)]).collect()
+    assert got == want
+    plan = rows.select(T.has_phrase(F.col("t"), F.col("e"), "of the"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan  # a pattern per phrase made classification the largest cost of a chunk
+
+
+def test_a_long_clause_is_marked_once_and_not_for_every_piece(spark):
+    import time
+
+    text = " ".join(["word"] * 40_000)
+    row = spark.createDataFrame([(text,)], "t string")
+    start = time.time()
+    pieces = row.select(T.split_oversized(F.col("t"), 10).alias("p")).first()["p"]
+    assert len(pieces) == 4_000 and set(pieces) == {" ".join(["word"] * 10)}
+    assert time.time() - start < 60  # marking per piece is 4,000 passes over the text
+
+
+def test_references_are_searched_once_and_not_for_every_reference(spark):
+    df = spark.createDataFrame([("see Section 1, section 1 and Article 2(a).",)], "x string").select(T.section_references(F.col("x")).alias("y"))
+    assert df.first()["y"] == ["Section 1", "Article 2(a)"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_a_document_without_words_has_no_definition_line(spark):
+    from briefmill.plans import inputs
+
+    docs = spark.createDataFrame([(1, "--", "web"), (2, "ab cd", "web"), (3, None, "web")], "doc_id long, text string, source string")
+    found = inputs.section_lines(docs).filter("seq = -1").collect()
+    assert [(r.document_name, r.line) for r in found] == [("doc-2", '"ab" means the web term.')]
+

@@ -48,3 +48,27 @@ def test_postings_table_is_sorted_in_bucket_directories(spark, tmp_path):
     stored, _ = stored_index(spark, folder)
     assert stored.postings.filter(F.col("bucket") != search.bucket_of(F.col("term"))).count() == 0
     assert len({p.name for p in (tmp_path / "postings").glob("bucket=*")}) == stored.postings.select("bucket").distinct().count()
+
+
+def test_postings_come_out_of_their_chunk_without_a_shuffle(spark):
+    texts = ["a b a", "", "B é b_c b", "...", "x", "b " * 400]
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i}", t, "Section 1", "general", []) for i, t in enumerate(texts)], CHUNK)
+    found = search.postings(chunks)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, t in enumerate(texts):
+        for place, w in enumerate(re.findall(r"\w+", t.lower())):
+            want.setdefault((w, f"c{i}"), []).append(place)
+    assert {(r.term, r.chunk_id): r.positions for r in found.collect()} == want
+    assert all(r.tf == len(r.positions) for r in found.collect())
+    assert sorted(map(tuple, search.stats_of_postings(found).collect())) == sorted(map(tuple, search.term_stats(chunks).collect()))
+
+
+def test_chunks_that_lack_a_term_go_before_the_next_shuffle(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "d", t, "Section 1", "general", []) for i, t in enumerate(["a b", "a", "a", "b c", "b"])], CHUNK)
+    index = search.build_index(chunks)
+    lookups = spark.createDataFrame([("q", "a", "a", 1), ("q", "b", "b", 1), ("r", "c", "c", 1)], "lookup_id string, place string, term string, weight int")
+    rarest, others = search.split_rarest(lookups, index.terms)
+    found = search.with_others(rarest, others).join(index.postings.select("term", "chunk_id"), "term").select("lookup_id", "chunk_id", "others")
+    rows = search.probed(index, found, others, "tf", "weight", "df").collect()
+    assert sorted((r.lookup_id, r.chunk_id, r.p_tf) for r in rows) == [("q", "c0", 1), ("r", "c3", None)]

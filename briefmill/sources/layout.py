@@ -51,23 +51,40 @@ def column_numbers(top: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.n
     return np.argsort(np.argsort(starts[:opened], kind="stable"))[column]
 
 
-def placed_words(words: DataFrame) -> DataFrame:
-    """Words with the numbers of their column, of their line in it and of themselves in the line.
+def page_order(top: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a page in reading order, with the column and the line of each word so ordered."""
+    line = line_numbers(top, left, right)
+    lines = np.arange(line.max() + 1)
+    order = np.lexsort((left, top, line))
+    starts = np.searchsorted(line[order], lines)
+    first = top[order][starts]
+    ends = np.minimum.reduceat(left[order], starts), np.maximum.reduceat(right[order], starts)
+    column = column_numbers(first, *ends)
+    line_no = np.empty(len(lines), dtype=int)
+    line_no[np.lexsort((ends[0], first, column))] = lines
+    words = np.lexsort((left, line_no[line]))
+    return words, column[line][words], line_no[line][words]
 
-    A page is the unit of placing; pages are independent."""
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows["line"] = line_numbers(rows["top"].to_numpy(), rows["x0"].to_numpy(), rows["x1"].to_numpy())
-        first = rows.sort_values(["top", "x0"], kind="stable").groupby("line")["top"].first()
-        lines = rows.groupby("line").agg(left=("x0", "min"), right=("x1", "max")).assign(top=first)
-        lines["column_no"] = column_numbers(lines["top"].to_numpy(), lines["left"].to_numpy(), lines["right"].to_numpy())
-        in_order = lines.sort_values(["column_no", "top", "left"], kind="stable").index
-        lines["line_no"] = pd.Series(range(len(lines)), index=in_order)
-        rows = rows.join(lines[["column_no", "line_no"]], on="line").sort_values(["line_no", "x0"], kind="stable")
-        rows["word_no"] = range(len(rows))
-        return rows[["document_name", "page_index", "text", "x0", "x1", "top", "column_no", "line_no", "word_no"]]
+def placed_words(words: DataFrame) -> DataFrame:
+    """Words with the numbers of their column, of their line in it and of themselves in the line.
 
-    return words.groupBy("document_name", "page_index").applyInPandas(page, _PLACES)
+    A page is the unit of placing; a group is one document, so that a task handles few groups of many pages."""
+
+    def document(rows: pd.DataFrame) -> pd.DataFrame:
+        page = rows["page_index"].to_numpy()
+        by_page = np.argsort(page, kind="stable")
+        boxes = [rows[c].to_numpy()[by_page] for c in ("top", "x0", "x1")]
+        starts = np.flatnonzero(np.r_[True, np.diff(page[by_page]) != 0])
+        parts = []
+        for start, stop in zip(starts, np.r_[starts[1:], len(page)]):
+            at, column, line = page_order(*(b[start:stop] for b in boxes))
+            parts.append((by_page[start + at], column, line, np.arange(stop - start)))
+        at, column, line, word = map(np.concatenate, zip(*parts))
+        return rows.iloc[at].assign(column_no=column, line_no=line, word_no=word)[
+            ["document_name", "page_index", "text", "x0", "x1", "top", "column_no", "line_no", "word_no"]]
+
+    return words.groupBy("document_name").applyInPandas(document, _PLACES)
 
 
 def reading_order(words: DataFrame) -> DataFrame:

@@ -173,3 +173,28 @@ def test_a_document_without_words_has_no_definition_line(spark):
     found = inputs.section_lines(docs).filter("seq = -1").collect()
     assert [(r.document_name, r.line) for r in found] == [("doc-2", '"ab" means the web term.')]
 
+
+def test_pages_are_placed_without_a_frame_per_page():
+    import time
+
+    import numpy as np
+
+    r, pages = np.random.default_rng(3), []
+    for _ in range(300):
+        n = int(r.integers(1, 65))
+        left = r.integers(0, 60, n) * 10.0
+        pages.append((r.integers(0, 40, n) * 3.0, left, left + r.integers(5, 60, n)))
+    start = time.time()
+    placed = [layout.page_order(*p) for p in pages]
+    assert time.time() - start < 2.5  # frames per page took 16 ms each
+    for (top, left, right), (words, column, line) in zip(pages, placed):
+        raw = layout.line_numbers(top, left, right)
+        assert sorted(words) == list(range(len(top))) and list(line) == sorted(line)
+        assert all((raw[a] == raw[b]) == (line[i] == line[j]) for i, a in enumerate(words) for j, b in enumerate(words))
+
+
+def test_pages_of_a_document_are_placed_apart(spark):
+    box = "document_name string, page_index int, text string, x0 double, x1 double, top double, bottom double"
+    rows = [("d", 1, "c", 0.0, 9.0, 0.0, 9.0), ("d", 0, "b", 10.0, 19.0, 0.0, 9.0), ("d", 0, "a", 0.0, 9.0, 0.0, 9.0), (None, 0, "z", 0.0, 9.0, 0.0, 9.0)]
+    got = layout.reading_order(spark.createDataFrame(rows, box)).collect()
+    assert {(r.document_name, r.page_index, r.text) for r in got} == {("d", 0, "a b"), ("d", 1, "c"), (None, 0, "z")}

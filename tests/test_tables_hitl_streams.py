@@ -308,3 +308,14 @@ def test_only_chunks_of_documents_that_arrive_are_upserted_again(spark, tmp_path
     types = {r.chunk_id.split(":")[0]: r.clause_type for r in rows}
     assert len(rows) == len({r.chunk_id for r in rows}) and set(types) == {"doc-1", "doc-2"}
     assert types["doc-2"] == "reindexed" != types["doc-1"]
+
+
+def test_a_round_trip_is_compared_in_one_shuffle_with_copies_and_nulls(spark):
+    from briefmill.operators import graph
+
+    schema = "x string, y string, z array<string>"
+    saved = spark.createDataFrame([("a", None, ["q"]), ("a", None, ["q"]), (None, "a", []), ("b", "c", None)], schema)
+    other = spark.createDataFrame([("a", None, ["q"]), ("a", None, []), ("b", "c", None), ("b", "c", None)], schema)
+    assert tuple(graph.differing(saved, saved).first()) == (4, 0)
+    lost = graph.encoded(saved).exceptAll(graph.encoded(other)).count() + graph.encoded(other).exceptAll(graph.encoded(saved)).count()
+    assert tuple(graph.differing(saved, other).first()) == (4, lost)

@@ -48,7 +48,8 @@ def specialists(deal_documents: DataFrame, chunks: DataFrame, registry: Sequence
     bodies = _bodies(chunks, "text", "document_name", "clause_type")
     in_text = bodies.select("document_name", F.inline(_matches(F.col("clause_type"), registry)))
     names = _bodies(deal_documents.select("document_name").distinct(), "document_name", "document_name")
-    in_name = names.select("document_name", F.inline(_matches(None, registry)))
+    # A new key, since Spark takes a union of two sides dealt by one key for dealt by it too, and fails where their counts differ.
+    in_name = names.select(F.concat("document_name", F.lit("")).alias("document_name"), F.inline(_matches(None, registry)))
     per_document = in_text.unionByName(in_name).distinct()
     per_deal = deal_documents.join(per_document, "document_name").select("deal_id", "agent_no", "place", "match").distinct()
     agents = domains.frame(spark, [(i, r["agent"]) for i, r in enumerate(registry)], "agent_no int, agent string")

@@ -319,3 +319,17 @@ def test_a_round_trip_is_compared_in_one_shuffle_with_copies_and_nulls(spark):
     assert tuple(graph.differing(saved, saved).first()) == (4, 0)
     lost = graph.encoded(saved).exceptAll(graph.encoded(other)).count() + graph.encoded(other).exceptAll(graph.encoded(saved)).count()
     assert tuple(graph.differing(saved, other).first()) == (4, lost)
+
+
+def test_scope_joins_sides_dealt_by_document(spark):
+    registry = [{"agent": "a", "routing_terms": ["tax"], "clause_types": ["t"], "synonym_groups": []}]
+    rows = [(f"c{i}", f"d{i % 40}", "the tax of it" if i % 3 else "nothing", "t" if i % 5 == 0 else "general") for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_name string, text string, clause_type string")
+    deals = spark.createDataFrame([(f"D{i % 7}", f"d{i}") for i in range(40)], "deal_id string, document_name string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = delta.scope(delta.known(chunks.filter("document_name < 'd2'")), chunks, deals, registry)
+        assert {r.deal_id for r in out.agents.collect()} == {r.deal_id for r in deals.filter("document_name >= 'd2'").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -333,3 +333,21 @@ def test_scope_joins_sides_dealt_by_document(spark):
         assert {r.deal_id for r in out.agents.collect()} == {r.deal_id for r in deals.filter("document_name >= 'd2'").collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_matches_of_texts_and_names_are_dealt_again_after_their_union(spark):
+    from briefmill.operators import routing
+
+    registry = [{"agent": "a", "routing_terms": ["tax"], "clause_types": ["t"], "synonym_groups": []}]
+    chunks = spark.createDataFrame([("d1", "the tax", "t")], "document_name string, text string, clause_type string").repartition(8, "document_name")
+    deals = spark.createDataFrame([("D1", "d1")], "deal_id string, document_name string").repartition(8, "document_name")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        lines = routing.specialists(deals, chunks, registry)._jdf.queryExecution().executedPlan().toString().splitlines()
+        at = [i for i, line in enumerate(lines) if "Union" in line and i > 2 and "HashAggregate" in lines[i - 1]]
+        assert at and all("Exchange" in lines[i - 2] for i in at), "\n".join(line[:80] for line in lines)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

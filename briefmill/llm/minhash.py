@@ -5,7 +5,10 @@
    128-bit fingerprints; only classes go on, so copies never meet in pairs.
 2. Many universal hash minima of a set, cut into bands; a bucket is a band with its minima.  At the linking
    similarity a pair misses all bands with a probability of at most one in a million.
-3. Buckets are searched in three rounds of bands.  A bucket's members are dealt into blocks of bounded size, and each two
+3. A bucket's members meet first as short marks, a byte of each minimum and four of each band: those that agree with no member of
+   another component as a pair at the similarity would, or only with such as share an earlier band, leave the bucket.  So full
+   sets travel only where a link is likely, and once a pair rather than once a band.
+   Buckets are searched in three rounds of bands.  A bucket's members are dealt into blocks of bounded size, and each two
    blocks meet in one task: pairs connected already, of sizes too different, or compared in an earlier band are passed over, the
    signatures' agreement ends those far below the similarity, and the others are verified on the full sets.  A task returns
    only links that connect what its links so far do not, so rows never grow with the pairs of a group.
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import byte_texts, join_hot, key_filter, map_arrow, may_be_in, short_batches, written
+from briefmill.llm.common import byte_texts, give_back_memory, join_hot, key_filter, map_arrow, may_be_in, short_batches, written
 from briefmill.llm.components import components, contracted
 
 WIDTH = 3
@@ -38,6 +41,7 @@ MISSED = 1e-6  # most probability that a pair at the similarity shares no bucket
 ROUNDS = (0, 3, 10)  # first bands of the rounds
 BLOCK_ROWS = 512  # members of a bucket, and bytes of their sets, that meet in one task with as many others
 BLOCK_BYTES = 4 << 20
+MARK_ROWS = 4096  # members of a bucket that meet as marks
 VERIFIED_AT_ONCE = 32
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -138,36 +142,53 @@ def sketches(docs: DataFrame, width: int, percent: int, bands: int = BANDS) -> D
     return map_arrow(_keyed(docs), start, "doc_id bigint, text_key bigint, n_shingles bigint, class binary, buckets array<bigint>")
 
 
-def _sets(docs: DataFrame, chosen: DataFrame, width: int, count: int) -> DataFrame:
-    """node, signature, shingles and their number n of each of the ``chosen`` classes, from the document that stands for it."""
+def _sets(docs: DataFrame, chosen: DataFrame, width: int, count: int, bands: int) -> DataFrame:
+    """node, signature, mark, shingles and their number n of each of the ``chosen`` classes, from the document that stands for it."""
 
     def start():
         minima, known = Minima(count), WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, signatures, sets = [], [], [np.zeros(0, np.uint64)]
+            nodes, signatures, marks, sets = [], [], [], [np.zeros(0, np.uint64)]
             for node, text in zip(batch.column("node").to_pylist(), byte_texts(batch.column("text"))):
                 hashes = shingle_hashes(text, width, known)
                 if hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() == node:
                     nodes.append(node)
                     sets.append(hashes)
-                    signatures.append(minima(hashes).tobytes())
+                    own = minima(hashes)
+                    signatures.append(own.tobytes())
+                    marks.append(_mark(own, bands))
             ends = np.cumsum([len(s) for s in sets]).astype(np.int32)
             return pa.record_batch([
-                pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary()),
+                pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(marks, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), pa.int64())),
-            ], ["node", "signature", "shingles"])
+            ], ["node", "signature", "mark", "shingles"])
 
         return step
 
     # only the chosen texts travel
     texts = _keyed(docs).withColumn("key", F.xxhash64("doc_id", "text_key"))
     texts = texts.filter(may_be_in(F.col("key"), key_filter(chosen.select(F.xxhash64("doc_id", "text_key").alias("key")), "key")))
-    same = texts["doc_id"].eqNullSafe(chosen["doc_id"]) & (texts["text_key"] == chosen["text_key"])
-    found = map_arrow(texts.join(chosen, same).select("node", "text"), start, "node binary, signature binary, shingles array<bigint>")
-    # repeated rows give a class twice
-    once = found.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
-    return once.withColumn("n", F.size("shingles").cast("bigint"))
+    wanted = chosen.withColumn("key", F.xxhash64("doc_id", "text_key")).withColumnsRenamed({"doc_id": "own_id", "text_key": "own_text"})
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_text"))
+    # repeated rows give a class twice; texts are dealt by their key already, so they are reduced where they lie
+    once = (
+        texts.join(wanted, "key").filter(same).groupBy("key", "node", F.xxhash64(F.lit(1), "text").alias("again"))
+        .agg(F.first("text").alias("text")).select("node", "text")
+    )
+    found = map_arrow(once, start, "node binary, signature binary, mark binary, shingles array<bigint>")
+    return found.withColumn("n", F.size("shingles").cast("bigint"))
+
+
+def _mark(minima: np.ndarray, bands: int) -> bytes:
+    """A byte of each minimum, equal for equal minima, and then four bytes of each band's minima."""
+    mixed = (minima.astype(np.uint64) * _MIX) >> np.uint64(56)
+    banded = minima.reshape(bands, -1).astype(np.uint64)
+    folded = np.zeros(bands, np.uint64)
+    for k in range(banded.shape[1]):
+        folded = (folded ^ banded[:, k]) * _MIX
+        folded ^= folded >> np.uint64(29)
+    return mixed.astype(np.uint8).tobytes() + (folded >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
 class _Group:
@@ -219,12 +240,80 @@ class _Group:
                 self.component[self.component == self.component[b]] = self.component[a]
 
 
+def _least(percent: int, count: int) -> float:
+    """Share of equal minima that a pair at the similarity reaches but for six standard deviations."""
+    return max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / count) ** 0.5)
+
+
+def _partnered(labels: np.ndarray, sizes: np.ndarray, marks: np.ndarray, earlier: np.ndarray, percent: int, least: float) -> np.ndarray:
+    """Which members have another one of another label, of a size and with marks as a pair at the similarity has, that
+    shares none of the ``earlier`` bands: those that do have met before."""
+    found = np.zeros(len(labels), bool)
+    need = int(np.ceil(least * marks.shape[1] - 1e-9))
+    for a in range(len(labels)):
+        if found[a]:
+            continue
+        others = np.flatnonzero((labels != labels[a]) & (100 * np.minimum(sizes, sizes[a]) >= percent * np.maximum(sizes, sizes[a])))
+        others = others[(marks[others] == marks[a]).sum(1) >= need]
+        others = others[~(earlier[others] == earlier[a]).any(1)]
+        found[others] = True
+        found[a] = len(others) > 0
+    return found
+
+
+def _promising(left: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
+    """The rows of ``left`` (band, bucket, node, label) that have a partner by size and marks whose first common bucket is theirs.
+
+    A pair that shares a bucket passes there or in an earlier band, since marks agree wherever minima do."""
+    least = _least(percent, count)
+    cuts = left.groupBy("bucket").agg(F.ceil(F.count("*") / MARK_ROWS).cast("int").alias("blocks"))
+    dealt = (
+        left.join(cuts, "bucket").withColumn("block", F.floor(_place() * F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "label", "node")
+    )
+    key = ["bucket", "i", "j"]
+    together = dealt.join(sets.select("node", "n", "mark"), "node").repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+
+        def closed() -> pa.RecordBatch:
+            numbers: dict[bytes, int] = {}
+            labels = np.array([numbers.setdefault(r[1], len(numbers)) for r in held])
+            marks = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
+            earlier = marks[:, count:].copy().view(np.uint32)[:, : held[0][4]]
+            chosen = _partnered(labels, np.array([r[2] for r in held]), marks[:, :count], earlier, percent, least)
+            return pa.record_batch([
+                pa.array([at[0]] * int(chosen.sum()), pa.int64()), pa.array([r[0] for r, own in zip(held, chosen) if own], pa.binary()),
+            ], ["bucket", "node"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in key))
+            members = zip(*(batch.column(c).to_pylist() for c in ("node", "label", "n", "mark", "band")))
+            for own_key, member in zip(keys, members):
+                if own_key != at:
+                    if len(held) > 1:
+                        yield closed()
+                    held, at = [], own_key
+                held.append(member)
+        if len(held) > 1:
+            yield closed()
+        held.clear()
+        give_back_memory()
+
+    short_batches(left.sparkSession)
+    chosen = together.mapInArrow(run, "bucket bigint, node binary").distinct()
+    return left.join(chosen, ["bucket", "node"], "left_semi")
+
+
 def _links(left: DataFrame, sets: DataFrame, percent: int, rows: int, first_band: int, count: int) -> DataFrame:
     """Verified (a, b) links among the members of each bucket of ``left`` (bucket, node, label, n, own).
 
     A bucket's members are dealt into blocks of bounded rows and bytes, and each two blocks meet in one task with signatures and
     full sets.  What leaves a task is fewer links than it has members."""
-    least = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / count) ** 0.5)
+    least = _least(percent, count)
     cuts = left.groupBy("bucket").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     block = F.floor(_place() * F.col("blocks")).cast("int")
@@ -232,6 +321,7 @@ def _links(left: DataFrame, sets: DataFrame, percent: int, rows: int, first_band
         left.join(cuts, "bucket").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "node", "own")
     )
+    dealt = written(dealt, "dealt")  # of known size, so that sets stay where they are while few rows ask for them
     key = ["bucket", "i", "j"]
     together = dealt.join(sets, "node").repartition(*key).sortWithinPartitions(*key).select(*key, "block", "label", "node", "n", "own", "signature", "shingles")
 
@@ -256,6 +346,8 @@ def _links(left: DataFrame, sets: DataFrame, percent: int, rows: int, first_band
                 held.append((block_, label, node, n, own, np.frombuffer(signature, np.uint32), flat[ends[row] : ends[row + 1]]))
         if len(held) > 1:
             yield closed()
+        held.clear()
+        give_back_memory()
 
     short_batches(left.sparkSession)
     return together.mapInArrow(run, "a binary, b binary").distinct()
@@ -317,11 +409,13 @@ def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, bands:
     met = members.filter(may_be_in(F.col("bucket"), key_filter(shared, "bucket")))
     buckets = written(met.join(shared, "bucket"), "buckets")
     chosen = written(classes.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "text_key"), "chosen")
-    sets = written(_sets(docs, chosen, width, rows * bands), "sets")
-    first = buckets.filter(F.col("band") < ROUNDS[1]).select("bucket", "node", F.col("node").alias("label")).join(sets.select("node", "n"), "node")
+    sets = written(_sets(docs, chosen, width, rows * bands, bands), "sets")
+    first = buckets.filter(F.col("band") < ROUNDS[1]).withColumn("label", F.col("node"))
+    first = _promising(first, sets, percent, rows * bands).join(sets.select("node", "n"), "node")
     stars = _added(None, _links(written(first.withColumn("own", F.lit(0).cast("bigint")), "left"), sets, percent, rows, 0, rows * bands))
-    rest = _open(_labelled(buckets.filter(F.col("band") >= ROUNDS[1]), stars)).drop("label")
-    rest = written(_bounded(written(rest, "open"), sets, percent), "bounded")
+    rest = written(_open(_labelled(buckets.filter(F.col("band") >= ROUNDS[1]), stars)), "open")
+    rest = written(_promising(rest, sets, percent, rows * bands), "promising").drop("label")
+    rest = written(_bounded(rest, sets, percent), "bounded")
     for low, high in zip(ROUNDS[1:], [*ROUNDS[2:], bands]):
         left = written(_open(_labelled(rest.filter(F.col("band").between(low, high - 1)), stars)), "left")
         stars = _added(stars, _links(left, sets, percent, rows, low, rows * bands))

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from briefmill.llm import components as c
 from briefmill.llm import minhash as m
 from tests.llm.fixtures import SF, awkward, awkward_rows, docs_of, no_docs, words
@@ -97,3 +99,28 @@ def test_components_equal_union_find(spark):
     df = c.components(spark.createDataFrame(edges, "a bigint, b bigint"))
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert sorted((r.node, r.root) for r in df.collect()) == sorted((x, root[x]) for x in linked)
+
+
+def test_a_pair_meets_on_full_sets_in_its_first_common_bucket_only(spark):
+    base, bands = words(9, 400), m.BANDS
+    other = [*base[:-2], "edited", "end"]
+    docs = docs_of(spark, [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(words(10, 400)))])
+    rows = m.rows_a_band(85)
+    sketched = m.sketches(docs, 3, 85).collect()
+    first, second = (next(r.buckets for r in sketched if r.doc_id == i) for i in (1, 2))
+    common = [b for b in range(bands) if first[b] == second[b]]
+    assert len(common) > 1
+    chosen = spark.createDataFrame([(bytes(r["class"]), r.doc_id, r.text_key) for r in sketched], "node binary, doc_id bigint, text_key bigint")
+    sets = m._sets(docs, chosen, 3, rows * bands, bands)
+    left = spark.createDataFrame(
+        [(b, r.buckets[b], bytes(r["class"]), bytes(r["class"])) for r in sketched for b in range(bands)], "band int, bucket bigint, node binary, label binary")
+    kept = m._promising(left, sets, 85, rows * bands).collect()
+    assert sorted(r.band for r in kept) == [common[0]] * 2
+    assert m._promising(left.withColumn("label", F.lit(b"one")), sets, 85, rows * bands).collect() == []
+
+
+def test_repeated_rows_give_a_set_once(spark):
+    docs = docs_of(spark, [(1, "a b c d"), (1, "a b c d"), (None, "e f g"), (None, "e f g")])
+    sketched = m.sketches(docs, 3, 85).dropDuplicates(["class"]).select(F.col("class").alias("node"), "doc_id", "text_key")
+    sets = m._sets(docs, sketched, 3, 180, m.BANDS)
+    assert sorted((bytes(r.node), r.n) for r in sets.collect()) == sorted((bytes(r.node), 2 if r.doc_id else 1) for r in sketched.collect())

@@ -52,3 +52,11 @@ def test_empty_tables(spark):
     _, table = items(spark)
     assert d.digests(no_docs(spark), table).collect() == []
     assert {r.n_hit for r in d.digests(awkward(spark), table.limit(0)).collect()} == {0}
+
+
+def test_clean_documents_take_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y"), (3, None), (4, "A, b")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("i", "a b")], "item_id string, text string")
+    kept = d.uncontaminated(docs, items)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]

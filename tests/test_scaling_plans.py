@@ -23,3 +23,15 @@ def test_synonym_groups_build_no_postings(spark, monkeypatch):
 
     monkeypatch.setattr(inputs, "index", refused)
     assert entry.queries()["ir_synonym_groups"](spark, SF).count() == 16
+
+
+def test_synonym_expansion_shuffles_only_what_it_adds(spark):
+    groups = spark.createDataFrame([("g", 0, ["a b", "x", "c"])], "agent string, group_no int, members array<string>")
+    single = search.synonym_expand(chunks_of(spark, ["a b c", "x x", "q"]), groups)
+    plan = plan_of(single)
+    assert plan.index("Union") < plan.index("Exchange")
+    want = {("c0", 0, "a"), ("c0", 1, "b"), ("c0", 2, "c"), ("c0", 0, "x"), ("c0", 0, "c"), ("c0", 2, "x"), ("c0", 2, "a"), ("c0", 3, "b"),
+            ("c1", 0, "x"), ("c1", 1, "x"), ("c1", 0, "a"), ("c1", 1, "b"), ("c1", 0, "c"), ("c1", 1, "c"), ("c1", 1, "a"), ("c1", 2, "b"), ("c2", 0, "q")}
+    assert sorted(map(tuple, single.collect())) == sorted(want)
+    rows = search.synonym_expand(chunks_of(spark, ["twice a b", "twice a b", "x"]), groups).collect()
+    assert len(rows) == len(set(rows)) and {("c", 1, "x"), ("c", 1, "c"), ("c", 0, "twice")} <= set(map(tuple, rows))

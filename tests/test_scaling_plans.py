@@ -35,3 +35,17 @@ def test_synonym_expansion_shuffles_only_what_it_adds(spark):
     assert sorted(map(tuple, single.collect())) == sorted(want)
     rows = search.synonym_expand(chunks_of(spark, ["twice a b", "twice a b", "x"]), groups).collect()
     assert len(rows) == len(set(rows)) and {("c", 1, "x"), ("c", 1, "c"), ("c", 0, "twice")} <= set(map(tuple, rows))
+
+
+def members(spark, chunks):
+    return spark.createDataFrame([(c, "s", n) for c, nodes in chunks.items() for n in nodes], "chunk_id string, section_id string, node_id string")
+
+
+def test_edges_of_one_direction_hold_both(spark):
+    rows = members(spark, {"c1": "abca", "c2": "ab", "c3": "z", "c4": "cb"})
+    halves = gr.cooccurrence_halves(rows)
+    assert sorted((r.chunk_id, r.src, r.dst) for r in halves.collect()) == [
+        ("c1", "a", "b"), ("c1", "a", "c"), ("c1", "b", "c"), ("c2", "a", "b"), ("c4", "b", "c")]
+    whole = gr.edges(gr.cooccurrence_rows(rows), "co_occurrence")
+    both = gr.mirrored(gr.edges(halves, "co_occurrence"))
+    assert both.columns == whole.columns and sorted(map(tuple, both.collect())) == sorted(map(tuple, whole.collect()))

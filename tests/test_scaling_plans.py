@@ -49,3 +49,12 @@ def test_edges_of_one_direction_hold_both(spark):
     whole = gr.edges(gr.cooccurrence_rows(rows), "co_occurrence")
     both = gr.mirrored(gr.edges(halves, "co_occurrence"))
     assert both.columns == whole.columns and sorted(map(tuple, both.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_finding_edges_meet_the_deals_of_the_rarer_end(spark):
+    hubs = [("d0", f"f{k}", n, 7) for k, n in enumerate("abz")] + [(f"d{k}", "f", "a", k) for k in range(1, 30)] + [("d3", "f", "c", 2)]
+    table = spark.createDataFrame(hubs, "deal_id string, finding_id string, node_id string, findings_on_node bigint")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a"), ("c", "z"), ("a", "y"), ("a", "z")], "src string, dst string")
+    found = gr.finding_edges(table, pairs)
+    assert "near#" in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == [("d0", "a", "b", 7, 7), ("d0", "a", "z", 7, 7), ("d3", "a", "c", 3, 2)]

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from briefmill.functions import name_blocks
 from briefmill.functions import similarity as sim
 from briefmill.operators import entities as ent
 from briefmill.operators import graph as gr
@@ -171,3 +172,22 @@ def test_the_whole_review_queue_holds_candidates_far_below_the_best(spark):
         "deal_id string, entity_type string, candidate string")
     got = {(r.name, r.candidate): round(r.score, 6) for r in ent.whole_review_queue(resolutions, candidates).collect()}
     assert got == {("abcdefgh", "abcdefxy"): 0.75, ("abcdefgh", "abcdexyz"): 0.625}
+
+
+def test_blocks_of_names_find_the_pairs_that_single_comparisons_find(spark, monkeypatch):
+    """Names of any length in several blocks a type; names far below a name's best one may be left out, none within reach."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abñ é") for _ in range(n))
+    texts = sorted({word(rng.choice([1, 2, 5, 9, 14, 61, 62, 63, 80])) for _ in range(220)} | {"", "a" * 90, "a" * 88})
+    left, right = texts[::2], texts[1::2] + texts[:20:2]
+    monkeypatch.setattr(ent, "BLOCK_NAMES", 40)
+    frame = lambda xs: spark.createDataFrame([(t, x) for t in ("person", None) for x in [*xs, None]], "entity_type string, norm string")
+    want = {(a, b): r for a in left for b in right if (r := name_blocks._one_ratio(a, b)) >= 0.55}
+    got = ent.similar_pairs(frame(left), frame(right), 0.55).collect()
+    assert {(r.norm, r.other): r.ratio for r in got} == want and len(got) == len(want)
+    best = {a: max(r for (x, _), r in want.items() if x == a) for a, _ in want}
+    near = {(r.norm, r.other) for r in ent.similar_pairs(frame(left), frame(right), 0.55, 0.1).collect()}
+    assert {k for k, r in want.items() if r >= best[k[0]] - 0.1} <= near <= set(want)
+    own = ent.similar_pairs(frame(texts), None, 0.7).collect()
+    assert {(r.norm, r.other): r.ratio for r in own} == {
+        (a, b): r for a in texts for b in texts if a != b and (r := name_blocks._one_ratio(a, b)) >= 0.7} and len(own) == len({(r.norm, r.other) for r in own})

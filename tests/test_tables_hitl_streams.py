@@ -233,6 +233,18 @@ def test_guard_batch_costs_its_own_rows_and_state_expires(spark, tmp_path):
 
 
 
+def test_guard_keeps_sparse_histories_in_few_slices(spark, tmp_path):
+    """Deals that share one sequence have few rows in a stretch of it; a slice is long enough that each holds many."""
+    rows = [(i % 7, i, ["created", "indexing", "analyzing", "debating", "error"][i * i % 5]) for i in range(0, 50_000, 100)]
+    df = spark.createDataFrame(rows, "deal_id bigint, seq bigint, status string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    names = [str(tmp_path / x) for x in ("bad", "edges", "cp")]
+    jobs.guard_transitions(jobs.file_stream(spark, str(tmp_path / "in"), df.schema), *names)
+    want = hitl.invalid_transitions(df)
+    assert same(jobs.violations(spark, *names[:2]).select(*want.columns), want)
+    assert spark.read.parquet(f"{names[1]}/data").count() == 7
+
+
 def test_unique_stream_equals_batch_over_several_files(spark, tmp_path):
     path = str(tmp_path / "in")
     rows = [[(3, "a"), (2, "b")], [(1, "a"), (4, "c"), (5, "c")], [(6, "a"), (7, "d")]]

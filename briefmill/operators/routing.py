@@ -17,17 +17,19 @@ def contains_term(body: Column, edged: Column, term: str) -> Column:
     return T.has_phrase(body, edged, T.routing_term(term))
 
 
-def _bodies(rows: DataFrame, text: str, *columns: str) -> DataFrame:
-    return rows.select(*columns, T.routing_text(F.col(text)).alias("body")).withColumn("edged", T.word_edges(F.col("body")))
+def _found(rows: DataFrame, text: str, registry: Sequence[dict], *columns: str) -> DataFrame:
+    """``rows`` with the routing terms ``found`` in their texts."""
+    terms = [T.routing_term(term) for entry in registry for term in entry["routing_terms"]]
+    return rows.select(*columns, T.phrases_found(T.routing_text(F.col(text)), terms).alias("found"))
 
 
 def _matches(clause_type: Column | None, registry: Sequence[dict]) -> Column:
-    """Array of (agent_no, place, match) found in one of the ``_bodies``; a projection, no shuffle."""
+    """Array of (agent_no, place, match) for one row of ``_found``; a projection, no shuffle."""
     found = []
     for number, entry in enumerate(registry):
         for place, term in enumerate(entry["routing_terms"]):
             hit = F.struct(F.lit(number).alias("agent_no"), F.lit(place).alias("place"), F.lit(term).alias("match"))
-            found.append(F.when(contains_term(F.col("body"), F.col("edged"), term), hit))
+            found.append(F.when(F.array_contains("found", T.routing_term(term)), hit))
         if clause_type is None:
             continue
         for place, kind in enumerate(entry["clause_types"], len(entry["routing_terms"])):
@@ -45,9 +47,8 @@ def specialists(deal_documents: DataFrame, chunks: DataFrame, registry: Sequence
     registry-many rows per partition."""
     registry = domains.REGISTRY if registry is None else registry
     spark = chunks.sparkSession
-    bodies = _bodies(chunks, "text", "document_name", "clause_type")
-    in_text = bodies.select("document_name", F.inline(_matches(F.col("clause_type"), registry)))
-    names = _bodies(deal_documents.select("document_name").distinct(), "document_name", "document_name")
+    in_text = _found(chunks, "text", registry, "document_name", "clause_type").select("document_name", F.inline(_matches(F.col("clause_type"), registry)))
+    names = _found(deal_documents.select("document_name").distinct(), "document_name", registry, "document_name")
     # A new key, since Spark takes a union of two sides dealt by one key for dealt by it too, and fails where their counts differ.
     in_name = names.select(F.concat("document_name", F.lit("")).alias("document_name"), F.inline(_matches(None, registry)))
     per_document = in_text.unionByName(in_name).distinct()

@@ -43,19 +43,29 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
+def passages(chunks: DataFrame) -> DataFrame:
+    """(section_id, text, chunk_id) of each section's first chunk.
+
+    Ids decide without the texts, of which only the chosen ones travel; chunks of equal ids give their least text."""
+    first = chunks.groupBy("section_id").agg(F.min("chunk_id").alias("first_id"))
+    first = first.select(F.col("section_id").alias("of_section"), "first_id")
+    same = F.col("section_id").eqNullSafe(F.col("of_section")) & F.col("chunk_id").eqNullSafe(F.col("first_id"))
+    text = F.when(F.col("chunk_id").isNotNull(), F.col("text"))  # without an id a chunk has no place
+    return chunks.select("section_id", "chunk_id", "text").join(first, same).groupBy("section_id").agg(
+        F.min(text).alias("text"), F.min("chunk_id").alias("chunk_id"))
+
+
 def gate_passage(arguments: DataFrame, chunks: DataFrame) -> DataFrame:
     """A verified argument sharing too few words with a cited passage turns speculative.
 
     Only citations in use are looked up, and a passage is its section's first chunk."""
-    passages = chunks.groupBy(F.col("section_id").alias("citation")).agg(
-        F.min_by(F.col("text"), F.col("chunk_id")).alias("passage")
-    ).select("citation", _words(F.col("passage")).alias("passage_words"))
+    known = passages(chunks).select(F.col("section_id").alias("citation"), _words(F.col("text")).alias("passage_words"))
     overlap = (
         arguments.filter("bm25_verified")
         .select("argument_id", _words(F.col("argument")).alias("words"), F.explode("citations").alias("citation"))
-        .join(passages, "citation")
+        .join(known, "citation")
         .withColumn("overlap", F.when(F.size("words") == 0, 0.0).otherwise(
-            F.size(F.array_intersect("words", "passage_words")) / F.size("words")))
+            F.size(F.array_intersect("passage_words", "words")) / F.size("words")))
         .groupBy("argument_id").agg(F.min("overlap").alias("overlap"))
     )
     return arguments.join(overlap, "argument_id", "left").withColumn(

@@ -26,7 +26,7 @@ def replay(responses: DataFrame, gate: DataFrame, findings: DataFrame, chunks: D
     recompute earlier ones nor depend on one executor's memory."""
     gate, findings = cut_lineage(gate), cut_lineage(findings)
     # all that the gates ask of the chunks: the known sections and the first passage of each
-    chunks = cut_lineage(chunks.groupBy("section_id").agg(F.min_by("text", "chunk_id").alias("text"), F.min("chunk_id").alias("chunk_id")))
+    chunks = cut_lineage(debate.passages(chunks))
     log = debate.initial_states(gate)
     done: list[DataFrame] = []
     for number in range(1, domains.MAX_ROUNDS + 1):

@@ -323,7 +323,7 @@ def _links(left: DataFrame, sets: DataFrame, percent: int, rows: int, first_band
     )
     dealt = written(dealt, "dealt")  # of known size, so that sets stay where they are while few rows ask for them
     key = ["bucket", "i", "j"]
-    together = dealt.join(sets, "node").repartition(*key).sortWithinPartitions(*key).select(*key, "block", "label", "node", "n", "own", "signature", "shingles")
+    together = dealt.join(_sets_of(dealt, sets), "node").repartition(*key).sortWithinPartitions(*key).select(*key, "block", "label", "node", "n", "own", "signature", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -353,6 +353,12 @@ def _links(left: DataFrame, sets: DataFrame, percent: int, rows: int, first_band
     return together.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def _sets_of(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``sets`` that ``wanted`` names, told by a filter where they are read: the others, most of all bytes, are not shuffled."""
+    named = key_filter(wanted.select(F.xxhash64("node").alias("key")), "key")
+    return sets.filter(may_be_in(F.xxhash64("node"), named))
+
+
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of a column of sorted arrays, as unsigned ones, and where each array begins and ends."""
     ends = lists.offsets.to_numpy()
@@ -367,7 +373,7 @@ def _place() -> Column:
 def _bounded(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``left`` with ``own``, each member's number of shingles that no other member holds; they can only be in the union,
     so members that reach no partner this way leave."""
-    members = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", "n", "shingles")
+    members = _sets_of(left, sets).join(left.select("node").distinct(), "node", "left_semi").select("node", "n", "shingles")
     alone = (
         members.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
         .agg(F.count("*").alias("holders"), F.first("node").alias("node")).filter("holders = 1")
@@ -452,13 +458,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """The rows of ``docs`` with one row of each component, the one of the least id, and all rows without words."""
-    _, placed = _placed(docs, width, percent, bands)
+    rows, placed = _placed(docs, width, percent, bands)
     order = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "text_key")
-    chosen = placed.groupBy("component").agg(F.min(order).alias("least")).select("least.doc_id", "least.text_key")
+    chosen = written(placed.groupBy("component").agg(F.min(order).alias("least")).select("least.doc_id", "least.text_key"), "chosen")
     # the input's columns stay together, whatever their names
     packed = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("own_id"), F.xxhash64("text").alias("own_text"),
         F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    doubtful = may_be_in(F.xxhash64("own_id", "own_text"), key_filter(_not_once(rows, chosen), "key"))
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_text") == F.col("text_key"))
-    kept = packed.filter("worded").join(chosen, same, "left_semi").dropDuplicates(["own_id", "own_text"])
-    return kept.select("row.*").unionByName(packed.filter("not worded").select("row.*"))
+    kept = packed.filter(F.col("worded") & doubtful).join(chosen, same, "left_semi").dropDuplicates(["own_id", "own_text"])
+    return packed.filter(~F.col("worded") | ~doubtful).select("row.*").unionByName(kept.select("row.*"))
+
+
+def _not_once(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The keys of rows with words that are not chosen, or come more than once; all others are kept where they are read."""
+    seen = rows.filter("class is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
+    wanted = chosen.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_text"), F.lit(True).alias("chosen"))
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_text"))
+    return seen.join(wanted, same, "left").filter("chosen is null or times > 1").select(F.xxhash64("doc_id", "text_key").alias("key"))

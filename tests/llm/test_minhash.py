@@ -124,3 +124,24 @@ def test_repeated_rows_give_a_set_once(spark):
     sketched = m.sketches(docs, 3, 85).dropDuplicates(["class"]).select(F.col("class").alias("node"), "doc_id", "text_key")
     sets = m._sets(docs, sketched, 3, 180, m.BANDS)
     assert sorted((bytes(r.node), r.n) for r in sets.collect()) == sorted((bytes(r.node), 2 if r.doc_id else 1) for r in sketched.collect())
+
+
+def test_only_named_sets_leave_the_table(spark):
+    docs = docs_of(spark, [(i, " ".join(words(i, 40))) for i in range(50)])
+    chosen = m.sketches(docs, 3, 85).select(F.col("class").alias("node"), "doc_id", "text_key")
+    sets = m.written(m._sets(docs, chosen, 3, 180, m.BANDS), "sets")
+    wanted = sets.select("node").limit(2)
+    assert m._sets_of(wanted, sets).count() == 2
+
+
+def test_rows_kept_for_sure_are_not_shuffled(spark):
+    text = " ".join(words(1, 60))
+    rows = [(1, text), (2, text), (3, "other words here"), (3, "other words here"), (4, "alone in the table"), (None, "no id at all"), (5, None)]
+    docs = docs_of(spark, rows)
+    sketched, placed = m._placed(docs, 5, 80, m.BANDS)
+    order = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "text_key")
+    chosen = placed.groupBy("component").agg(F.min(order).alias("least")).select("least.doc_id", "least.text_key")
+    keys = {r.key for r in m._not_once(sketched, chosen).collect()}
+    doubtful = docs.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("key")).collect()
+    assert {r.doc_id for r in doubtful if r.key in keys} == {2, 3}
+    assert sorted(repr(r.doc_id) for r in m.one_of_each(docs).collect()) == ["1", "3", "4", "5", "None"]

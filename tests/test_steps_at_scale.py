@@ -78,7 +78,7 @@ def test_timeouts_of_many_deals_in_few_states(spark, tmp_path):
         jobs.sla_timeouts(jobs.file_stream(spark, path, df.schema), "0 seconds", buckets=3), str(tmp_path / "out"), str(tmp_path / "cp"))
     want = sorted(
         i for deal, i, kind, ts in rows if kind == "open" and ts
-        and not any(k == "close" and d == deal and t and ts < t <= ts + limit for d, _, k, t in rows))
+        and not any(k == "close" and deal is not None and d == deal and t and ts < t <= ts + limit for d, _, k, t in rows))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     deal_of = {i: deal for deal, i, _, _ in rows}
     assert sorted(r.escalation_id for r in got) == want and all(deal_of[r.escalation_id] == r.deal_id for r in got)

@@ -67,3 +67,19 @@ def test_finding_links_are_all_pairs(spark):
     for block in (7, 4_000):
         got = gr.finding_links(held, halves, block=block).collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want and {k for *_, k in want} == {"shared_entity", "edge"}
+
+
+def test_packed_ids_come_back(spark):
+    ids = ["entity:org:00ff00ff00ff00ff", "entity::ffffffffffffffff", "entity:org:00FF00ff00ff00ff", "section:00ff00ff00ff00ff", "n1", "", "é:ü", None]
+    rows = spark.createDataFrame([(i,) for i in ids], "id string").select("id", gr.packed(F.col("id")).alias("p"))
+    got = rows.select("id", gr.unpacked(F.col("p")).alias("back"), F.octet_length("p").alias("n")).collect()
+    assert all(r.id == r.back for r in got) and {r.id: r.n for r in got}[ids[0]] == 20
+
+
+def test_edges_travel_with_packed_ids(spark):
+    rows = spark.createDataFrame(
+        [(f"c{c}", f"Section {c % 2}", f"entity:org:{n:016x}") for c in range(4) for n in range(c + 1)] + [("c9", None, "a"), ("c9", None, "b")],
+        "chunk_id string, section_id string, node_id string")
+    want = gr.mirrored(gr.edges(gr.cooccurrence_halves(rows), "co_occurrence")).collect()
+    found = gr.cooccurrence_edges(rows)
+    assert sorted(found.collect()) == sorted(want) and "unhex" in found._jdf.queryExecution().executedPlan().toString().lower()

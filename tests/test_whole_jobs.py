@@ -3,11 +3,14 @@
 import itertools
 import random
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from briefmill.operators import graph as gr
 from briefmill.operators import search
 from briefmill.operators import verdict as ops
+from briefmill.streaming import jobs
 
 
 def popular_section(spark):
@@ -83,3 +86,60 @@ def test_edges_travel_with_packed_ids(spark):
     want = gr.mirrored(gr.edges(gr.cooccurrence_halves(rows), "co_occurrence")).collect()
     found = gr.cooccurrence_edges(rows)
     assert sorted(found.collect()) == sorted(want) and "unhex" in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+class HeldState:
+    """What ``slice_guard`` needs of a state, with a watermark set by hand."""
+
+    def __init__(self):
+        self.value, self.watermark, self.due, self.hasTimedOut = None, 0, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def setTimeoutTimestamp(self, due):
+        self.due = due
+
+
+def test_deals_of_a_slice_share_a_state():
+    draw, moves = random.Random(6), ["created", "indexing", "analyzing", "debating", "error"]
+    state, seen, told = HeldState(), {}, {}
+    step = jobs.slice_guard(None)
+    for _ in range(4):
+        rows = [(draw.choice(["a", "b", "c", None]), draw.randrange(40), draw.choice(moves), None) for _ in range(25)]
+        seen |= {(d, s): x for d, s, x, _ in rows}
+        cut = len(rows) // 2
+        batches = [pd.DataFrame(part, columns=["deal", "seq", "status", "ms"]) for part in (rows[:cut], rows[cut:])]
+        out = pd.concat(list(step((3, 0), iter(batches), state)))
+        told |= {(r.deal, r.seq): (r.previous, r.status) if r.valid else None for r in out[out["valid"].notna()].itertuples()}
+        edges = {r.deal: (r.seq, r.last_seq) for r in out[out["valid"].isna()].itertuples()}
+        want = {}
+        for deal in {d for d, *_ in rows}:
+            held = sorted((s, x) for (d, s), x in seen.items() if d == deal)
+            assert edges[deal] == (held[0][0], held[-1][0])
+        for deal in {d for d, _ in seen}:
+            held = sorted((s, x) for (d, s), x in seen.items() if d == deal)
+            want |= {(deal, s): (p, x) for (_, p), (s, x) in zip(held, held[1:]) if p != x and (p, x) not in jobs.ALLOWED}
+        assert {k: v for k, v in told.items() if v} == want
+
+
+def test_a_deal_of_a_shared_state_expires_alone():
+    state, step = HeldState(), jobs.slice_guard(1_000)
+    put = lambda *rows: list(step((0, 0), iter([pd.DataFrame(rows, columns=["deal", "seq", "status", "ms"])]), state))
+    held = lambda: set(pa.ipc.open_stream(state.value[0]).read_all()["deal"].to_pylist())
+    put(("old", 1, "created", 100), ("new", 1, "created", 5_000))
+    assert state.due == 1_100
+    state.watermark = 3_000
+    put(("third", 1, "created", 3_500))
+    assert held() == {"new", "third"} and state.due == 4_500
+    state.watermark, state.hasTimedOut = 9_000, True
+    assert put() == [] and state.value is None

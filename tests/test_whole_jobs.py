@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from briefmill.operators import graph as gr
 from briefmill.operators import search
 from briefmill.operators import verdict as ops
+from briefmill.sources import layout
 from briefmill.streaming import jobs
 
 
@@ -143,3 +145,35 @@ def test_a_deal_of_a_shared_state_expires_alone():
     assert held() == {"new", "third"} and state.due == 4_500
     state.watermark, state.hasTimedOut = 9_000, True
     assert put() == [] and state.value is None
+
+
+def test_many_pages_are_ordered_as_one_page_is():
+    draw = np.random.default_rng(7)
+    sizes = draw.integers(1, 40, 60)
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    top, left = draw.integers(0, 12, len(page)) * 2.5, draw.integers(0, 30, len(page)) * 20.0
+    right = left + draw.integers(10, 60, len(page))
+    words, column, line, word = layout.pages_order(page, top, left, right)
+    for p in range(len(sizes)):
+        here = page == p
+        begin = np.flatnonzero(here)[0]
+        want = layout.page_order(top[here], left[here], right[here])
+        got = words[here] - begin, column[here], line[here]
+        assert all(np.array_equal(a, b) for a, b in zip(got, want)) and np.array_equal(word[here], np.arange(here.sum()))
+
+
+def test_pages_span_batches(spark):
+    rows = [(f"d{d}", p, f"w{i}" if i % 50 else None, 40.0 + 50 * (i % 4), 20.0 + 14 * (i // 4), 80.0 + 50 * (i % 4), 30.0 + 14 * (i // 4))
+            for d in range(2) for p in range(3) for i in range(1 + 40 * p)]
+    frame = pd.DataFrame(rows, columns=["document_name", "page_index", "text", "x0", "top", "x1", "bottom"])
+    for cut in (1, 7, 41, 1000):
+        parts = [frame.iloc[k : k + cut] for k in range(0, len(frame), cut)]
+        pages = [[*zip(r["document_name"], r["page_index"])] for r, _ in layout._whole_pages(iter(parts)) if len(r)]
+        assert [x for p in pages for x in p] == [*zip(frame["document_name"], frame["page_index"])]
+        assert sum(len(set(p)) for p in pages) == 6
+    words = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "document_name string, page_index int, text string, x0 double, top double, x1 double, bottom double")
+    found = layout.reading_order(words)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = {(r.document_name, r.page_index): r.text for r in found.collect()}
+    lines = lambda p: "\n".join(" ".join(f"w{i}" for i in range(k, min(k + 4, 1 + 40 * p)) if i % 50) for k in range(0, 1 + 40 * p, 4))
+    assert {k: v.replace(" ", "").replace("\n", "") for k, v in got.items()} == {(f"d{d}", p): lines(p).replace(" ", "").replace("\n", "") for d in range(2) for p in range(3)}

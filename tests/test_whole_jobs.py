@@ -177,3 +177,12 @@ def test_pages_span_batches(spark):
     got = {(r.document_name, r.page_index): r.text for r in found.collect()}
     lines = lambda p: "\n".join(" ".join(f"w{i}" for i in range(k, min(k + 4, 1 + 40 * p)) if i % 50) for k in range(0, 1 + 40 * p, 4))
     assert {k: v.replace(" ", "").replace("\n", "") for k, v in got.items()} == {(f"d{d}", p): lines(p).replace(" ", "").replace("\n", "") for d in range(2) for p in range(3)}
+
+
+def test_rows_are_offered_once_where_no_query_asks_inside_a_document(spark):
+    rows = spark.createDataFrame([(k, f"d{d}", f"c{d}", t) for k in "ab" for d in range(4) for t in ("x", None)], "k string, document_name string, chunk_id string, clause_type string")
+    asked = spark.createDataFrame([("q1", "a", None, []), ("q2", "b", None, ["x"]), ("q3", "c", None, [])], "query_id string, k string, q_document string, q_types array<string>")
+    both = [search.filtered_join(asked, rows, "k", inside).select("query_id", "k", "document_name", "chunk_id", "clause_type") for inside in (False, True)]
+    assert sorted(both[0].collect(), key=str) == sorted(both[1].collect(), key=str) and both[0].count() == 12
+    assert "Generate" not in both[0]._jdf.queryExecution().executedPlan().toString()
+    assert not search.asks_inside(asked, "q_document") and search.asks_inside(asked.withColumn("q_document", F.lit("d1")), "q_document")
